@@ -69,23 +69,27 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     return any(p in low for p in _BOILERPLATE_BYTES)
 
 
-def judge(text: bytes | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_words."""
+def judge(text: bytes | None, words: list[bytes] | None = None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_words.
+
+    ``words``: an empty list that gets the text's words, for callers that go on with them.
+    """
     text = text or b""
-    words = text.split()
-    n = len(words)
+    words = [] if words is None else words
     seen: set[bytes] = set()
     dup = stay = 0
     for line in text.split(b"\n"):
         own = line.split()
         if not own:
             continue
+        words += own
         if line in seen:
             dup += 1
             continue
         seen.add(line)
         if not line_fails(line, own):
             stay += len(own)
+    n = len(words)
     repeat = repeated_words(words)
     failed = n < 50 or 100 * repeat > 50 * n
     return n, len(text.translate(None, SPACE + _CONTINUATION)), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat, failed, not failed and 100 * stay >= KEEP_SHARE * n, stay
