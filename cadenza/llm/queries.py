@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, packing, quality_classifier, quality_rules, token_counts, topk, toxicity
+from cadenza.llm import html_extract, mixing, packing, quality_classifier, quality_rules, token_counts, topk, toxicity
 from cadenza.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_toxicity, op6_packing, op8_topk, op9_quality_rules, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_mixing, op4_toxicity, op6_packing, op8_topk, op9_quality_rules, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

@@ -207,8 +207,8 @@ def window_index(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.where(live, starts_a + t, 0), live.astype(np.float32), np.array(owner, np.int64)
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """With fewer than two texts of a class, every score is the share of label 1 (0 without texts)."""
+def fit(texts: list[bytes], y: np.ndarray, totals: tuple[int, int] | None = None, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """``totals``: labelled rows of each class, of which ``texts`` are a sample, for the calibration.  With fewer than two texts of a class, every score is the share of label 1 (0 without texts)."""
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         net = Network({}, np.zeros(1), np.zeros(GRAMS))
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -268,18 +268,19 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7)
         rank = np.concatenate([net.forward(gf[index[:, b : b + 2048]], gb[index[:, b : b + 2048]], live[:, b : b + 2048])[0] for b in range(0, index.shape[1], 2048)])
     top = np.full(len(words), -np.inf)
     np.maximum.at(top, owner, rank)
-    _calibrate(net, top, np.bincount(owner, minlength=len(words)).astype(float), y)
+    weight = np.where(y == 1, (totals or (0, n_pos))[1] / n_pos, (totals or (n_neg, 0))[0] / n_neg)
+    _calibrate(net, top, np.bincount(owner, minlength=len(words)).astype(float), y, weight / weight.mean())
     return net
 
 
-def _calibrate(net: Network, top: np.ndarray, windows: np.ndarray, y: np.ndarray) -> None:
+def _calibrate(net: Network, top: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
     """A logistic of the highest logit and the log of the number of windows, by Newton steps with a small penalty."""
     x = np.stack([top, np.log(windows), np.ones(len(y))], 1)
     b, base = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
     for _ in range(30):
         p = _sigmoid(np.clip(x @ b, -30, 30))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.3
-        b = b - np.clip(np.linalg.solve(h, x.T @ (p - y) + 0.3 * (b - base)), -1, 1)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.3
+        b = b - np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.3 * (b - base)), -1, 1)
     net.scale, net.size, net.shift = max(float(b[0]), 1e-3), float(b[1]), float(b[2])
 
 
@@ -334,13 +335,14 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network:
     some = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col(label_col).cast("int").alias("y")).where("lid IS NOT NULL AND y IN (0, 1)").where(crc_mod("lid", mod) != held)
-    # four times the rows of each class are asked for, as some texts are too long for the sample
+    counts = dict(some.groupBy("y").count().collect())
+    # twice the rows of each class are asked for, as some texts are too long for the sample
     some = some.where("y = 0").orderBy(F.xxhash64("lid"), "lid").limit(2 * rows).unionByName(some.where("y = 1").orderBy(F.xxhash64("lid"), "lid").limit(2 * rows))
     texts = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= max_bytes)
     got = texts.join(F.broadcast(some), "lid")  # at most 4 * rows pairs of numbers
     parts = [got.where(F.col("y") == k).orderBy(F.xxhash64("lid"), "lid", "text").limit(rows) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1]).select("y", "text").collect()
-    return fit([bytes(r.text) for r in sample], np.array([r.y for r in sample], float))
+    return fit([bytes(r.text) for r in sample], np.array([r.y for r in sample], float), (counts.get(0, 0), counts.get(1, 0)))
 
 
 _scorers: dict[int, tuple[object, Scorer]] = {}
