@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, topk, toxicity
+from cadenza.llm import html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, topk, toxicity
 from cadenza.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -46,5 +50,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_mixing, op4_toxicity, op5_near_dedup, op6_packing, op8_topk, op9_quality_rules, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op5_near_dedup": near_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_mixing, op4_toxicity, op5_near_dedup, op6_packing, op7_substring_dedup, op8_topk, op9_quality_rules, op10_quality_classifier)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op5_near_dedup": near_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
