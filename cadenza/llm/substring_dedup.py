@@ -105,6 +105,18 @@ def keep_mask(n: int, spans: list[tuple[int, int, int]], window: int) -> np.ndar
     return np.cumsum(edge[:n]) == 0
 
 
+def by_line(text: bytes, stay: np.ndarray) -> bytes:
+    """The kept words, line by line; lines that lose all their words go."""
+    at, out = 0, []
+    for line in text.split(b"\n"):
+        words = line.split()
+        left = [w for w, s in zip(words, stay[at : at + len(words)].tolist()) if s]
+        at += len(words)
+        if left or not words:
+            out.append(b" ".join(left))
+    return b"\n".join(out)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(documents with rid, repeated spans): rid, start, n, bits for every path piece with a repeated window.
 
@@ -142,10 +154,11 @@ def _applied(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                     stay = keep_mask(len(words), [(m["start"], m["n"], m["bits"]) for m in own], window)
                     left = [w for w, s in zip(words, stay.tolist()) if s]
                 out = b" ".join(left)
+                if with_text:
+                    kept.append((text or b"") if len(left) == len(words) else by_line(text, stay))
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 sha.append(hashlib.sha256(out).hexdigest())
-                kept.append(out)
             cols = [batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -161,8 +174,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Every word covered by a window of ``window`` words that also starts anywhere else, in any document or the
     same one, is removed.  A null text has no words; a text of fewer words than a window loses none.  Ids may be
-    null or repeat: two equal rows repeat each other.  Other columns are not read.  With ``with_text`` the kept
-    words come too.
+    null or repeat: two equal rows repeat each other.  Other columns are not read.  With ``with_text`` a
+    hash of the row's id and text (rid) and the cut text come too: lines stay lines, and a text that loses nothing stays as it is.
     """
     return _applied(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), window, with_text)
 

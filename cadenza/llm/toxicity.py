@@ -333,6 +333,10 @@ class Scorer:
         return self.net.probability(top, windows)
 
 
+    def many(self, texts: list[bytes | None]) -> np.ndarray:
+        return np.concatenate([self.scores(texts[b : b + 64]) for b in range(0, len(texts), 64)]) if texts else np.empty(0)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network:
     some = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col(label_col).cast("int").alias("y")).where("lid IS NOT NULL AND y IN (0, 1)").where(crc_mod("lid", mod) != held)
     counts = dict(some.groupBy("y").count().collect())
@@ -348,6 +352,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _scorers: dict[int, tuple[object, Scorer]] = {}
 
 
+def _scorer(net: Network) -> Scorer:
+    """This worker's scorer; one network at a time is remembered."""
+    if _scorers.get(0, (None,))[0] is not net:
+        _scorers[0] = (net, Scorer(net))
+    return _scorers[0][1]
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, network: Network | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; nothing is shuffled."""
+    net = docs.sparkSession.sparkContext.broadcast(network or train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(net.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.many(batch.column(at).cast(pa.binary()).to_pylist()) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, threshold: float = 0.5, network: Network | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted (score >= ``threshold``).
 
@@ -358,13 +382,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     net = docs.sparkSession.sparkContext.broadcast(network or train(docs, labels, id_col, text_col, label_col, mod, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = net.value
-        if _scorers.get(0, (None,))[0] is not own:
-            _scorers[0] = (own, Scorer(own))
-        scorer = _scorers[0][1]
+        scorer = _scorer(net.value)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            s = np.concatenate([scorer.scores(texts[b : b + 64]) for b in range(0, len(texts), 64)]) if texts else np.empty(0)
+            s = scorer.many(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

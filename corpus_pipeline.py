@@ -1,13 +1,70 @@
-"""Corpus pipeline: stages are added as their operators land."""
+"""Corpus pipeline: toxicity, near-dedup, substring dedup, mixing, packing.
+
+Every stage but the last takes and returns the columns of ``documents``.  ``run`` writes each stage's rows to
+the shared folder and reads them again, so a lost executor never costs more than one stage.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm import mixing, near_dedup, packing, substring_dedup, toxicity
+from cadenza.llm.common import WORD, read_table, stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.drop_toxic(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest id stays, once; rows without id stay."""
+    docs = docs.select(*COLUMNS)
+    kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
+    return once.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows of 35 words that occur again are cut from the texts; every document stays."""
+    docs = docs.select(*COLUMNS)
+    texts = substring_dedup.dedup_substrings(docs, with_text=True).where("n_removed > 0").select("rid", F.col("kept_text")).dropDuplicates(["rid"])
+    keyed = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
+    cut = keyed.join(texts, "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy in the mix; the copy in service at the end of a source's share is cut to its words."""
+    docs = docs.select(*COLUMNS).withColumn("key", F.coalesce("doc_id", F.xxhash64("text", "source"))).dropDuplicates(["key"])
+    taken = mixing.mix(docs, id_col="key", sort=False).where("taken > 0").select(F.col("doc_id").alias("key"), "size", "taken")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("taken").cast("int")), " ")
+    mixed = docs.join(taken, "key").withColumn("text", F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("text")))
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_documents),
+]
+#: Model scores, links and tokens are beyond SQL: tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
