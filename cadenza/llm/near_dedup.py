@@ -7,9 +7,10 @@ Jaccard similarity rejects the hopeless, and the rest are confirmed on full shin
 
 Equal sets are one class from the start.  In a band's bucket all members are first held against its
 smallest id only.  What that joins is contracted; a bucket whose other members are then in one component is
-done, and only between members of different components of the remaining buckets are further pairs
-estimated, inside blocks of bounded size.  So no link between components is lost, and a group of copies
-never makes its square of pairs.
+done, and only between members of different components of the remaining buckets further pairs are held
+against each other, inside blocks of bounded size: on full sets in each document's largest bucket, by
+estimate elsewhere.  So no link between components is lost, and neither a group of copies nor a group that
+shares a passage ever makes its square of pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from cadenza.llm.components import components
 
 REGISTERS, ROWS, MANTISSA = 200, 5, 10
 BANDS = REGISTERS // ROWS
-#: Members of one block of a remaining bucket.
-BLOCK = 256
+#: Members of one part of a remaining bucket, where registers and where full sets are compared.
+BLOCK, HOME_BLOCK = 256, 512
 _BOUNDS = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], np.uint64)
 _NEXT = np.array([(i << 64) // REGISTERS - 1 for i in range(1, REGISTERS + 1)], np.uint64)
 FEATURES = "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>"
@@ -151,31 +152,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that may reach the threshold, block by block.
+def _grouped(rows: DataFrame, keys: list[str], work) -> DataFrame:
+    """``work`` on the rows of each (band, block), which lie in one task one after the other; (a, b) pairs come out.
 
-    ``rows``: band, block, own (the member's part of the block), doc_id, component, n, regs.
+    The rows are tuples in the order of the columns; a block's size is bounded, so a group is too.
     """
 
-    def found(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids = np.array([g[3] for g in group], np.int64)
-        comp, n = np.array([g[4] for g in group], np.int64), np.array([g[5] for g in group], np.int64)
-        part, regs = np.array([g[2] for g in group], np.int64), np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
-        cross = part.min() != part.max()
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & ((part[j] != part[i]) if cross else True)]
-            if len(j):
-                j = j[hopeful(estimate(regs[i][None], regs[j], n[i], n[j]), n[i], n[j], percent)]
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            got = list(found(group)) if len(group) > 1 else []
+            got = list(work(group)) if len(group) > 1 else []
             a, b = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -186,10 +175,92 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
         yield flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("band", "block", "own", "doc_id", "component", "n", "regs").repartition(n, "band", "block").sortWithinPartitions("band", "block")
+    dealt = rows.select("band", "block", "own", "doc_id", "component", *keys).repartition(n, "band", "block").sortWithinPartitions("band", "block")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocked(rows: DataFrame, size: int) -> DataFrame:
+    """A bucket's members dealt to parts of about ``size``, and a row for each pair of parts: ``block`` and ``own`` part."""
+    r = rows.withColumn("parts", F.ceil(F.col("members") / F.lit(size)).cast("int"))
+    r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return r.withColumn("block", F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other"))
+
+
+def _of_pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and components of a block's members, and which pairs count: different components, and different parts if there are two."""
+    ids, comp, part = (np.array([g[i] for g in group], np.int64) for i in (3, 4, 2))
+    open_ = comp[:, None] != comp[None]
+    if part.min() != part.max():
+        open_ &= part[:, None] != part[None]
+    return ids, comp, np.triu(open_, 1)
+
+
+def exact_links(sets: list[np.ndarray], wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the wanted pairs of sets those that reach ``percent``: intersections counted by matrix products over shared hashes."""
+    n = np.array([len(x) for x in sets], np.int64)
+    wanted = wanted & (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None]))
+    if not wanted.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(sets)), n)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    rows, at = rows[shared], at[shared]
+    _, at = np.unique(at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        lo, hi = np.searchsorted(at, (low, low + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[rows[lo:hi], at[lo:hi] - low] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    return np.nonzero(wanted & (100 * both >= percent * (n[:, None] + n[None] - both)))
+
+
+def _home_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a < b) between components inside home buckets, on full sets.  ``rows``: ..., hashes (binary)."""
+
+    def work(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, comp, wanted = _of_pairs(group)
+        if wanted.any():
+            i, j = exact_links([np.frombuffer(g[5], np.uint64) for g in group], wanted, percent)
+            yield ids[i], ids[j]
+
+    return _grouped(rows, ["hashes"], work)
+
+
+def _between(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components and homes that may reach the threshold, each in its first common band."""
+
+    def work(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, comp, wanted = _of_pairs(group)
+        n, home = np.array([g[5] for g in group], np.int64), np.array([g[7] for g in group], np.int64)
+        wanted &= home[:, None] != home[None]
+        if not wanted.any():
+            return
+        regs = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
+        here = int(np.argmax(band_keys(regs[0]) == group[0][0]))
+        for i in np.flatnonzero(wanted.any(1)):
+            j = np.flatnonzero(wanted[i])
+            first = (regs[j] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            j = j[first == here]
+            if len(j):
+                j = j[hopeful(estimate(regs[i][None], regs[j], n[i], n[j]), n[i], n[j], percent)]
+                yield np.full(len(j), ids[i]), ids[j]
+
+    return _grouped(rows, ["n", "regs", "home"], work)
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -217,16 +288,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # then: buckets of three and more whose members are still in different components
     open_ = members.where("members > 2").join(joined, members.doc_id == joined.id, "left").select("band", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
     rest = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = open_.join(rest, "band").join(own.select("doc_id", "n", "regs"), "doc_id")
-    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_ = open_.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = open_.withColumn("block", F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other"))
-    more = stage(_between(open_, percent).join(tried, ["a", "b"], "left_anti"), "between")
-    if not more.isEmpty():
-        added = stage(_confirmed(more, docs, size, percent), "more-links")
-        if not added.isEmpty():
-            joined = components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).union(added), "second")
+    open_ = stage(open_.join(rest, "band"), "open")
+    # each open document is held in full against the others of its largest open bucket, its home; there groups of
+    # documents that share a passage meet, and what they are not is found without a pair leaving its block
+    homes = stage(open_.groupBy("doc_id").agg(F.max(F.struct("members", "band")).alias("h"), F.first("component").alias("component")).select("doc_id", "component", F.col("h.members").alias("members"), F.col("h.band").alias("band")), "homes")
+    hashes = _sets(docs.join(homes.select("doc_id"), "doc_id", "left_semi"), size)
+    found = stage(_home_links(_blocked(homes.join(hashes, "doc_id"), HOME_BLOCK), percent), "home-links")
+    # pairs whose homes differ are estimated in the other buckets that they share, then confirmed like the stars
+    rows = open_.join(own.select("doc_id", "n", "regs"), "doc_id").join(homes.select("doc_id", F.col("band").alias("home")), "doc_id")
+    more = stage(_between(_blocked(rows, BLOCK), percent).join(tried, ["a", "b"], "left_anti"), "between")
+    added = found if more.isEmpty() else found.union(stage(_confirmed(more, docs, size, percent), "more-links"))
+    if not added.isEmpty():
+        joined = components(joined.select(F.col("component").alias("a"), F.col("id").alias("b")).union(added), "second")
     named = every.select("doc_id", *keys).join(reps, keys, "left").join(joined, F.col("rep") == F.col("id"), "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
