@@ -46,7 +46,8 @@ def _resistance(grade_pct: Column, mass: Value, crr: Value, g: float) -> Column:
 
 
 def predict_speed(power_w: Value, grade_pct: Value, mass: Value = RIDER.system_weight_kg, cda: Value = RIDER.cda, crr: Value = RIDER.crr, eta: Value = RIDER.efficiency, rho: float = RIDER.air_density, g: float = RIDER.gravity, cap_kmh: Value | None = None) -> Column:
-    """km/h at which the power is balanced: the smallest positive root of a v^3 + b v = P * eta; 0 without one.
+    """km/h at which the power is balanced: the smallest positive root of a v^3 + b v = P * eta; 0 without one,
+    null for null inputs.
 
     The cubic has no square term, so Cardano's formula solves it: one real root by cube roots, or three
     by cosines, of which the first is the only positive one.
@@ -64,7 +65,7 @@ def predict_speed(power_w: Value, grade_pct: Value, mass: Value = RIDER.system_w
     v = F.when(disc >= 0, one).otherwise(three)
     # without power, a rider coasts where the slope pulls and stands still otherwise
     v = F.when((q == 0) & (b < 0), F.sqrt(F.greatest(-b, F.lit(0.0)))).when((q == 0) & (b >= 0), F.lit(0.0)).otherwise(v)
-    kmh = F.greatest(v, F.lit(0.0)) * 3.6
+    kmh = F.when(q.isNotNull() & b.isNotNull(), F.greatest(v, F.lit(0.0)) * 3.6)
     return kmh if cap_kmh is None else F.least(kmh, col(cap_kmh))
 
 

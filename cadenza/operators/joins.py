@@ -96,7 +96,7 @@ def merge_devices(a: DataFrame, b: DataFrame, key: str = "pair") -> DataFrame:
     pick = lambda flag: F.when(F.col("terrain") == "A", F.when(F.col(f"a_{flag}"), "A").when(F.col(f"b_{flag}"), "B")).otherwise(F.when(F.col(f"b_{flag}"), "B").when(F.col(f"a_{flag}"), "A"))
     of = lambda label, c: F.when(F.col(label) == "A", F.col(f"a_{c}")).when(F.col(label) == "B", F.col(f"b_{c}"))
     x = x.withColumns({"hr_source": pick("has_hr"), "power_source": pick("has_power")})
-    apart = F.abs(F.unix_seconds("a_start_time") - F.unix_seconds("b_start_time"))
+    apart = F.abs(F.unix_seconds(F.col("a_start_time").cast("timestamp")) - F.unix_seconds(F.col("b_start_time").cast("timestamp")))
     off = F.when((F.col("a_distance_km") > 0) & (F.col("b_distance_km") > 0), F.abs(F.col("a_distance_km") - F.col("b_distance_km")) / F.greatest("a_distance_km", "b_distance_km") * 100)
     warn = F.array_compact(F.array(F.when((F.col("a_sport") != "") & (F.col("b_sport") != "") & (F.col("a_sport") != F.col("b_sport")), "sport"), F.when(apart > 1800, "start"), F.when(off > 5, "distance")))
     return x.select(key, "terrain", "hr_source", "power_source", of("terrain", "distance_km").alias("distance_km"), of("terrain", "ascent_m").alias("ascent_m"), of("hr_source", "avg_hr").alias("avg_hr"), of("power_source", "avg_w").alias("avg_w"), F.array_join(warn, ",").alias("warnings"))

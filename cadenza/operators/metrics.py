@@ -24,7 +24,7 @@ def to_samples(records: DataFrame, by: Keys = ("ride",)) -> DataFrame:
 
     w = ordered(by)
     num = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    r = records.withColumns({"_alt": F.coalesce("enhanced_altitude", "altitude"), "_spd": F.coalesce("enhanced_speed", "speed"), "t": (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(w))) / 1e6})
+    r = records.withColumns({"_alt": F.coalesce("enhanced_altitude", "altitude"), "_spd": F.coalesce("enhanced_speed", "speed"), "t": (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.first("ts").over(w).cast("timestamp"))) / 1e6})
     r = interpolate_gaps(interpolate_gaps(r, "_alt", "e", by), "distance", "d", by)
     return r.select(*by, "seq", "ts", "t", "d", "e", (num("_spd") * 3.6).alias("spd"), num("power").alias("p"), num("heart_rate").alias("hr"), num("cadence").alias("cad"))
 

@@ -22,7 +22,8 @@ def runs(df: DataFrame, condition: Column, aggregates: Sequence[Column], by: Key
 def longest_run_above(df: DataFrame, grade: str, d: str, thresholds: Sequence[float], by: Keys = ("ride",), seq: str = "seq") -> DataFrame:
     """by, threshold, metres: the longest stretch at or above each threshold, measured from the sample before it."""
     w = ordered(by, seq)
-    marked = df.select(*by, seq, grade, d, F.coalesce(F.lag(d).over(w), F.col(d)).alias("_before"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    marked = df.select(*by, seq, grade, d, F.coalesce(F.lag(d).over(w), F.col(d)).alias("_before"))  # before the rows are multiplied
+    marked = marked.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     keyed = [*by, "threshold"]
     found = runs(marked, F.col(grade) >= F.col("threshold"), [(F.max(d) - F.min("_before")).alias("_m")], keyed, seq)
     every = marked.select(*keyed).distinct()

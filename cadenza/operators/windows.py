@@ -75,7 +75,9 @@ def interpolate_gaps(df: DataFrame, value: str, out: str, by: Keys = ("ride",),
     i = F.row_number().over(w)
     d = df.withColumns({"_i": i, "_v": v})
     point = F.when(F.col("_v").isNotNull(), F.struct("_i", "_v"))
-    before, after = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up_to = (Window.unboundedPreceding, 0)
+    # what follows is read in descending order: a frame that reaches to the partition's end costs its square
+    before, after = F.last(point, ignorenulls=True).over(w.rowsBetween(*up_to)), F.last(point, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(seq)).rowsBetween(*up_to))
     d = d.withColumns({"_a": before, "_b": after})
     share = (F.col("_i") - F.col("_a._i")) / (F.col("_b._i") - F.col("_a._i"))
     line = F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * share
@@ -93,9 +95,10 @@ def onto_grid(df: DataFrame, x: str, values: Sequence[str], step: float, by: Key
     seqs = F.lit(None).cast("int").alias("k")
     samples = df.select(*by, seqs, F.col(x).cast("double").alias("_x"), *[F.col(v).cast("double").alias(v) for v in values])
     w = Window.partitionBy(*by).orderBy("_x", F.col("k").asc_nulls_first())
+    back = Window.partitionBy(*by).orderBy(F.desc("_x"), F.col("k").desc_nulls_last())
     every = samples.unionByName(grid.select(*by, "k", "_x", *values))
     point = F.when(F.col("k").isNull(), F.struct("_x", *values))
-    every = every.withColumns({"_a": F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(point, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    every = every.withColumns({"_a": F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     share = (F.col("_x") - F.col("_a._x")) / (F.col("_b._x") - F.col("_a._x"))
     at = {v: F.when(F.col("_a").isNull(), F.col(f"_b.{v}")).when(F.col("_b").isNull(), F.col(f"_a.{v}")).otherwise(F.col(f"_a.{v}") + (F.col(f"_b.{v}") - F.col(f"_a.{v}")) * share) for v in values}
     return every.where("k IS NOT NULL").select(*by, "k", F.col("_x").alias("x"), *[c.alias(v) for v, c in at.items()])
