@@ -124,7 +124,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     """
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     rows = stage(_rows(docs, window), "pieces")
-    nodes = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("c > 1")
+    # written, so that the join below shuffles both sides and a common passage's minimizer can be split between tasks
+    nodes = stage(rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("c > 1"), "nodes")
     found = stage(rows.join(nodes.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "mini"), "repeated")
     whole = found.where("NOT branches").select("rid", "start", "n", F.lit(-1).cast("long").alias("bits"))
     open_ = found.where("branches")
