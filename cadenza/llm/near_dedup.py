@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = every.join(reps, [*keys]).where("doc_id = rep").select("doc_id", "n", "regs", "bands")
     own = stage(own, "representatives")
     banded = own.select("doc_id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")).where("pivot < last").select("band", "pivot", "members")
+    # written, so that the join below shuffles both sides and a hot bucket can be split between tasks
+    buckets = stage(banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")).where("pivot < last").select("band", "pivot", "members"), "buckets")
     members = stage(banded.join(buckets, "band").where("doc_id <> pivot"), "members")
     # first: every member of a bucket against the bucket's smallest id
     stars = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
