@@ -23,16 +23,16 @@ def grade_profile(df: DataFrame, d: str = "d", e: str = "e", median: int = 5, by
 
 
 def max_grade(df: DataFrame, segments: DataFrame, key: str = "climb_no", d: str = "d", e: str = "e", by: Keys = ("ride",), seq: str = "seq", pad_m: float = 100.0) -> DataFrame:
-    """by, key, max_grade_pct: the steepest grade inside each segment (start_m, end_m), from samples up to 100 m around.
+    """``segments`` with max_grade_pct: the steepest grade inside each segment (start_m, end_m), from samples up to 100 m around.
 
     0 for segments with fewer than five samples or four grid cells.
     """
     around = df.select(*by, seq, d, e).join(segments.select(*by, key, "start_m", "end_m"), list(by)).where(F.col(d).between(F.col("start_m") - pad_m, F.col("end_m") + pad_m))
-    keyed = [*by, key]
+    keyed = [*by, key, "start_m", "end_m"]  # the bounds are part of the key, so they need no second join
     around = around.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keyed))).where("_n >= 5")
     prof = grade_profile(around, d, e, 5, keyed, seq).where("cells > 4")
-    best = prof.join(segments.select(*keyed, "start_m", "end_m"), keyed).where(F.col("x").between(F.col("start_m"), F.col("end_m"))).groupBy(*keyed).agg(F.max("grade").alias("_g"))
-    return segments.select(*keyed).join(best, keyed, "left").select(*keyed, F.coalesce("_g", F.lit(0.0)).alias("max_grade_pct"))
+    best = prof.where(F.col("x").between(F.col("start_m"), F.col("end_m"))).groupBy(*by, key).agg(F.max("grade").alias("_g"))
+    return segments.join(best, [*by, key], "left").withColumn("max_grade_pct", F.coalesce("_g", F.lit(0.0))).drop("_g")
 
 
 def find_climbs(df: DataFrame, d: str = "d", e: str = "e", least_m: float = 300.0, least_gain_m: float = 20.0, least_grade: float = 0.015, by: Keys = ("ride",), seq: str = "seq", mode: str = "zero") -> DataFrame:
@@ -51,17 +51,17 @@ def find_climbs(df: DataFrame, d: str = "d", e: str = "e", least_m: float = 300.
     g = g.withColumn("_in", F.col("_grade") > least_grade)
     ahead = F.coalesce(F.lead("_in", 1).over(w), F.lit(False)) | F.coalesce(F.lead("_in", 2).over(w), F.lit(False)) | F.coalesce(F.lead("_in", 3).over(w), F.lit(False))
     g = g.withColumn("_on", F.col("_in") | ((F.col("k") + 4 < F.col("_cells")) & ahead))
+    g = g.withColumn("_next", F.coalesce(F.lead("_s").over(w), F.col("_s")))  # where a run's gain ends: one cell on, or the grid's end
     g = g.withColumn("_g", F.col("k") - F.row_number().over(Window.partitionBy(*by, "_on").orderBy("k")))
-    found = g.where("_on").groupBy(*by, "_g").agg(F.min(F.when(F.col("_in"), F.col("k"))).alias("i"), (F.max("k") + 1).alias("j"), F.first("_cells").alias("_cells")).where("i IS NOT NULL")
+    found = g.where("_on").groupBy(*by, "_g").agg(F.min(F.when(F.col("_in"), F.col("k"))).alias("i"), (F.max("k") + 1).alias("j"), F.first("_cells").alias("_cells"), F.min_by("_s", F.when(F.col("_in"), F.col("k"))).alias("_zi"), F.max_by("_next", "k").alias("_zj")).where("i IS NOT NULL")
     found = found.withColumn("jj", F.least("j", F.col("_cells") - 1))
-    cell = g.select(*by, F.col("k").alias("_k"), F.col("_s").alias("_z"))
     keys = list(by)
-    found = found.join(cell.select(*keys, F.col("_k").alias("i"), F.col("_z").alias("_zi")), [*keys, "i"]).join(cell.select(*keys, F.col("_k").alias("jj"), F.col("_z").alias("_zj")), [*keys, "jj"])
     found = found.withColumns({"length_m": (F.col("j") - F.col("i")) * GRID_M, "gain_m": F.col("_zj") - F.col("_zi"), "start_m": F.col("i") * GRID_M, "end_m": F.col("jj") * GRID_M})
     found = found.where((F.col("length_m") >= least_m) & (F.col("gain_m") >= least_gain_m))
     found = found.withColumn("climb_no", F.row_number().over(part.orderBy("i")))
+    found = found.select(*keys, "climb_no", "start_m", "end_m", "length_m", "gain_m")
     steep = max_grade(df, found, "climb_no", d, e, by, seq)
-    return found.join(steep, [*keys, "climb_no"]).select(*keys, "climb_no", (F.col("start_m") / 1000).alias("start_km"), (F.col("end_m") / 1000).alias("end_km"), "length_m", "gain_m", (F.col("gain_m") / F.col("length_m") * 100).alias("avg_grade_pct"), "max_grade_pct")
+    return steep.select(*keys, "climb_no", (F.col("start_m") / 1000).alias("start_km"), (F.col("end_m") / 1000).alias("end_km"), "length_m", "gain_m", (F.col("gain_m") / F.col("length_m") * 100).alias("avg_grade_pct"), "max_grade_pct")
 
 
 def categorised(climbs: DataFrame) -> DataFrame:

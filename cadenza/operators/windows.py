@@ -42,6 +42,12 @@ def median_filter(df: DataFrame, value: str, size: int, out: str, by: Keys = ("r
     v = F.col(value).cast("double")
     if size < 2:
         return df.withColumn(out, v)
+    if size <= 9:  # few neighbours: offsets and a sort of a small array, without an aggregate for every frame
+        near = df.withColumns({f"_m{k}": F.lag(v, k).over(w) if k > 0 else F.lead(v, -k).over(w) for k in range(-h, h + 1) if k} | {"_m0": v, "_n": n})
+        near = near.withColumn("_a", F.sort_array(F.array_compact(F.array(*[F.col(f"_m{k}") for k in range(-h, h + 1)]))))
+        at = lambda k: F.get("_a", k.cast("int"))
+        middle = (at(F.floor((F.size("_a") - 1) / 2)) + at(F.floor(F.size("_a") / 2))) / 2
+        return near.withColumn(out, F.when(F.col("_n") < size, v).otherwise(middle)).drop("_a", "_n", *[f"_m{k}" for k in range(-h, h + 1)])
     return df.withColumn(out, F.when(n < size, v).otherwise(F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-h, h))))
 
 
