@@ -87,9 +87,10 @@ def index_list(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda s: F.trim(s) != ""), lambda s: F.trim(s).cast("int"))
 
 
-def stagger(labels: DataFrame, by: Keys = ("ride",), gap_km: float = 1.0, levels: int = 4) -> DataFrame:
-    """Adds ``level``: labels closer than ``gap_km`` to the one before go a level up, round and round."""
+def stagger(labels: DataFrame, by: Keys = ("ride",), gap_km: float = 4.5) -> DataFrame:
+    """Adds ``level``: in order of km, a label closer than ``gap_km`` to the one before stands a level above it."""
     w = Window.partitionBy(*by).orderBy("km", "idx")
-    l_ = labels.withColumn("_far", (F.col("km") - F.lag("km").over(w) >= gap_km) | F.lag("km").over(w).isNull())
-    l_ = l_.withColumn("_g", F.sum(F.col("_far").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return l_.withColumn("level", F.pmod(F.row_number().over(Window.partitionBy(*by, "_g").orderBy("km", "idx")) - 1, F.lit(levels))).drop("_far", "_g")
+    before = F.lag("km").over(w)
+    far = labels.withColumn("_far", F.coalesce(F.col("km") - before >= gap_km, F.lit(True)).cast("int"))
+    far = far.withColumn("_g", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return far.withColumn("level", F.row_number().over(Window.partitionBy(*by, "_g").orderBy("km", "idx")) - 1).drop("_far", "_g")

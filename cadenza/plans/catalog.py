@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cadenza.functions import geo, physics, scoring
+from cadenza.functions import geo, physics, scoring, text
 from cadenza.operators import climbs, joins, load, metrics, runs, verify, waypoints, windows
+from cadenza.sinks import reports
 from cadenza.sources.samples import LONG_SQL, SHORT_SQL, long_rides, read, short_rides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +394,42 @@ def _stitched(r: DataFrame) -> DataFrame:
 
 
 _short("stitch", _stitched, None)
+
+
+# -- choices, names and places ----------------------------------------------------------------------
+
+#: Departments and their boxes of longitude and latitude.
+DEPARTMENTS = [
+    ("D075", 2.22, 48.81, 2.47, 48.91), ("D077", 2.40, 48.10, 3.55, 49.13), ("D078", 1.45, 48.65, 2.20, 49.10), ("D091", 1.93, 48.30, 2.59, 48.78),
+    ("D092", 2.07, 48.79, 2.34, 48.95), ("D093", 2.30, 48.81, 2.65, 48.97), ("D094", 2.31, 48.68, 2.62, 48.85), ("D095", 1.94, 48.92, 2.61, 49.24),
+]
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = 1.5 + (F.col("p_partkey") % 40) / 20, 48.0 + (F.col("p_partkey") % 33) / 25
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ride"), x.alias("min_lon"), y.alias("min_lat"), (x + F.col("p_size") / 500).alias("max_lon"), (y + F.col("p_size") / 500).alias("max_lat"))
+
+
+_BOX = "b AS (SELECT p_partkey AS ride, 1.5e0 + (p_partkey % 40) / 20e0 AS x, 48e0 + (p_partkey % 33) / 25e0 AS y, p_size / 500e0 AS s FROM part)"
+_register("regions", lambda s, d: joins.regions_of(_boxes(s, d), s.createDataFrame(DEPARTMENTS, "region string, min_lon double, min_lat double, max_lon double, max_lat double")), f"WITH {_BOX}, r AS (SELECT * FROM (VALUES {_values(DEPARTMENTS)}) t(region, a, c, e, f)) SELECT ride, region FROM b JOIN r ON NOT (x + s < a OR e < x OR y + s < c OR f < y)")
+_register("os_tiles", lambda s, d: verify.os_tiles(read(s, d, "part").select(F.col("p_partkey").alias("ride"), (F.col("p_partkey") * 137 % 600_000).alias("min_x"), (F.col("p_partkey") * 211 % 900_000).alias("min_y")).withColumns({"max_x": F.col("min_x") + 9_000, "max_y": F.col("min_y") + 12_000})), """WITH b AS (SELECT p_partkey AS ride, p_partkey * 137 % 600000 AS x, p_partkey * 211 % 900000 AS y FROM part), c AS (SELECT ride, unnest(range(x // 10000, (x + 9000) // 10000 + 1)) AS gx, y FROM b), g AS (SELECT ride, gx, unnest(range(y // 10000, (y + 12000) // 10000 + 1)) AS gy FROM c),
+  l AS (SELECT ride, gx // 10 AS e, gy // 10 AS n, gx % 10 AS i, gy % 10 AS j FROM g) SELECT DISTINCT ride, substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - n - (19 - n) % 5 + (e + 10) // 5 + 1)::BIGINT, 1) || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((19 - n) * 5 % 25 + e % 5 + 1)::BIGINT, 1) || i || j AS label FROM l""")
+
+
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda m, v: F.when(k % m == 0, v)
+    return read(spark, sf_dir, "part").select(k.alias("ride"), F.concat(F.lit("rides/2026-03-01_"), k, F.when(k % 4 == 0, F.lit("_Commute Home #2.gpx")).otherwise(F.lit("_Lost Lane  East & West.gpx"))).alias("file"), pick(7, "flagged").alias("flag_bike"), pick(5, "roadie").alias("power_bike"), F.lit("ebike").alias("commute_bike"), F.lit("tourer").alias("default_bike"), (k % 2 == 0).alias("has_power"), (k % 3).alias("rider"), (k % 11).alias("day"))
+
+
+_register("resolve_bike", lambda s, d: joins.resolve_bike(_choices(s, d)), "SELECT p_partkey AS ride, CASE WHEN p_partkey % 7 = 0 THEN 'flagged' WHEN p_partkey % 5 = 0 THEN 'roadie' WHEN p_partkey % 4 = 0 THEN 'ebike' ELSE 'tourer' END AS bike, CASE WHEN p_partkey % 7 = 0 THEN 'flag' WHEN p_partkey % 5 = 0 THEN 'power' WHEN p_partkey % 4 = 0 THEN 'filename' ELSE 'default' END AS source FROM part")
+_register("bike_by_power", lambda s, d: joins.bike_by_power(s.createDataFrame([("roadie", True), ("ebike", False), ("old", False)], "slug string, has_power_meter boolean"), _choices(s, d)), "SELECT p_partkey AS ride, CASE WHEN p_partkey % 2 = 0 THEN 'roadie' END AS bike FROM part")
+_register("same_day_file", lambda s, d: joins.same_day_file(_choices(s, d), _choices(s, d).where("day < 6").select("rider", "day", F.col("file").alias("path"))), "WITH x AS (SELECT p_partkey AS ride, p_partkey % 3 AS rider, p_partkey % 11 AS day, 'rides/2026-03-01_' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '_Commute Home #2.gpx' ELSE '_Lost Lane  East & West.gpx' END AS f FROM part), a AS (SELECT rider, max(f) AS f FROM x WHERE day < 6 GROUP BY 1), b AS (SELECT rider, day, max(f) AS f FROM x WHERE day < 6 GROUP BY 1, 2) SELECT x.ride, coalesce(b.f, a.f) AS path FROM x LEFT JOIN a USING (rider) LEFT JOIN b ON b.rider = x.rider AND b.day = x.day")
+_register("file_names", lambda s, d: _choices(s, d).select("ride", text.route_slug(F.col("file")).alias("slug"), text.date_prefix(F.col("file")).cast("string").alias("day")), "SELECT p_partkey AS ride, CASE WHEN p_partkey % 4 = 0 THEN 'commute-home-2' ELSE 'lost-lane-east' END AS slug, '2026-03-01' AS day FROM part")
+_short("track_key", lambda r: r.groupBy("ride").agg(text.track_key(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.floor(F.col("lat") * 1e5).alias("lat"), F.floor(F.col("lon") * 1e5).alias("lon")))), lambda p: F.struct(p["lat"].cast("double").alias("lat"), p["lon"].cast("double").alias("lon")))).alias("key")), " SELECT ride, substr(sha256('[' || string_agg('[' || floor(lat * 1e5)::BIGINT || '.000000, ' || floor(lon * 1e5)::BIGINT || '.000000]', ', ' ORDER BY seq) || ']'), 1, 16) AS key FROM rec GROUP BY ride")
+_short("interval_laps", lambda r: metrics.interval_laps(r.select("ride", F.col("p").alias("avg_power")), 60.0), " SELECT ride, count(*) FILTER (p > 57.0e0) AS intervals FROM rec GROUP BY ride")
+_short("grade_chunks", lambda r: reports.grade_chunks(r, 50.0), """, c AS (SELECT ride, floor(d / 50)::BIGINT AS chunk, min(d) AS s, max(d) AS t, min_by(e, seq) AS a, max_by(e, seq) AS b FROM rec GROUP BY 1, 2), g AS (SELECT ride, chunk, s, CASE WHEN t > s THEN (b - a) / (t - s) * 100 ELSE 0 END AS g FROM c)
+  SELECT ride, chunk, s AS start_m, round(g, 4) AS grade, CASE """ + " ".join(f"WHEN abs(g) < {t} THEN '{c}'" for t, c in scoring.RIDE_COLOURS) + f" ELSE '{scoring.RIDE_COLOURS[-1][1]}' END AS colour FROM g")
+_short("label_levels", lambda r: waypoints.stagger(r.where("seq % 5 = 0").select("ride", F.col("seq").cast("int").alias("idx"), (F.col("d") / 10).alias("km")), gap_km=3.0), ", l AS (SELECT ride, seq::INTEGER AS idx, d / 10 AS km, CASE WHEN d / 10 - lag(d / 10) OVER w >= 3 OR lag(d) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM rec WHERE seq % 5 = 0 WINDOW w AS (PARTITION BY ride ORDER BY d, seq)), g AS (SELECT *, sum(f) OVER (PARTITION BY ride ORDER BY km, idx) AS g FROM l) SELECT ride, idx, round(km, 4) AS km, (row_number() OVER (PARTITION BY ride, g ORDER BY km, idx) - 1)::INTEGER AS level FROM g")
+_register("assisted_speed", lambda s, d: _parts(s, d).select("id", physics.assisted_speed("watts", "grade", 0.5, 250.0, 25.0).alias("kmh")), f"WITH x AS ({_PARTS}), v AS (SELECT id, {_speed_sql('(watts + least(0.5e0 * watts, 250e0))', 'grade')} AS a, {_speed_sql('watts', 'grade')} AS b FROM x) SELECT id, round(CASE WHEN a > 25 THEN b ELSE a END, 4) AS kmh FROM v")
+_register("index_lists", lambda s, d: _parts(s, d).select("id", F.size(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(",")))).alias("n"), F.element_at(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(","))), 2).alias("second")), "SELECT p_partkey AS id, 2 AS n, (p_partkey + 1)::INTEGER AS second FROM part")
