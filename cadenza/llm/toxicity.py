@@ -25,6 +25,8 @@ DIM = WORD_DIM + 1 + GRAM_DIM + 2
 #: The fit takes at most so many labelled texts of each class, of at most so many bytes, in the order of a hash of their ids.
 TRAIN_ROWS, TRAIN_BYTES = 1_500, 16_000
 EPOCHS, BATCH, RATE = 14, 256, 0.02
+#: Texts of each class from which on a quarter of them is kept for the calibration.
+CALIBRATE_LEAST = 600
 #: Words whose inputs a worker remembers.
 CACHE = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_=+~@/\\"
@@ -213,7 +215,27 @@ def fit(texts: list[bytes], y: np.ndarray, totals: tuple[int, int] | None = None
         net = Network({}, np.zeros(1), np.zeros(GRAMS))
         net.constant = float(y.mean()) if len(y) else 0.0
         return net
-    words = [text_words(t) for t in texts]
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    weight = np.where(y == 1, (totals or (0, n_pos))[1] / n_pos, (totals or (n_neg, 0))[0] / n_neg)
+    if min(n_pos, n_neg) >= CALIBRATE_LEAST:  # enough to keep every fourth text of a class for the calibration alone
+        nth = np.zeros(len(y), np.int64)
+        for c in (0, 1):
+            nth[y == c] = np.arange((y == c).sum())
+        own = nth % 4 == 3
+        net, _, _ = _fit([t for t, o in zip(texts, own) if not o], y[~own], epochs, seed)
+        scorer = Scorer(net)
+        parts = [scorer.highest([texts[i] for i in part]) for part in np.array_split(np.flatnonzero(own), max(1, own.sum() // 64))]
+        _calibrate(net, np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), y[own], weight[own] / weight[own].mean())
+        return net
+    net, top, windows = _fit(texts, y, epochs, seed)
+    _calibrate(net, top, windows, y, weight / weight.mean())
+    return net
+
+
+def _fit(texts: list[bytes], y: np.ndarray, epochs: int, seed: int) -> tuple[Network, np.ndarray, np.ndarray]:
+    """The trained network, and of its own texts the highest logits and the numbers of windows."""
+    one: dict[bytes, bytes] = {}  # equal words share one object: the driver holds the sample's distinct words only
+    words = [[one.setdefault(w, w) for w in text_words(t)] for t in texts]
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
     seen = [Counter(w for ws, k in zip(words, y) if k == c for w in set(ws)) for c in (0, 1)]
     vocabulary = {w: i for i, w in enumerate(sorted(w for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= 3))}
@@ -268,9 +290,7 @@ def fit(texts: list[bytes], y: np.ndarray, totals: tuple[int, int] | None = None
         rank = np.concatenate([net.forward(gf[index[:, b : b + 2048]], gb[index[:, b : b + 2048]], live[:, b : b + 2048])[0] for b in range(0, index.shape[1], 2048)])
     top = np.full(len(words), -np.inf)
     np.maximum.at(top, owner, rank)
-    weight = np.where(y == 1, (totals or (0, n_pos))[1] / n_pos, (totals or (n_neg, 0))[0] / n_neg)
-    _calibrate(net, top, np.bincount(owner, minlength=len(words)).astype(float), y, weight / weight.mean())
-    return net
+    return net, top, np.bincount(owner, minlength=len(words)).astype(float)
 
 
 def _calibrate(net: Network, top: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -279,8 +299,8 @@ def _calibrate(net: Network, top: np.ndarray, windows: np.ndarray, y: np.ndarray
     b, base = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
     for _ in range(30):
         p = _sigmoid(np.clip(x @ b, -30, 30))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.3
-        b = b - np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.3 * (b - base)), -1, 1)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.1
+        b = b - np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.1 * (b - base)), -1, 1)
     net.scale, net.size, net.shift = max(float(b[0]), 1e-3), float(b[1]), float(b[2])
 
 
@@ -314,11 +334,15 @@ class Scorer:
         return np.array(found, np.int64)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        words = [text_words(t) for t in texts]
         if self.net.constant is not None:
             return np.full(len(texts), self.net.constant)
+        return self.net.probability(*self.highest(texts))
+
+    def highest(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window's logit of each text, and its number of windows."""
+        words = [text_words(t) for t in texts]
         lengths = [len(w) for w in words]
-        top, windows = np.full(len(texts), -np.inf), np.zeros(len(texts))
+        top = np.full(len(texts), -np.inf)
         if not any(lengths):
             flat = np.zeros(1, np.int64)
             self._ids([b"."]) if not self.n else None
@@ -329,8 +353,7 @@ class Scorer:
             i = flat[np.minimum(index[:, b : b + 1024], len(flat) - 1)]
             logit, _ = self.net.forward(self.gf[i], self.gb[i], live[:, b : b + 1024])
             np.maximum.at(top, owner[b : b + 1024], logit)
-        windows = np.bincount(owner, minlength=len(texts)).astype(float)
-        return self.net.probability(top, windows)
+        return top, np.bincount(owner, minlength=len(texts)).astype(float)
 
 
     def many(self, texts: list[bytes | None]) -> np.ndarray:
