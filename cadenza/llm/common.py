@@ -6,7 +6,9 @@ exactly what ``bytes.split()`` splits on, so words are taken from UTF-8 bytes wi
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        own = tempfile.mkdtemp(prefix="cadenza-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
