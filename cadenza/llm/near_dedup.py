@@ -68,23 +68,31 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from registers (rows of a and b), corrected for registers that agree by chance.
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity from registers (rows of a and b), and the number of buckets it rests on.
 
-    Minima of sets of sizes na and nb that are not the same hash share a register with probability about
-    0.72 * na * nb / (na + nb)^2 / 2^MANTISSA: the width of a register's cell at their common height.
+    Only buckets that are full in either set count; a bucket that took its neighbour's register reads like the
+    neighbour.  The share of equal registers is corrected for those that agree by chance: minima of sets of
+    sizes na and nb that are not the same hash share a register with probability about
+    0.72 * na * nb / (na + nb)^2 / 2^MANTISSA, the width of a register's cell at their common height.
     """
-    same = (a == b).mean(-1)
+    fa, fb = a != np.roll(a, -1, -1), b != np.roll(b, -1, -1)
+    full = np.maximum((fa | fb).sum(-1), 1)
+    same = ((a == b) & fa & fb).sum(-1) / full
     chance = 0.72 * na * nb / (na + nb) ** 2.0 / (1 << MANTISSA)
-    return (same - chance) / (1 - chance)
+    return np.where(((a == b).all(-1)), 1.0, (same - chance) / (1 - chance)), full
 
 
-def hopeful(est: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair may reach ``percent``: sizes allow it and the estimate is within five deviations."""
-    lo, hi = np.minimum(na, nb), np.maximum(na, nb)
+def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair may reach ``percent``: sizes allow it, and the estimate is within five deviations and one register.
+
+    Full buckets are a sample, without replacement, of the union's hashes, so small sets are known almost whole.
+    """
     t = percent / 100
-    effective = REGISTERS * (1 - np.exp(-lo / (2.0 * REGISTERS)))
-    return (100 * lo >= percent * hi) & (est >= t - 5 * np.sqrt(t * (1 - t) / effective))
+    est, full = estimate(a, b, na, nb)
+    union = np.maximum((na + nb) / (1 + t), full + 1.0)
+    spread = np.sqrt(t * (1 - t) / full * (union - full) / (union - 1))
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (est >= t - 5 * spread - 1.5 / full)
 
 
 def _regs(col: pa.Array) -> np.ndarray:
@@ -122,7 +130,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                ok = hopeful(estimate(_regs(batch.column(4)), _regs(batch.column(5)), na, nb), na, nb, percent)
+                ok = hopeful(_regs(batch.column(4)), _regs(batch.column(5)), na, nb, percent)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
@@ -247,7 +255,7 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
             first = (regs[j] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
             j = j[first == here]
             if len(j):
-                j = j[hopeful(estimate(regs[i][None], regs[j], n[i], n[j]), n[i], n[j], percent)]
+                j = j[hopeful(regs[i][None], regs[j], n[i], n[j], percent)]
                 yield np.full(len(j), ids[i]), ids[j]
 
     return _grouped(rows, ["n", "regs", "home"], work)

@@ -69,10 +69,27 @@ def test_estimate_follows_similarity():
             cut = int(len(pool) * (1 - share) / 2)
             a, b = np.sort(pool[cut:]), np.sort(pool[: len(pool) - cut])
             true = len(np.intersect1d(a, b)) / len(pool)
-            errors.append(near_dedup.estimate(near_dedup.registers(a), near_dedup.registers(b), len(a), len(b)) - true)
+            errors.append(near_dedup.estimate(near_dedup.registers(a), near_dedup.registers(b), len(a), len(b))[0] - true)
+            assert true < 0.8 or near_dedup.hopeful(near_dedup.registers(a), near_dedup.registers(b), len(a), len(b), 80)
         assert abs(np.mean(errors)) < 0.03
 
 
+def test_pairs_at_the_threshold_are_never_given_up():
+    """Sets of every size from one to hundreds whose similarity is 0.8 or just above."""
+    rng = np.random.default_rng(12)
+    for n in [1, 2, 4, 5, 8, 9, 10, 20, 45, 90, 150, 300, 900]:
+        for _ in range(60):
+            pool = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            k = n // 10  # n - 2k shared of n: at least 0.8
+            a, b = np.sort(rng.permutation(pool)[k:]), None
+            left = np.setdiff1d(pool, a)
+            drop = rng.permutation(a)[:k]
+            b = np.union1d(np.setdiff1d(a, drop), left)
+            assert 10 * len(np.intersect1d(a, b)) >= 8 * n
+            ra, rb = near_dedup.registers(a), near_dedup.registers(b)
+            assert near_dedup.hopeful(ra, rb, len(a), len(b), 80) and (near_dedup.band_keys(ra) == near_dedup.band_keys(rb)).any(), n
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
