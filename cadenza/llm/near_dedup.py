@@ -137,11 +137,15 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b) those whose full shingle sets reach the threshold.  Texts are moved once, those of pairs only."""
+    """Of (a, b) those whose full shingle sets reach the threshold.
+
+    Texts are moved once, and by merge joins at every size: a plan that broadcasts small id lists and shuffles
+    larger ones costs several times more from one size to the next.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    of_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = of_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    of_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = of_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
@@ -291,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first: every member of a bucket against the bucket's smallest id
     stars = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     left, right = (own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
-    tried = stage(_estimated(stars.join(right, "b").join(left, "a"), percent), "tried")
+    tried = stage(_estimated(stars.join(right.hint("merge"), "b").join(left.hint("merge"), "a"), percent), "tried")
     links = stage(_confirmed(tried, docs, size, percent), "links")
     joined = components(links, "first")
     # then: buckets of three and more whose members are still in different components
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each open document is held in full against the others of its largest open bucket, its home; there groups of
     # documents that share a passage meet, and what they are not is found without a pair leaving its block
     homes = stage(open_.groupBy("doc_id").agg(F.max(F.struct("members", "band")).alias("h"), F.first("component").alias("component")).select("doc_id", "component", F.col("h.members").alias("members"), F.col("h.band").alias("band")), "homes")
-    hashes = _sets(docs.join(homes.select("doc_id"), "doc_id", "left_semi"), size)
+    hashes = _sets(docs.join(homes.select("doc_id").hint("merge"), "doc_id", "left_semi"), size)
     found = stage(_home_links(_blocked(homes.join(hashes, "doc_id"), HOME_BLOCK), percent), "home-links")
     # pairs whose homes differ are estimated in the other buckets that they share, then confirmed like the stars
     rows = open_.join(own.select("doc_id", "n", "regs"), "doc_id").join(homes.select("doc_id", F.col("band").alias("home")), "doc_id")
