@@ -76,11 +76,14 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     sizes na and nb that are not the same hash share a register with probability about
     0.72 * na * nb / (na + nb)^2 / 2^MANTISSA, the width of a register's cell at their common height.
     """
-    fa, fb = a != np.roll(a, -1, -1), b != np.roll(b, -1, -1)
+    return _estimate(a == b, a != np.roll(a, -1, -1), b != np.roll(b, -1, -1), na, nb)
+
+
+def _estimate(equal: np.ndarray, fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.maximum((fa | fb).sum(-1), 1)
-    same = ((a == b) & fa & fb).sum(-1) / full
+    same = (equal & fa & fb).sum(-1) / full
     chance = 0.72 * na * nb / (na + nb) ** 2.0 / (1 << MANTISSA)
-    return np.where(((a == b).all(-1)), 1.0, (same - chance) / (1 - chance)), full
+    return np.where(equal.all(-1), 1.0, (same - chance) / (1 - chance)), full
 
 
 def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -88,8 +91,11 @@ def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percen
 
     Full buckets are a sample, without replacement, of the union's hashes, so small sets are known almost whole.
     """
+    return _hopeful(*estimate(a, b, na, nb), na, nb, percent)
+
+
+def _hopeful(est: np.ndarray, full: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     t = percent / 100
-    est, full = estimate(a, b, na, nb)
     union = np.maximum((na + nb) / (1 + t), full + 1.0)
     spread = np.sqrt(t * (1 - t) / full * (union - full) / (union - 1))
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (est >= t - 5 * spread - 1.5 / full)
@@ -253,13 +259,16 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
         if not wanted.any():
             return
         regs = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, REGISTERS)
+        full = regs != np.roll(regs, -1, -1)
         here = int(np.argmax(band_keys(regs[0]) == group[0][0]))
+        wanted &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
         for i in np.flatnonzero(wanted.any(1)):
             j = np.flatnonzero(wanted[i])
-            first = (regs[j] == regs[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            j = j[first == here]
+            equal = regs[j] == regs[i]
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == here
+            j, equal = j[first], equal[first]
             if len(j):
-                j = j[hopeful(regs[i][None], regs[j], n[i], n[j], percent)]
+                j = j[_hopeful(*_estimate(equal, full[i], full[j], n[i], n[j]), n[i], n[j], percent)]
                 yield np.full(len(j), ids[i]), ids[j]
 
     return _grouped(rows, ["n", "regs", "home"], work)
