@@ -34,44 +34,43 @@ _RAW = frozenset("script style noscript template iframe svg canvas textarea titl
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 _SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), "tfoot": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"])}
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RUNS = _HEADS | frozenset("p pre blockquote ul ol li dl dt dd".split())
 _HOLDERS = frozenset("ul ol dl table thead tbody tfoot tr div section article main body".split())
 #: Words of class, id and role that name a part of the page other than its article.
 _PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations pagination pager tags copyright legal disclaimer skip hidden contentinfo complementary".split()
 )
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)\]\]>|([!?][^>]*)>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTRS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_PART_WORD = re.compile(r"[a-z]+")
+_ATTRS = re.compile(r"""(?:"[^"]*"|'[^']*')|([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
 class Node:
-    """A block element: label, own text runs and child blocks in order, and whether it is set aside by name."""
+    """A block element: label, own text runs and child blocks in order, and whether it is set aside (``doubtful``: by its name alone)."""
 
-    __slots__ = ("tag", "label", "parts", "drop", "links")
+    __slots__ = ("tag", "label", "parts", "drop", "links", "doubtful")
 
-    def __init__(self, tag: str, label: str, drop: bool) -> None:
-        self.tag, self.label, self.drop, self.parts, self.links = tag, label, drop, [], 0
+    def __init__(self, tag: str, label: str, drop: bool, doubtful: bool = False) -> None:
+        self.tag, self.label, self.drop, self.parts, self.links, self.doubtful = tag, label, drop, [], 0, doubtful
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
-    """First class (for the label) and whether a name sets the element aside."""
+    """First class (for the label) and whether a name sets the element aside: whole words of class, id and role, no parts of them."""
     first, aside = "", False
-    if raw and ("=" in raw or "hidden" in raw):
+    if raw and ("=" in raw or "hidden" in raw.lower()):
+        found: dict[str, str] = {}
         for name, value in _ATTRS.findall(raw):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden":
-                aside |= value in ("", "hidden", "true")
-                continue
-            if name == "class" and not first:
-                first = value.split()[0] if value.split() else ""
-            if name == "role":
-                aside |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
-            else:
-                aside |= any(w in _PARTS for token in value.split() for w in _PART_WORD.findall(token))
+            found.setdefault(name.lower(), value.strip("\"'").lower())  # of a repeated attribute the first counts
+        aside = found.get("hidden", "no") in ("", "hidden", "true") or found.get("aria-hidden") in ("", "true")
+        words = found.get("class", "").split()
+        first = words[0] if words else ""
+        aside |= any(w in _PARTS for w in (*words, *found.get("id", "").split()))
+        aside |= any(w in _ROLES for w in found.get("role", "").split())
     return first, aside
 
 
@@ -129,16 +128,59 @@ def parse(page: str) -> Node:
         first, aside = _attributes(m[5])
         # the page's skeleton is never set aside by its classes
         drop = tag in _DROP or (aside and tag not in ("html", "body", "main", "article", "h1"))
-        node = Node(tag, f"{tag}.{first}" if first else tag, drop)
+        node = Node(tag, f"{tag}.{first}" if first else tag, drop, drop and (tag not in _DROP or tag in ("form", "fieldset")))
         stack[-1].parts.append(node)
         link = 0 if tag in _BLOCK and link else link
         if not m[5].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     if not lost and at < len(page):
         _text(stack[-1], page[at:], link)
+    _restore(root)
     return root
 
 
+def _restore(root: Node) -> None:
+    """Nodes set aside by name alone (and forms) come back where they hold the page's main text, its only article or all of an article."""
+    best: dict[bool, tuple[int, list[Node]]] = {}  # an article or main, or a slot outside: the longest text that is no link, and the doubtful nodes above
+    doubts: list[Node] = []
+    shown: list[int] = []  # articles outside of what is set aside
+    back: list[Node] = []
+
+    def visit(node: Node, path: list[Node], article: dict | None) -> int:
+        if node.drop and not node.doubtful:
+            return 0
+        if node.doubtful:
+            doubts.append(node)
+            path = [*path, node]
+        top = article is None and node.tag in ("article", "main")
+        if top:
+            article = {"depth": len(path), "kept": 0, "most": (0, [])}
+        own = max(0, sum(len(p.strip()) for p in node.parts if isinstance(p, str)) - 2 * node.links)
+        if article is not None and node.tag not in _HEADS:
+            if len(path) == article["depth"]:
+                article["kept"] += own
+            elif own > article["most"][0]:
+                article["most"] = own, path[article["depth"] :]
+        size = own + sum(visit(p, path, article) for p in node.children())
+        if size and top:
+            if not path:
+                shown.append(size)
+            if not article["kept"]:
+                back.extend(article["most"][1])
+        if (top or article is None) and size > best.get(top, (0,))[0]:
+            best[top] = size, path
+        # runs of text count for what they stand in, an article for all of its text
+        return size if article is not None and not top or node.tag in _RUNS else 0
+
+    visit(root, [], None)
+    if doubts and best:
+        back += max(best.values(), key=lambda x: x[0])[1]
+        if not shown and True in best:
+            back += best[True][1]
+        for node in back:
+            node.drop = False
+
+
 def _text(node: Node, raw: str, link: int) -> None:
     node.parts.append(raw)
     if link:

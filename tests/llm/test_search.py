@@ -52,6 +52,19 @@ def test_page():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_names_set_nothing_else_aside():
+    """Values are no attribute names, parts of class words no class words; what holds the main text is never set aside."""
+    for raw in ('style="overflow:hidden"', 'title="a hidden gem"', 'class="overflow-hidden"', 'class="layout has-sidebar"', 'class="no-comments"', "data-x='class=ad id=ads'"):
+        assert html_extract.extract(f"<body><div {raw}><article><h1>T</h1><p>Whole text.</p></article></div></body>") == "T Whole text."
+        assert html_extract.extract(f"<body><div {raw}><p>Whole text.</p></div><div><p>More.</p></div></body>") == "Whole text. More."
+    for raw in ('class="widget"', 'id="sidebar"', 'class="page hidden"', "role=form", "hidden"):
+        assert html_extract.extract(f"<body><div {raw}><article><h1>T</h1><p>Whole text.</p></article></div></body>") == "T Whole text."
+        assert html_extract.extract(f"<body><div {raw}><p>All of the long main text.</p></div><div><p>More.</p></div></body>") == "All of the long main text. More."
+        assert html_extract.extract(f"<body><article><h1>T</h1><div {raw}><p>Whole text.</p></div></article></body>") == "T Whole text."
+        assert html_extract.extract(f"<body><article><p>Whole text.</p><div {raw}><p>x</p></div></article></body>") == "Whole text."
+    assert html_extract.extract("<body><form id=f><div><article><p>Whole text.</p></article></div><input></form></body>") == "Whole text."
+
+
 def test_tree_matching():
     a, b = html_extract.tree("<body><h2>x</h2><p>1<p>2<ul><li>a</ul></body>"), html_extract.tree("<body><p>9<ul><li>b<li>c</ul></body>")
     size, pairs = html_extract.match(a, b)
