@@ -23,6 +23,8 @@ from cadenza.llm.common import stage
 
 #: Share of the compared pages on which a template slot reads the same, and the fewest pages compared.
 CONSTANT_SHARE, LEAST_PAGES, LINK_SHARE = 0.6, 3, 0.5
+#: Counts the compared pages of a host, beside the numbers of its slots.
+PAGE = -1
 #: Elements nested deeper are borders in their ancestor's text; slots wider than this (children times children) are aligned greedily.
 DEPTH, WIDE = 120, 10_000
 #: Hosts and bytes of reference pages up to which they are broadcast; beyond, pages are shuffled by host.
@@ -143,7 +145,8 @@ def _restore(root: Node) -> None:
     """Nodes set aside by name alone (and forms) come back where they hold the page's main text, its only article or all of an article."""
     best: dict[bool, tuple[int, list[Node]]] = {}  # an article or main, or a slot outside: the longest text that is no link, and the doubtful nodes above
     doubts: list[Node] = []
-    shown: list[int] = []  # articles outside of what is set aside
+    stands: list[int] = []  # articles outside of what is set aside
+    shown: list[int] = []  # those with more than headings
     back: list[Node] = []
 
     def visit(node: Node, path: list[Node], article: dict | None) -> int:
@@ -164,7 +167,8 @@ def _restore(root: Node) -> None:
         size = own + sum(visit(p, path, article) for p in node.children())
         if size and top:
             if not path:
-                shown.append(size)
+                stands.append(size)
+                shown.extend([article["kept"]] if article["kept"] else [])
             if not article["kept"]:
                 back.extend(article["most"][1])
         if (top or article is None) and size > best.get(top, (0,))[0]:
@@ -173,10 +177,11 @@ def _restore(root: Node) -> None:
         return size if article is not None and not top or node.tag in _RUNS else 0
 
     visit(root, [], None)
-    if doubts and best:
+    if doubts and best and not shown:
         back += max(best.values(), key=lambda x: x[0])[1]
-        if not shown and True in best:
+        if True in best and not stands:
             back += best[True][1]
+    if doubts:
         for node in back:
             node.drop = False
 
@@ -300,21 +305,44 @@ def _mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def main_slot(root: Slot) -> Slot:
-    """The slot with most text that is not links; article and main before the rest."""
-    return max(_walk(root), key=lambda x: (x[1] and bool(x[0].text), len(x[0].text) - 2 * x[0].links))[0]
+def main_slot(root: Slot) -> tuple[Slot, bool]:
+    """The slot with most text that is not links, and whether it is in an article or main: that counts with all of its text."""
+    weigh = lambda s: len(s.text) - 2 * s.links
+    best, inside, most = root, False, weigh(root)
+    stack = [root]
+    while stack:
+        s = stack.pop()
+        if s.label.partition(".")[0] in ("article", "main"):
+            own = [x for x, _ in _walk(s) if x.text]
+            size, top = sum(max(0, weigh(x)) for x in own), True
+        else:
+            own, size, top = [s], weigh(s), False
+            stack += s.slots
+        if own and (size > most or (top and not inside and size == most)):
+            best, inside, most = max(own, key=weigh), top, size
+    return best, inside
+
+
+def _leads(root: Slot) -> tuple[str, str]:
+    """Texts of the main slot and of the longest slot in an article or main, which are one on most pages."""
+    inside = [s for s, inside in _walk(root) if inside]
+    return main_slot(root)[0].text, max(inside, key=lambda s: len(s.text) - 2 * s.links).text if inside else ""
 
 
 def compare(page: str, reference: str) -> list[tuple[int, bool]]:
-    """For a page whose main slot differs from the reference's: (reference slot, reads the same) of each aligned slot."""
+    """For a page whose main slot differs from the reference's: (reference slot, reads the same) of each aligned slot.
+
+    The longest slot in an article or main counts as a main slot too, so a long notice does not make all pages one.
+    """
     a, b = tree(reference), tree(page)
-    if main_slot(a).text == main_slot(b).text:
+    if _leads(a) == _leads(b):
         return []
     return [(x.key, x.text == y.text) for x, y in match(a, b)[1] if x.text and y.text]
 
 
-def extract(page: str | None, reference: str | None = None, template: frozenset[int] = frozenset()) -> str:
-    """The article's text.  ``template``: slots of ``reference`` that belong to the host's template."""
+def extract(page: str | None, reference: str | None = None, template: frozenset[int] = frozenset(), learned: bool = False) -> str:
+    """The article's text.  ``template``: slots of ``reference`` that belong to the host's template; ``learned``: enough
+    pages of the host were compared, so that slots outside of article and main are content unless they are template."""
     if not page:
         return ""
     root = tree(page)
@@ -323,15 +351,15 @@ def extract(page: str | None, reference: str | None = None, template: frozenset[
         out_of = {y.key for x, y in match(tree(reference), root)[1] if x.key in template}
     keep: set[int] = set()
     skip: set[int] = set()
-    slots = list(_walk(root))
-    articles = any(inside and s.text for s, inside in slots)
-    for s, inside in slots:
+    main, articles = main_slot(root)
+    for s, inside in _walk(root):
         tag = s.label.partition(".")[0]
         plain = s.label in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main")
         linked = s.links > LINK_SHARE * max(1, len(s.text)) and not plain
-        if tag == "header" and not inside:
+        # without evidence from the host, elements decide
+        if tag == "header" and not inside and not learned and all(x is not main for x, _ in _walk(s)):
             skip.add(s.key)  # with all that is in it
-        elif s.text and not (articles and not inside) and not (s.key in out_of and not (inside and plain)) and not linked:
+        elif s.text and not (articles and not inside and not learned) and not (s.key in out_of and not (inside and plain)) and not linked:
             keep.add(s.key)
     return " ".join(_gather(root, keep, skip))
 
@@ -393,7 +421,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             found: dict[tuple[str, int], list[int]] = {}
             for h, page, ref in zip(*(c.to_pylist() for c in batch.columns)):
                 if page and ref and page != ref:
-                    for key, same in compare(page, ref):
+                    pairs = compare(page, ref)
+                    for key, same in [(PAGE, True), *pairs] if pairs else ():
                         got = found.setdefault((h, key), [0, 0])
                         got[0] += 1
                         got[1] += same
@@ -401,12 +430,13 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     counts = paired.select("host", "html", "reference").mapInArrow(learn, "host string, slot long, n long, same long")
     fixed = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
+    # a host has a row here, if with no slot but PAGE, where enough pages were compared
     wrapper = reference.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template")), "host")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page, ref, frozenset(t or ())) for page, ref, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [extract(page, ref, frozenset(t or ()) - {PAGE}, PAGE in (t or ())) for page, ref, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # hosts without a template need no alignment, so their reference is not carried along
+    # hosts with too few pages need no alignment, so their reference is not carried along
     return rows.join(small(wrapper), "host", "left").select("page_id", "url", "html", "reference", "template").mapInArrow(apply, "page_id long, url string, text string, n_chars long")

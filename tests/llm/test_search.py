@@ -83,3 +83,19 @@ def test_host_template(spark):
         assert got[i, f"http://h.example/{i}"] == (text, len(text))
     assert got[50, None] == ("", 0) and "Welcome" in got[51, "http://other.example"][0]
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_varying_slots_outside_articles_stay(spark):
+    """An article that is a teaser, or a main with only a heading, does not take the text that stands beside it."""
+    teaser = lambda i: f"<body><div class='top'>Welcome to our host</div><div class='content'><p>Story {i} tells of many things {i}.</p></div><article><h2>Read also {i % 2}</h2></article></body>"
+    heading = lambda i: f"<body><div class='top'>Welcome to our host</div><main><h1>Heading {i}</h1></main><div class='content'><div>Story {i}</div><p>It tells of many things.</p></div></body>"
+    beside = lambda i: f"<body><div class='top'>Welcome to our host</div><div class='date'>Day {i}</div><article><p>Story {i} tells of many things {i}.</p></article></body>"
+    kinds = {"teaser": teaser, "heading": heading, "beside": beside}
+    rows = [(100 * k + i, f"http://{name}.example/{i}", page(i)) for k, (name, page) in enumerate(kinds.items()) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        assert got[i] == f"Story {i} tells of many things {i}. Read also {i % 2}"
+        assert f"Heading {i}" in got[100 + i] and f"Story {i}" in got[100 + i] and "Welcome" not in got[100 + i]
+        assert got[200 + i] == f"Day {i} Story {i} tells of many things {i}."
+    assert "Story 1 tells" in html_extract.extract(teaser(1))  # a host of one page
+    assert html_extract.extract(beside(1)) == "Story 1 tells of many things 1."
