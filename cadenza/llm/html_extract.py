@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a tree of its block elements; consecutive siblings with one label and no blocks inside are
-one repeated slot, so trees stay small.  Every page is aligned with its host's reference page (the smallest
-page id) by simple tree matching.  A slot of the reference whose text is the same on most pages that differ
+one repeated slot, so trees stay small.  Every page is aligned by simple tree matching with a reference page
+of its host and layout (the smallest page id with text) and with the one of the host's most usual layout.  A slot of the reference whose text is the same on most pages that differ
 in their main slot is part of the host's template; slots that vary are content unless their element or
 class says otherwise or their text is mostly links.  What is learned from a host are counts by slot, summed
 before they are shuffled; no host's pages meet in one task.
@@ -38,6 +38,8 @@ _ENDS_P = _BLOCK - {"html", "body"}
 _SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), "tfoot": frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"])}
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RUNS = _HEADS | frozenset("p pre blockquote ul ol li dl dt dd".split())
+_FRAME = frozenset("div section article main header table center".split())
+_NUMBER = re.compile(r"\d{2,}")
 _HOLDERS = frozenset("ul ol dl table thead tbody tfoot tr div section article main body".split())
 #: Words of class, id and role that name a part of the page other than its article.
 _PARTS = frozenset(
@@ -301,6 +303,21 @@ def tree(page: str) -> Slot:
     return root
 
 
+_trees: dict[str, Slot] = {}
+
+
+def reference_tree(page: str) -> Slot:
+    """A reference page's tree; a worker remembers some of moderate size."""
+    if page not in _trees:
+        root = tree(page)
+        if len(page) > 1 << 20:
+            return root
+        if len(_trees) >= 64:
+            _trees.clear()
+        _trees[page] = root
+    return _trees[page]
+
+
 def _mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
@@ -323,6 +340,24 @@ def main_slot(root: Slot) -> tuple[Slot, bool]:
     return best, inside
 
 
+def layout(page: str | None) -> int | None:
+    """A hash of the labels of a page's frame: body's children that are containers, and the containers with a class in
+    them, outside of article and main, three levels deep.  Numbers in labels do not count.  A page without text has none."""
+    labels: set[str] = set()
+    said = False
+    stack = [(parse(page or ""), 0, True)]
+    while stack:
+        node, depth, frame = stack.pop()
+        if node.drop:
+            continue
+        said = said or any(isinstance(p, str) and p.strip() for p in node.parts)
+        if frame and node.tag in _FRAME and (depth == 1 or "." in node.label):
+            labels.add(_NUMBER.sub("#", node.label))
+        frame = frame and depth < 3 and node.tag not in ("article", "main")
+        stack += [(c, 0 if c.tag in ("html", "body") else depth + 1, frame) for c in node.children()]
+    return _mark(" ".join(sorted(labels))) if said else None
+
+
 def _leads(root: Slot) -> tuple[str, str]:
     """Texts of the main slot and of the longest slot in an article or main, which are one on most pages."""
     inside = [s for s, inside in _walk(root) if inside]
@@ -334,21 +369,25 @@ def compare(page: str, reference: str) -> list[tuple[int, bool]]:
 
     The longest slot in an article or main counts as a main slot too, so a long notice does not make all pages one.
     """
-    a, b = tree(reference), tree(page)
+    a, b = reference_tree(reference), tree(page)
     if _leads(a) == _leads(b):
         return []
     return [(x.key, x.text == y.text) for x, y in match(a, b)[1] if x.text and y.text]
 
 
-def extract(page: str | None, reference: str | None = None, template: frozenset[int] = frozenset(), learned: bool = False) -> str:
-    """The article's text.  ``template``: slots of ``reference`` that belong to the host's template; ``learned``: enough
-    pages of the host were compared, so that slots outside of article and main are content unless they are template."""
+def extract(page: str | None, reference: str | None = None, template: frozenset[int] = frozenset(), learned: bool = False, base: str | None = None, base_template: frozenset[int] = frozenset()) -> str:
+    """The article's text.  ``template``: slots of ``reference``, a page of the same layout, that belong to its template;
+    ``base_template``: those of ``base``, a page of the host's usual layout: of them, slots that read the same go.
+    ``learned``: enough pages of the host were compared, so that slots outside of article and main are content unless
+    they are template."""
     if not page:
         return ""
     root = tree(page)
     out_of: set[int] = set()
     if template and reference:
-        out_of = {y.key for x, y in match(tree(reference), root)[1] if x.key in template}
+        out_of = {y.key for x, y in match(reference_tree(reference), root)[1] if x.key in template}
+    if base_template and base and base != reference:
+        out_of |= {y.key for x, y in match(reference_tree(base), root)[1] if x.key in base_template and x.text == y.text}
     keep: set[int] = set()
     skip: set[int] = set()
     main, articles = main_slot(root)
@@ -403,40 +442,65 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row for each row of ``pages``: page_id, url, text, n_chars (code points).
 
     Null or empty html: empty text.  A null url or one without a host shares the host ''.  Rows may repeat; a
-    null id never makes a page the reference.  Other columns are not read.  Pages are not shuffled while the hosts'
-    reference pages are few enough to be broadcast, which is counted first; beyond, they are joined by shuffle.
+    null id or a page without text never makes a page the reference.  Every layout of a host with enough pages has a
+    reference; that of the layout with most pages serves the whole host too.  Other columns are not read.  Pages are not
+    shuffled while the reference pages are few enough to be broadcast, which is counted first; beyond, they are joined
+    by shuffle.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)))
-    first = stage(rows.where("page_id IS NOT NULL AND html IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("rid")), "first-pages")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layout(x) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "layout"])
+
+    signed = rows.mapInArrow(sign, "page_id long, url string, html string, host string, layout long")
+    layouts = stage(signed.where("page_id IS NOT NULL AND layout IS NOT NULL").groupBy("host", "layout").agg(F.min("page_id").alias("rid"), F.count(F.lit(1)).alias("n")), "layouts")
+    usual = layouts.groupBy("host").agg(F.max_by("rid", F.struct("n", -F.col("rid"), "layout")).alias("usual_rid"), F.max_by("layout", F.struct("n", -F.col("rid"), "layout")).alias("usual_layout"))
+    # fewer pages of a layout teach nothing
+    first = stage(layouts.join(usual, "host").withColumn("usual", F.col("layout") == F.col("usual_layout")).where(F.col("usual") | (F.col("n") > LEAST_PAGES)).select("host", "rid", F.col("layout").alias("own"), "usual"), "first-pages")
     few = F.broadcast if first.count() <= SMALL_HOSTS else lambda x: x
-    reference = rows.select("host", F.col("page_id").alias("rid"), F.col("html").alias("reference")).join(few(first), ["host", "rid"])
-    reference = stage(reference.groupBy("host").agg(F.min("reference").alias("reference")), "references")  # one, if a page id repeats
+    found = rows.withColumnRenamed("page_id", "rid").join(few(first), ["host", "rid"]).select(F.col("rid").alias("page_id"), "url", "html", "host", "own", "usual")
+    found = found.mapInArrow(sign, "page_id long, url string, html string, host string, own long, usual boolean, layout long").where("layout = own")
+    reference = stage(found.groupBy("host", "layout", "usual").agg(F.min("html").alias("reference")), "references")  # one, if a page id repeats
     size = reference.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
     small = F.broadcast if size <= SMALL_BYTES else lambda x: x
-    paired = rows.join(small(reference), "host", "left")
+    base = reference.where("usual").select("host", F.col("reference").alias("base"))
+    reference = reference.drop("usual")
+    paired = signed.join(small(reference), ["host", "layout"], "left").join(small(base), "host", "left")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], list[int]] = {}
-            for h, page, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                if page and ref and page != ref:
-                    pairs = compare(page, ref)
-                    for key, same in [(PAGE, True), *pairs] if pairs else ():
-                        got = found.setdefault((h, key), [0, 0])
+            found: dict[tuple[str, int | None, int], list[int]] = {}
+            for h, own, page, ref, usual_page in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None:
+                    continue
+                pairs = compare(page, ref) if ref and page != ref else []
+                wide = pairs if usual_page == ref else compare(page, usual_page) if usual_page and page != usual_page else []
+                for key, counted in ((own, pairs), (None, wide)):
+                    for slot, same in [(PAGE, True), *counted] if counted else ():
+                        got = found.setdefault((h, key, slot), [0, 0])
                         got[0] += 1
                         got[1] += same
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["host", "slot", "n", "same"])
+            columns = [[k[i] for k in found] for i in range(3)] + [[v[i] for v in found.values()] for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], ["host", "layout", "slot", "n", "same"])
 
-    counts = paired.select("host", "html", "reference").mapInArrow(learn, "host string, slot long, n long, same long")
-    fixed = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-    # a host has a row here, if with no slot but PAGE, where enough pages were compared
-    wrapper = reference.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template")), "host")
+    counts = paired.select("host", "layout", "html", "reference", "base").mapInArrow(learn, "host string, layout long, slot long, n long, same long")
+    fixed = counts.groupBy("host", "layout", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
+    # a layout, or a host (no layout), has a row here, if with no slot but PAGE, where enough pages were compared
+    fixed = stage(fixed.groupBy("host", "layout").agg(F.sort_array(F.collect_list("slot")).alias("template")), "templates")
+    wrapper = reference.join(fixed, ["host", "layout"])
+    whole = base.join(fixed.where("layout IS NULL").select("host", F.col("template").alias("base_template")), "host")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page, ref, frozenset(t or ()) - {PAGE}, PAGE in (t or ())) for page, ref, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = []
+            for page, ref, t, usual_page, u in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+                own, wide = frozenset(t or ()), frozenset(u or ())
+                texts.append(extract(page, ref, own - {PAGE}, PAGE in own or PAGE in wide, usual_page, wide - {PAGE}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # hosts with too few pages need no alignment, so their reference is not carried along
-    return rows.join(small(wrapper), "host", "left").select("page_id", "url", "html", "reference", "template").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    # layouts and hosts with too few pages need no alignment, so their reference is not carried along
+    paired = signed.join(small(wrapper), ["host", "layout"], "left").join(small(whole), "host", "left")
+    return paired.select("page_id", "url", "html", "reference", "template", "base", "base_template").mapInArrow(apply, "page_id long, url string, text string, n_chars long")

@@ -99,3 +99,15 @@ def test_varying_slots_outside_articles_stay(spark):
         assert got[200 + i] == f"Day {i} Story {i} tells of many things {i}."
     assert "Story 1 tells" in html_extract.extract(teaser(1))  # a host of one page
     assert html_extract.extract(beside(1)) == "Story 1 tells of many things 1."
+
+
+def test_every_layout_has_a_reference(spark):
+    """Neither an empty page, an error page nor a page of another layout is what all pages of a host are aligned with."""
+    one = lambda i: f"<body><div class='top'>Welcome to our host</div><div class='text'><p>Story {i} tells of many things {i}.</p></div></body>"
+    two = lambda i: f"<body><div class='menu-bar'>All that we have</div><div class='note'>Written by nobody</div><section class='body'><h2>Report {i}</h2><p>It is about {i} and more.</p></section></body>"
+    for k, empty in enumerate(("", " ", "<html><body></body></html>", "<body><center><h1>404</h1></center></body>")):
+        rows = [(1, "http://h.example/", empty)] + [(10 + i, "http://h.example/", one(i)) for i in range(9)] + [(30 + i, "http://h.example/", two(i)) for i in range(8)]
+        got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+        assert len(got) == len(rows) and got[1] == ("404" if k == 3 else "")
+        assert all(got[10 + i] == f"Story {i} tells of many things {i}." for i in range(9))
+        assert all(got[30 + i] == f"Report {i} It is about {i} and more." for i in range(8))
