@@ -326,6 +326,8 @@ _PROX = _ALIGN.replace("1::BIGINT AS pair", "ride AS pair") + f""", g AS (SELECT
   ev_ AS (SELECT pair, count(*) AS samples, min(i) AS f, min(ts) AS start_ts, max(ts) AS end_ts, min_by(d, ts) / 1000 AS km_start, avg(im) AS avg_inter_m, max(im) - min(im) AS spread_m, avg(gp) AS avg_grade_pct, coalesce(avg(p), 0) AS avg_pwr_r1, coalesce(max(p + 1), 0) AS max_pwr_r2, coalesce(avg(hr), 0) AS avg_hr_r1 FROM q WHERE ok GROUP BY pair, z HAVING count(*) >= 3)"""
 _short("proximity", lambda r: _events(r).select("pair", "samples", "start_ts", "end_ts", "km_start", "avg_inter_m", "avg_grade_pct", "avg_pwr_r1", "max_pwr_r2", "avg_hr_r1"), _PROX + " SELECT pair, samples, start_ts, end_ts, round(km_start, 4) AS km_start, round(avg_inter_m, 4) AS avg_inter_m, round(avg_grade_pct, 4) AS avg_grade_pct, round(avg_pwr_r1, 4) AS avg_pwr_r1, round(max_pwr_r2, 4) AS max_pwr_r2, round(avg_hr_r1, 4) AS avg_hr_r1 FROM ev_")
 _short("chase", lambda r: joins.chase_episodes(_events(r)).where("rank <= 3").select("pair", "rank", "start_ts", "score"), _PROX + " SELECT pair, rank, start_ts, round(score, 4) AS score FROM (SELECT pair, start_ts, samples * 0.5e0 + spread_m AS score, row_number() OVER (PARTITION BY pair ORDER BY samples * 0.5e0 + spread_m DESC, f)::INTEGER AS rank FROM ev_) WHERE rank <= 3")
+# every episode, where chase gives the first three of a pair
+_short("chase_episodes", lambda r: joins.chase_episodes(_events(r)).select("pair", "rank", "start_ts", "score"), _PROX + " SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY samples * 0.5e0 + spread_m DESC, f)::INTEGER AS rank, start_ts, round(samples * 0.5e0 + spread_m, 4) AS score FROM ev_")
 
 
 def _devices(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
