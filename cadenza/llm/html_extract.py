@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from cadenza.llm.common import stage
 CONSTANT_SHARE, LEAST_PAGES, LINK_SHARE = 0.6, 3, 0.5
 #: Counts the compared pages of a host, beside the numbers of its slots.
 PAGE = -1
-#: Elements nested deeper are borders in their ancestor's text; slots wider than this (children times children) are aligned greedily.
-DEPTH, WIDE = 120, 10_000
+#: Elements nested deeper are borders in their ancestor's text; slots wider than this (children times children) are aligned row by row.
+DEPTH, WIDE, ROWS = 120, 10_000, 256
 #: Hosts and bytes of reference pages up to which they are broadcast; beyond, pages are shuffled by host.
 SMALL_HOSTS, SMALL_BYTES = 100_000, 64 << 20
 # fixed values: the elements of HTML by their part in a page
@@ -90,10 +91,10 @@ def parse(page: str) -> Node:
             lost, at = "", m.end()
             continue
         if m.start() > at:
-            _text(stack[-1], page[at : m.start()], link)
+            _text(stack, page[at : m.start()], link)
         at = m.end()
         if m[1] is not None:
-            _text(stack[-1], m[1].replace("&", "&amp;"), link)
+            _text(stack, m[1].replace("&", "&amp;"), link)
         tag = (m[4] or "").lower()
         if not tag:
             continue
@@ -103,6 +104,8 @@ def parse(page: str) -> Node:
             elif tag in _BLOCK or tag in _DROP:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
+                        if k >= DEPTH:
+                            stack[DEPTH - 1].parts.append(" ")
                         del stack[k:]
                         break
             continue
@@ -110,10 +113,10 @@ def parse(page: str) -> Node:
             if not m[5].endswith("/"):
                 lost = tag
             if tag in _BLOCK:
-                stack[-1].parts.append(Node(tag, tag, True))
+                _holder(stack).parts.append(Node(tag, tag, True))
             continue
         if tag == "br" or tag == "hr":
-            stack[-1].parts.append(" ")
+            _holder(stack).parts.append(" ")
         if tag in _VOID:
             continue
         if tag == "a":
@@ -133,12 +136,16 @@ def parse(page: str) -> Node:
         # the page's skeleton is never set aside by its classes
         drop = tag in _DROP or (aside and tag not in ("html", "body", "main", "article", "h1"))
         node = Node(tag, f"{tag}.{first}" if first else tag, drop, drop and (tag not in _DROP or tag in ("form", "fieldset")))
-        stack[-1].parts.append(node)
         link = 0 if tag in _BLOCK and link else link
-        if not m[5].endswith("/") and len(stack) < DEPTH:
+        if len(stack) < DEPTH:
+            stack[-1].parts.append(node)
+        else:
+            stack[DEPTH - 1].parts.append(Node(tag, tag, False))
+            node.drop = node.drop and not node.doubtful or len(stack) > DEPTH and stack[-1].drop
+        if not m[5].endswith("/"):
             stack.append(node)
     if not lost and at < len(page):
-        _text(stack[-1], page[at:], link)
+        _text(stack, page[at:], link)
     _restore(root)
     return root
 
@@ -188,7 +195,15 @@ def _restore(root: Node) -> None:
             node.drop = False
 
 
-def _text(node: Node, raw: str, link: int) -> None:
+def _holder(stack: list[Node]) -> Node:
+    """The node that takes what comes next: elements below DEPTH are counted, but hold nothing."""
+    return stack[min(len(stack), DEPTH) - 1]
+
+
+def _text(stack: list[Node], raw: str, link: int) -> None:
+    if len(stack) > DEPTH and stack[-1].drop:
+        return
+    node = _holder(stack)
     node.parts.append(raw)
     if link:
         node.links += len(raw)
@@ -217,12 +232,13 @@ def blocks(node: Node) -> list[str]:
 
 
 class Slot:
-    """A node of the compressed tree: a label, the nodes it stands for, its child slots."""
+    """A node of the compressed tree: a label, the nodes it stands for, its child slots.  Slots of one shape have the same labels below them."""
 
-    __slots__ = ("label", "nodes", "slots", "text", "links", "key")
+    __slots__ = ("label", "nodes", "slots", "text", "links", "key", "shape", "size")
 
     def __init__(self, label: str, nodes: list[Node]) -> None:
         self.label, self.nodes, self.slots, self.text, self.links, self.key = label, nodes, [], "", 0, -1
+        self.shape, self.size = 0, 1
 
 
 def compress(node: Node) -> Slot:
@@ -251,6 +267,7 @@ def number(slot: Slot, start: int = 0) -> int:
     start += 1
     for s in slot.slots:
         start = number(s, start)
+    slot.shape, slot.size = hash((slot.label, *(s.shape for s in slot.slots))), start - slot.key
     return start
 
 
@@ -262,12 +279,11 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     if not n or not m:
         return 1, [(a, b)]
     if n * m > WIDE:
-        pairs, total, j = [(a, b)], 1, 0
-        for s in a.slots:
-            k = next((k for k in range(j, min(m, j + WIDE // n + 8)) if b.slots[k].label == s.label), None)
-            if k is not None:
-                w, got = match(s, b.slots[k])
-                pairs, total, j = pairs + got, total + w, k + 1
+        total, pairs = 1, [(a, b)]
+        for i, j in _wide(a.slots, b.slots):
+            w, got = match(a.slots[i], b.slots[j])
+            total += w
+            pairs += got
         return total, pairs
     found = {}
     score = [[0] * (m + 1) for _ in range(n + 1)]
@@ -290,6 +306,55 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     return 1 + score[n][m], pairs
 
 
+def _wide(a: list[Slot], b: list[Slot]) -> Iterator[tuple[int, int]]:
+    """The pairs that the recurrence of ``match`` chooses, last first, without a whole table.
+
+    Equal shapes at both ends pair with each other, as no other pairing weighs more.  Each ROWS-th row of the rest is
+    kept and the rows between are computed again on the way back; weights are by pairs of shapes.
+    """
+    lo, n, m = 0, len(a), len(b)
+    while lo < min(n, m) and a[lo].shape == b[lo].shape:
+        lo += 1
+    while min(n, m) > lo and a[n - 1].shape == b[m - 1].shape:
+        n, m = n - 1, m - 1
+        yield n, m
+    ends = [(i, i) for i in range(lo - 1, -1, -1)]
+    x, y = a[lo:n], b[lo:m]
+    shapes: dict[int, int] = {}
+    of = np.array([shapes.setdefault(s.shape, len(shapes)) for s in y], np.int64)
+    kinds = list({s.shape: s for s in y}.values())
+    weights: dict[int, np.ndarray] = {}
+
+    def row(before: np.ndarray, s: Slot) -> np.ndarray:
+        if s.shape not in weights:
+            weights[s.shape] = np.array([match(s, t)[0] for t in kinds], np.int32)
+        after = np.maximum(before[1:], before[:-1] + weights[s.shape][of])
+        return np.concatenate([before[:1], np.maximum.accumulate(after)])
+
+    if x and y:
+        kept, last = [], np.zeros(len(y) + 1, np.int32)
+        for i, s in enumerate(x):
+            if i % ROWS == 0:
+                kept.append(last)
+            last = row(last, s)
+        i, j = len(x), len(y)
+        while i and j:
+            first = (i - 1) // ROWS * ROWS
+            rows = [kept[first // ROWS]]
+            for s in x[first:i]:
+                rows.append(row(rows[-1], s))
+            while i > first and j:
+                now, up = rows[i - first], rows[i - first - 1]
+                if now[j] == up[j]:
+                    i -= 1
+                elif now[j] == now[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield lo + i, lo + j
+    yield from ends
+
+
 def _walk(slot: Slot, inside: bool = False) -> Iterator[tuple[Slot, bool]]:
     inside = inside or slot.label.partition(".")[0] in ("article", "main")
     yield slot, inside

@@ -111,3 +111,23 @@ def test_every_layout_has_a_reference(spark):
         assert len(got) == len(rows) and got[1] == ("404" if k == 3 else "")
         assert all(got[10 + i] == f"Story {i} tells of many things {i}." for i in range(9))
         assert all(got[30 + i] == f"Report {i} It is about {i} and more." for i in range(8))
+
+
+def test_wide_and_deep_pages():
+    """Wide levels are matched as narrow ones are; elements below DEPTH are left out and closed as those above."""
+    rng = np.random.default_rng(2)
+    kinds = ["<h2>x</h2>", "<ul><li>a</li></ul>", "<table><tr><td>a</td><th>b</th></tr></table>", "<table><tr><td>a</td></tr></table>", "<p>t</p>", "<div><p>a</p><h3>b</h3></div>"]
+    for sizes in ((150, 150), (400, 90), (140, 600)):
+        a, b = (html_extract.tree("<body>" + "".join(rng.choice(kinds, n)) + "</body>") for n in sizes)
+        wide, html_extract.WIDE = html_extract.WIDE, 1 << 40
+        want = html_extract.match(a, b)
+        html_extract.WIDE = wide
+        got = html_extract.match(a, b)
+        assert len(a.slots[0].slots) * len(b.slots[0].slots) > wide
+        assert got[0] == len(got[1]) == want[0] and all(x.label == y.label for x, y in got[1])
+    # the slot after a thousand blocks that only one page has
+    long = "<body>" + "<h2>n</h2><p>n</p>" * 150 + "<div class='x'>end</div></body>"
+    some = "<body>" + "<h2>n</h2><p>n</p>" * 10 + "<ul><li>n</li></ul><ol><li>n</li></ol>" * 800 + "<div class='x'>end</div></body>"
+    assert "div.x" in {x.label for x, _ in html_extract.match(html_extract.tree(long), html_extract.tree(some))[1]}
+    deep = "<div>" * 200 + "<nav><div>menu</div>more</nav><aside>side</aside>text<div>one</div>two" + "</div>" * 200
+    assert html_extract.extract(f"<body><div class='a'>{deep}after</div><p>last</p></body>") == "text one two after last"
