@@ -2,7 +2,8 @@
 
 A text is a sequence of words; a word's input is a learned word vector (words seen in training), the mean
 of learned vectors of its character n-grams, and the class log-odds of the word and of its n-grams in the
-training sample.  Two gated recurrent layers read every window of WINDOW words, each STRIDE words, attention
+training sample.  Two gated recurrent layers read windows of WINDOW = 40 words, one each STRIDE = 20 words and
+one that ends with the text, so a passage of up to 21 words is whole in some window wherever it stands; attention
 pools their states, and a text's score is the calibrated logit of its highest window.  Training is by
 multiple instances: in each epoch a text is represented by its windows that score highest so far.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import crc_mod, scramble
 
-WINDOW, STRIDE = 40, 32
+WINDOW, STRIDE = 40, 20
 HIDDEN, ATTENTION, WORD_DIM, GRAM_DIM, GRAMS = 8, 8, 4, 4, 1 << 14
 DIM = WORD_DIM + 1 + GRAM_DIM + 2
 #: The fit takes at most so many labelled texts of each class, of at most so many bytes, in the order of a hash of their ids.
@@ -398,7 +399,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, threshold: float = 0.5, network: Network | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted (score >= ``threshold``).
 
-    Every window of the whole text is scored.  Null, empty and word-less texts are one window of nothing.  A
+    The whole text is scored, in windows of WINDOW words each STRIDE words.  Null, empty and word-less texts are one window of nothing.  A
     null id is not held out.  Without labels of both classes the score is the share of label 1.  Only the text
     enters a score; other columns are not read.
     """

@@ -52,6 +52,14 @@ def test_every_window_is_read():
         assert s[0] == 0 and s[-1] == n - toxicity.WINDOW and all(0 < b - a <= toxicity.STRIDE < toxicity.WINDOW for a, b in zip(s, s[1:]))
 
 
+def test_passages_are_whole_in_a_window():
+    """Half a window of words, wherever it stands in a text, is read in one piece."""
+    for n in (41, 72, 100, 333):
+        s = toxicity.spans(n)
+        for k in range(n - toxicity.WINDOW // 2):
+            assert any(a <= k and k + toxicity.WINDOW // 2 < a + toxicity.WINDOW for a in s)
+
+
 def test_gradients():
     net = toxicity.Network({b"bad": 0}, np.array([1.0, 0.0]), np.random.default_rng(0).normal(size=toxicity.GRAMS))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
