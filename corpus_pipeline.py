@@ -6,7 +6,7 @@ the shared folder and reads them again, so a lost executor never costs more than
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import mixing, near_dedup, packing, substring_dedup, toxicity
@@ -20,13 +20,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
+def _key(*columns: str) -> Column:
+    """A hash of the columns' values, nulls told apart."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest id stays, once; rows without id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
-    return once.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest id stays, once; rows without id come last.
+
+    A document is an id with a text: other texts under one id are other documents, and rows without id are
+    documents by their text.
+    """
+    docs = docs.select(*COLUMNS).withColumn("rid", _key("doc_id", "text")).groupBy("rid").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    docs = stage(docs.select("rid", *[F.col(f"row.{c}").alias(c) for c in COLUMNS]), "documents")
+    groups = near_dedup.near_duplicates(docs, id_col="rid", size=5, percent=80).select(F.col("doc_id").alias("rid"), "component_id")
+    named = groups.join(docs.select("rid", "doc_id"), "rid")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    return docs.join(first.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +49,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy in the mix; the copy in service at the end of a source's share is cut to its words."""
-    docs = docs.select(*COLUMNS).withColumn("key", F.coalesce("doc_id", F.xxhash64("text", "source"))).dropDuplicates(["key"])
+    """A row for each copy in the mix; the copy in service at the end of a source's share is cut to its words.
+
+    Rows that are equal in all columns count once; rows that share an id only are all served.
+    """
+    docs = docs.select(*COLUMNS).withColumn("key", _key(*COLUMNS)).dropDuplicates(["key"])
     taken = mixing.mix(docs, id_col="key", sort=False).where("taken > 0").select(F.col("doc_id").alias("key"), "size", "taken")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("taken").cast("int")), " ")
     mixed = docs.join(taken, "key").withColumn("text", F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("text")))

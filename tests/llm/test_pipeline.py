@@ -45,3 +45,18 @@ def test_stages(spark, sf_dir, tmp_path):
     words = sum(len((r.text or "").split()) for r in left["substring_dedup"])
     assert words - 6 <= sum(len((r.text or "").split()) for r in left["mixing"]) <= words
     assert {r.doc_id for r in left["packing"]} == set(ids["mixing"])
+
+
+def test_repeated_and_missing_ids(spark):
+    """Other texts under one id stay; copies without id go as others do."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(7, a), (7, b), (7, b), (9, a), (None, c), (None, c), (None, b), (8, d), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {(7, a), (7, b), (None, c), (8, d), (None, None), (5, None)}
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert len(got) == len(want) and set(got) == want
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    whole = {(i, t) for i, t in rows if t}
+    assert len({(r.doc_id, r.text) for r in mixed} & whole) >= len(whole) - 1 and all(any(r.doc_id == i and t.startswith(r.text) for i, t in whole) for r in mixed)
