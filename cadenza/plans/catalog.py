@@ -292,6 +292,12 @@ def _spans(r: DataFrame, off: int) -> DataFrame:
     return r.where(F.col("seq") % 20 == off).select("ride", (F.floor(F.col("seq") / 20) + 1).cast("int").alias("climb_no"), (F.col("d") / 1000).alias("start_km"), ((F.col("d") + F.col("k")) / 1000).alias("end_km"), F.col("e").alias("max_grade_pct"), F.col("e").alias("peak_pct"))
 
 
+def _groups(r: DataFrame) -> DataFrame:
+    """Climbs of twenty consecutive rows each: every row is in one.  For queries without SQL."""
+    g = r.groupBy("ride", (F.floor(F.col("seq") / 20) + 1).cast("int").alias("climb_no"))
+    return g.agg((F.min("d") / 1000).alias("start_km"), (F.max("d") / 1000).alias("end_km"), F.max("e").alias("max_grade_pct"))
+
+
 _SPANS = ", a AS (SELECT ride, (seq // 20 + 1)::INTEGER AS climb_no, d / 1000 AS s, (d + k) / 1000 AS t, e AS g FROM rec WHERE seq % 20 = 0), b AS (SELECT ride, (seq // 20 + 1)::INTEGER AS climb_no, d / 1000 AS s, (d + k) / 1000 AS t, e AS g FROM rec WHERE seq % 20 = 9)"
 _short("interval_anti", lambda r: joins.not_overlapping(_spans(r, 0), _spans(r, 9)).select("ride", "climb_no"), _SPANS + " SELECT ride, climb_no FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ride = a.ride AND a.s <= b.t AND b.s <= a.t)")
 _short("cross_validate", lambda r: joins.cross_validate(_spans(r, 0), _spans(r, 9)), _SPANS + """, h AS (SELECT a.ride, a.climb_no AS found_no, b.climb_no AS verified_no, b.g - a.g AS x FROM a JOIN b ON a.ride = b.ride AND a.s <= b.t AND b.s <= a.t)
@@ -352,6 +358,12 @@ def _places(r: DataFrame) -> DataFrame:
     return r.where("seq % 4 = 0").select("ride", (F.col("seq") / 4 + 1).cast("int").alias("idx"), (F.col("lat") + 0.0001).alias("lat"), "lon", F.element_at(F.array(*map(F.lit, _NAMES)), (at + 1).cast("int")).alias("name"), F.when(at == 8, "Summit").otherwise("").alias("sym"))
 
 
+def _every_place(r: DataFrame) -> DataFrame:
+    """A place at every row, for queries without SQL."""
+    at = F.col("seq") % 9
+    return r.select("ride", (F.col("seq") + 1).cast("int").alias("idx"), (F.col("lat") + 0.0001).alias("lat"), "lon", F.element_at(F.array(*map(F.lit, _NAMES)), (at + 1).cast("int")).alias("name"), F.when(at == 8, "Summit").otherwise("").alias("sym"))
+
+
 def _routed(r: DataFrame) -> DataFrame:
     return windows.track_distance(r)
 
@@ -363,7 +375,7 @@ _NEAR = f""", s AS (SELECT ride, seq, lat, lon, coalesce({_HAV.format(a='lag(lat
 _short("nearest_point", lambda r: joins.nearest_on_route(_places(r), _routed(r)), _NEAR + " SELECT ride, idx, round(km, 4) AS km, round(off_m, 4) AS off_m FROM ne")
 _CLASS = ", cl AS (SELECT *, CASE WHEN upper(name) LIKE '%TO BE CHECKED%' OR upper(name) LIKE 'CHECK %' OR name LIKE '%?%' THEN NULL WHEN km < 0.5 AND upper(name) LIKE '%START%' THEN 'Start' WHEN upper(name) LIKE '%PUB%' OR upper(name) LIKE '%BAR%' THEN 'Pub' WHEN upper(name) LIKE '%WATER%' THEN 'Water' WHEN upper(name) LIKE '%FUEL%' OR upper(name) LIKE '%FOOD%' THEN 'Fuel' WHEN lower(sym) = 'summit' OR upper(name) LIKE '%CASTLE%' THEN 'POI' END AS cat FROM ne)"
 _short("waypoint_classify", lambda r: _places(r).join(joins.nearest_on_route(_places(r), _routed(r)), ["ride", "idx"]).select("ride", "idx", waypoints.classify(F.col("name"), F.col("sym"), F.col("km"))["cat"].alias("cat")), _NEAR + _CLASS + " SELECT ride, idx, cat FROM cl")
-_short("waypoint_decisions", lambda r: waypoints.enumerate_waypoints(_places(r), _routed(r), within_m=30.0, pub_km=0.05).select("ride", "idx", "cat", "disp", "decision", "reason"), None)
+_short("waypoint_decisions", lambda r: waypoints.enumerate_waypoints(_every_place(r), _routed(r), within_m=30.0, pub_km=0.05).select("ride", "idx", "cat", "disp", "decision", "reason"), None)
 
 # -- rasters ----------------------------------------------------------------------------------------
 
@@ -386,12 +398,22 @@ _BIL = """, tl AS (SELECT * FROM (VALUES (1, 0.45e0, 51.15e0), (2, 0.45e0 + 0.1e
  s AS (SELECT ride, seq, CASE WHEN bool_or(edge) THEN any_value(z) WHEN count(z) = 4 THEN sum(z * CASE WHEN dr = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END * CASE WHEN dc = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) ELSE avg(z) END AS z FROM v GROUP BY ride, seq)"""
 _short("bilinear", lambda r: verify.sample_tiles(r.select("ride", "seq", "lat", "lon"), _tiles(r.sparkSession)).select("ride", "seq", "z"), _BIL + " SELECT rec.ride, rec.seq, round(z, 4) AS z FROM rec LEFT JOIN s ON s.ride = rec.ride AND s.seq = rec.seq")
 _short("grid_tiles", lambda r: verify.grid_tiles(r.groupBy("ride").agg(F.min("lon").alias("min_x"), F.min("lat").alias("min_y"), F.max("lon").alias("max_x"), F.max("lat").alias("max_y")), 0.0025), ", b AS (SELECT ride, floor(min(lon) / 0.0025e0)::BIGINT AS a, floor(max(lon) / 0.0025e0)::BIGINT AS b, floor(min(lat) / 0.0025e0)::BIGINT AS c, floor(max(lat) / 0.0025e0)::BIGINT AS d FROM rec GROUP BY ride), x AS (SELECT ride, unnest(range(a, b + 1)) AS gx, c, d FROM b) SELECT ride, gx, unnest(range(c, d + 1)) AS gy FROM x")
-_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _spans(r, 0), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), None)
+_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _groups(r), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), None)
+
+
+def _steep(spark: SparkSession) -> DataFrame:
+    """The tiles of _tiles, twenty times as high."""
+    return _tiles(spark).withColumn("data", F.transform("data", lambda z: (z * 20).cast("float")))
+
+
+# the sweep over the whole route; nothing is declared, so all that the raster shows is missed
+_short("missed_climbs", lambda r: verify.missed_climbs(_routed(r), _groups(r).where(F.lit(False)), _steep(r.sparkSession)).select("ride", "climb_no", "start_km", "end_km", "verified_peak_pct", "verified_m", "verified_gain_m"), None)
 
 
 def _stitched(r: DataFrame) -> DataFrame:
-    seg = r.where("seq = 30").select("ride", F.lit(1).alias("segment"), F.col("d").alias("start_m"), (F.col("d") + 60).alias("end_m"))
-    fine = windows.onto_grid(r, "d", ["e"], 5.0).select("ride", F.lit(1).alias("segment"), F.col("x").alias("d"), (F.col("e") + 3).alias("e"))
+    seg = _groups(r).select("ride", F.col("climb_no").alias("segment"), (F.col("start_km") * 1000).alias("start_m"), (F.col("end_km") * 1000).alias("end_m"))
+    fine = windows.onto_grid(r, "d", ["e"], 5.0).select("ride", F.col("x").alias("d"), (F.col("e") + 3).alias("e"))
+    fine = fine.join(seg, "ride").where(F.col("d").between(F.col("start_m"), F.col("end_m"))).select("ride", "segment", "d", "e")
     return verify.stitch(r.select("ride", "d", "e"), fine, seg)
 
 
