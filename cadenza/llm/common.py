@@ -12,32 +12,42 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch: texts are long, so batches are kept small to bound a worker's memory.
+#: Rows that a worker turns into Python objects at once: texts are long.  Spark bounds a batch's bytes by itself.
 BATCH_ROWS = 256
 _CACHE_WORDS = 400_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the dataset folder, with Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, at most BATCH_ROWS at a time (views; nothing is copied)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local folder is made and set.
+    Where the session names none, a local folder is made and set if the master is local (tests, a laptop); on a cluster
+    that is refused, as executors would write to disks that others do not see.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="cadenza-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -51,16 +61,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stage_path = path
+    return back
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files behind a staged table (nothing may read it afterwards)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for d in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(d)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete the files behind tables that ``stage`` returned (nothing may read them afterwards)."""
+    for df in staged:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stage_path).getParent()
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class WordHashes(dict):

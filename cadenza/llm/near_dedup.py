@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hash_words, scramble, stage, window_hashes
+from cadenza.llm.common import hash_words, scramble, small_batches, stage, window_hashes
 from cadenza.llm.components import components
 
 REGISTERS, ROWS, MANTISSA = 200, 5, 10
@@ -109,7 +109,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (set size), k1 and k2 (128 bits of the set), regs, bands; the last two null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n, k1, k2, regs, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, size)
@@ -133,7 +133,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, na, nb, ra, rb) those pairs that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             if batch.num_rows:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 ok = hopeful(_regs(batch.column(4)), _regs(batch.column(5)), na, nb, percent)
@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in small_batches(batches):
             a, b = [], []
             for x, y, tx, ty in zip(*(c.to_pylist() for c in batch.columns)):
                 if tx != last:  # rows of one a follow each other
@@ -184,7 +184,7 @@ def _grouped(rows: DataFrame, keys: list[str], work) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and row[:2] != group[0][:2]:
                     yield flush()
@@ -276,7 +276,7 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
 
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary")

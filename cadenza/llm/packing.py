@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cadenza.llm.common import small_batches
+
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 CAPACITY, END_ID = 2048, 1
 SPECIAL = "<|endoftext|>"
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary, ranks), np.array([END_ID], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, capacity)
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc, (enc.encode(text) if text else b"") + end)
             yield packer.rows()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hash_words, window_hashes
+from cadenza.llm.common import hash_words, small_batches, window_hashes
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -116,7 +116,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             n, chars, symbols, dup, repeat, failed, kept, stay = list(zip(*map(judge, texts))) or [()] * 8
             cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n, chars, symbols, dup, repeat)), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(stay, pa.int64())]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hash_words, scramble, stage
+from cadenza.llm.common import hash_words, scramble, small_batches, stage
 
 WINDOW, SEED = 35, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,7 +62,7 @@ def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
 
 def _rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out: list[tuple] = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 m, p, s, c, _ = pieces((text or b"").split(), window)
@@ -77,7 +77,7 @@ def _opened(asked: DataFrame, window: int) -> DataFrame:
     """Edges of the asked pieces, read at their source: mini, piece, cnt, at (in the piece), edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out: list[tuple] = []
             for text, asks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 w = pieces(text.split(), window)[4].view(np.int64)
@@ -146,7 +146,7 @@ def _applied(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", rid long, kept_text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n_words, n_removed, sha, kept = [], [], [], []
             for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = (text or b"").split()

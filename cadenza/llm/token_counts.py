@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import small_batches
+
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table; pre-tokens longer than MAX_KEY characters never enter it, so its size has a fixed bound.
 FREQUENT, MAX_KEY = 16_384, 48
@@ -52,7 +54,7 @@ def pretokens(text: str) -> list[str]:
 
 def _summaries(id_free_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-    for batch in id_free_batches:
+    for batch in small_batches(id_free_batches):
         for text in batch.column(0).to_pylist():
             if text:
                 seen.update(pretokens(text))
@@ -81,7 +83,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, misses, model = table.value, _misses.setdefault(path, {}), _model(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 if not text:

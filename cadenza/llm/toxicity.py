@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import crc_mod, scramble
+from cadenza.llm.common import crc_mod, scramble, small_batches
 
 WINDOW, STRIDE = 40, 20
 HIDDEN, ATTENTION, WORD_DIM, GRAM_DIM, GRAMS = 8, 8, 4, 4, 1 << 14
@@ -390,7 +390,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(net.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(scorer.many(batch.column(at).cast(pa.binary()).to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -407,7 +407,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(net.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             s = scorer.many(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -1,9 +1,11 @@
 """Near-duplicates and repeated passages against brute force."""
 
 import hashlib
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cadenza.llm import near_dedup, substring_dedup
 from cadenza.llm.components import components
@@ -97,6 +99,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 ids in order, and a star."""
+    module, rounds = sys.modules["cadenza.llm.components"], []
+    staged = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: (rounds.append(name), staged(df, name))[1])
+    chain = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(chain)
+    assert got.count() == 10_001 and got.where("component <> 0").count() == 0
+    assert sum(n.endswith("-parents") for n in rounds) <= 14
+    rounds.clear()
+    star = spark.range(5_000).select(F.lit(9_999).cast("long").alias("a"), F.col("id").alias("b"))
+    assert components(star).where("component = 0").count() == 5_001
+    assert sum(n.endswith("-parents") for n in rounds) <= 4
+
+
 def brute_substrings(rows, window):
     words = [(i, (t or "").encode().split()) for i, t, _ in rows]
     seen = Counter(tuple(w[k : k + window]) for _, w in words for k in range(len(w) - window + 1))
