@@ -1,35 +1,40 @@
 """Main text of web pages by wrapper induction.
 
-A page becomes a tree of its block elements; consecutive siblings with one label and no blocks inside are
-one repeated slot, so trees stay small.  Every page is aligned by simple tree matching with a reference page
-of its host and layout (the smallest page id with text) and with the one of the host's most usual layout.  A slot of the reference whose text is the same on most pages that differ
-in their main slot is part of the host's template; slots that vary are content unless their element or
-class says otherwise or their text is mostly links.  What is learned from a host are counts by slot, summed
-before they are shuffled; no host's pages meet in one task.
+A page becomes a tree of its block elements, menus, footers and the like included; consecutive siblings with one
+label and no blocks inside are the items of one repeated slot, so trees stay small.  Every page is aligned by simple
+tree matching with a reference page of its host and layout (the smallest page id with text) and with the one of the
+host's most usual layout.  An item of the reference that reads the same on most pages that differ in their main slot is
+part of the host's template, wherever it stands: menus, footers, notices and set phrases inside articles alike.  Slots
+that vary are content unless their element or class says otherwise or, outside of the article, their text is mostly
+links.  What is learned from a host are counts by item, summed before they are shuffled; no host's pages meet in one
+task.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stage
+from cadenza.llm.common import drop_stage, small_batches, stage
 
-#: Share of the compared pages on which a template slot reads the same, and the fewest pages compared.
+#: Share of the compared pages on which a template item reads the same, and the fewest pages compared.
 CONSTANT_SHARE, LEAST_PAGES, LINK_SHARE = 0.6, 3, 0.5
-#: Counts the compared pages of a host, beside the numbers of its slots.
+#: Counts the compared pages of a host, beside the numbers of its items.
 PAGE = -1
-#: Elements nested deeper are borders in their ancestor's text; slots wider than this (children times children) are aligned row by row.
-DEPTH, WIDE, ROWS = 120, 10_000, 256
-#: Hosts and bytes of reference pages up to which they are broadcast; beyond, pages are shuffled by host.
-SMALL_HOSTS, SMALL_BYTES = 100_000, 64 << 20
+#: Slots wider than this (children times children) are aligned row by row, with the same result.
+WIDE, ROWS = 10_000, 256
+#: Hosts and bytes of (compressed) reference pages up to which they are broadcast; beyond, pages are shuffled by host.
+SMALL_HOSTS, SMALL_BYTES = 100_000, 32 << 20
 # fixed values: the elements of HTML by their part in a page
 _BLOCK = frozenset("html body main article section div header footer nav aside form fieldset table thead tbody tfoot tr td th caption ul ol li dl dt dd p pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 hr address details summary dialog center menu hgroup search".split())
 _DROP = frozenset("head script style noscript template iframe object embed applet svg canvas math video audio picture map nav footer aside form fieldset button select textarea input label dialog menu search".split())
@@ -47,7 +52,9 @@ _PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations pagination pager tags copyright legal disclaimer skip hidden contentinfo complementary".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)\]\]>|([!?][^>]*)>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+>""")
+_CONTENT_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _ATTRS = re.compile(r"""(?:"[^"]*"|'[^']*')|([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
@@ -79,44 +86,73 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return first, aside
 
 
-def parse(page: str) -> Node:
-    """The tree of block elements.  Unclosed and wrongly nested tags are mended as browsers mend the common cases."""
-    root = Node("#root", "#root", False)
-    stack, at, link = [root], 0, 0
-    lost = ""  # inside an element whose content is no text
-    for m in _TAG.finditer(page):
-        if lost:
-            if not (m[3] and m[4] and m[4].lower() == lost):
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, tag, attributes, whether it closes) of every tag, in time that grows with the page's length.
+
+    Comments have no tag; CDATA sections have the tag ``#text`` and their text; an element whose content is no text reaches
+    to its end tag.  From the first tag on whose quotes never close, tags end at the next ``>``; where none is left, text goes on.
+    """
+    at, quotes, sections = 0, True, True
+    while m := _OPEN.search(page, at):
+        if m[1]:
+            end = page.find("-->", m.start() + 2)
+            yield m.start(), (at := len(page) if end < 0 else end + 3), "", "", False
+            continue
+        if m[2] and sections:
+            end = page.find("]]>", m.end())
+            sections = end >= 0
+            if sections:
+                yield m.start(), (at := end + 3), "#text", page[m.end() : end], False
                 continue
-            lost, at = "", m.end()
+        close = page.find(">", m.end())
+        if close < 0:
+            return
+        if m[2] or m[3]:
+            yield m.start(), (at := close + 1), "", "", False
             continue
-        if m.start() > at:
-            _text(stack, page[at : m.start()], link)
-        at = m.end()
-        if m[1] is not None:
-            _text(stack, m[1].replace("&", "&amp;"), link)
-        tag = (m[4] or "").lower()
-        if not tag:
+        rest = _REST.match(page, m.end()) if quotes else None
+        quotes = rest is not None
+        at = rest.end() if rest else close + 1
+        tag, raw = m[5].lower(), page[m.end() : at - 1]
+        if tag in _RAW and not m[4] and not raw.endswith("/"):
+            end_tag = _CONTENT_END[tag].search(page, at)
+            at = end_tag.end() if end_tag else len(page)
+        yield m.start(), at, tag, raw, bool(m[4])
+
+
+def parse(page: str) -> Node:
+    """The tree of block elements, of any depth.  Unclosed and wrongly nested tags are mended as browsers mend the common cases."""
+    root = Node("#root", "#root", False)
+    stack, at, link, deepest = [root], 0, 0, 1
+    opened: Counter = Counter()  # open elements by tag
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
+    for start, end, tag, raw, closes in tokens(page):
+        if start > at:
+            _text(stack[-1], page[at:start], link)
+        at = end
+        if tag == "#text":
+            _text(stack[-1], raw.replace("&", "&amp;"), link)
             continue
-        if m[3]:
+        if closes:
             if tag == "a":
                 link = 0
-            elif tag in _BLOCK or tag in _DROP:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        if k >= DEPTH:
-                            stack[DEPTH - 1].parts.append(" ")
-                        del stack[k:]
-                        break
+            elif opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                cut(k)
             continue
         if tag in _RAW:
-            if not m[5].endswith("/"):
-                lost = tag
             if tag in _BLOCK:
-                _holder(stack).parts.append(Node(tag, tag, True))
+                stack[-1].parts.append(Node(tag, tag, True))
             continue
         if tag == "br" or tag == "hr":
-            _holder(stack).parts.append(" ")
+            stack[-1].parts.append(" ")
         if tag in _VOID:
             continue
         if tag == "a":
@@ -124,86 +160,89 @@ def parse(page: str) -> Node:
         if tag not in _BLOCK and tag not in _DROP:
             continue
         if tag in _ENDS_P and stack[-1].tag == "p":
-            stack.pop()
-        if tag in _SIBLINGS:
+            cut(len(stack) - 1)
+        if tag in _SIBLINGS and any(opened[x] > 0 for x in _SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _SIBLINGS[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in _HOLDERS:
                     break
-        first, aside = _attributes(m[5])
+        first, aside = _attributes(raw)
         # the page's skeleton is never set aside by its classes
         drop = tag in _DROP or (aside and tag not in ("html", "body", "main", "article", "h1"))
         node = Node(tag, f"{tag}.{first}" if first else tag, drop, drop and (tag not in _DROP or tag in ("form", "fieldset")))
         link = 0 if tag in _BLOCK and link else link
-        if len(stack) < DEPTH:
-            stack[-1].parts.append(node)
-        else:
-            stack[DEPTH - 1].parts.append(Node(tag, tag, False))
-            node.drop = node.drop and not node.doubtful or len(stack) > DEPTH and stack[-1].drop
-        if not m[5].endswith("/"):
+        stack[-1].parts.append(node)
+        if not raw.endswith("/"):
             stack.append(node)
-    if not lost and at < len(page):
-        _text(stack, page[at:], link)
+            opened[tag] += 1
+            deepest = max(deepest, len(stack))
+    if at < len(page):
+        _text(stack[-1], page[at:], link)
+    # trees are walked by recursion, which takes heap, not stack
+    if 4 * deepest + 1000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(4 * deepest + 1000)
     _restore(root)
     return root
 
 
 def _restore(root: Node) -> None:
     """Nodes set aside by name alone (and forms) come back where they hold the page's main text, its only article or all of an article."""
-    best: dict[bool, tuple[int, list[Node]]] = {}  # an article or main, or a slot outside: the longest text that is no link, and the doubtful nodes above
+    best: dict[bool, tuple[int, tuple | None]] = {}  # an article or main, or a slot outside: the longest text that is no link, and the doubtful nodes above
     doubts: list[Node] = []
     stands: list[int] = []  # articles outside of what is set aside
     shown: list[int] = []  # those with more than headings
     back: list[Node] = []
 
-    def visit(node: Node, path: list[Node], article: dict | None) -> int:
+    def above(path: tuple | None, until: tuple | None = None) -> list[Node]:
+        found = []
+        while path is not until:
+            found.append(path[0])
+            path = path[1]
+        return found
+
+    def visit(node: Node, path: tuple | None, article: dict | None) -> int:
+        """``path``: the doubtful nodes above, innermost first, each with the path above it."""
         if node.drop and not node.doubtful:
             return 0
         if node.doubtful:
             doubts.append(node)
-            path = [*path, node]
+            path = (node, path)
         top = article is None and node.tag in ("article", "main")
         if top:
-            article = {"depth": len(path), "kept": 0, "most": (0, [])}
-        own = max(0, sum(len(p.strip()) for p in node.parts if isinstance(p, str)) - 2 * node.links)
+            article = {"path": path, "kept": 0, "most": (0, path)}
+        own = max(0, sum([len(p.strip()) for p in node.parts if isinstance(p, str)]) - 2 * node.links)
         if article is not None and node.tag not in _HEADS:
-            if len(path) == article["depth"]:
+            if path is article["path"]:
                 article["kept"] += own
             elif own > article["most"][0]:
-                article["most"] = own, path[article["depth"] :]
-        size = own + sum(visit(p, path, article) for p in node.children())
+                article["most"] = own, path
+        size = own
+        for p in node.children():
+            size += visit(p, path, article)
         if size and top:
-            if not path:
+            if path is None:
                 stands.append(size)
                 shown.extend([article["kept"]] if article["kept"] else [])
             if not article["kept"]:
-                back.extend(article["most"][1])
+                back.extend(above(article["most"][1], article["path"]))
         if (top or article is None) and size > best.get(top, (0,))[0]:
             best[top] = size, path
         # runs of text count for what they stand in, an article for all of its text
         return size if article is not None and not top or node.tag in _RUNS else 0
 
-    visit(root, [], None)
+    visit(root, None, None)
     if doubts and best and not shown:
-        back += max(best.values(), key=lambda x: x[0])[1]
+        back += above(max(best.values(), key=lambda x: x[0])[1])
         if True in best and not stands:
-            back += best[True][1]
+            back += above(best[True][1])
     if doubts:
         for node in back:
             node.drop = False
 
 
-def _holder(stack: list[Node]) -> Node:
-    """The node that takes what comes next: elements below DEPTH are counted, but hold nothing."""
-    return stack[min(len(stack), DEPTH) - 1]
-
-
-def _text(stack: list[Node], raw: str, link: int) -> None:
-    if len(stack) > DEPTH and stack[-1].drop:
-        return
-    node = _holder(stack)
+def _text(node: Node, raw: str, link: int) -> None:
     node.parts.append(raw)
     if link:
         node.links += len(raw)
@@ -213,9 +252,9 @@ def _clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts under a node in page order: runs of text between block borders."""
-    out: list[str] = []
+def blocks(node: Node, out: list[str] | None = None) -> list[str]:
+    """The texts under a node in page order: runs of text between block borders; ``out`` takes them."""
+    out = [] if out is None else out
     run: list[str] = []
     for p in node.parts:
         if isinstance(p, Node):
@@ -223,7 +262,7 @@ def blocks(node: Node) -> list[str]:
                 out.append(t)
             run = []
             if not p.drop:
-                out += blocks(p)
+                blocks(p, out)
         else:
             run.append(p)
     if run and (t := _clean(run)):
@@ -232,42 +271,44 @@ def blocks(node: Node) -> list[str]:
 
 
 class Slot:
-    """A node of the compressed tree: a label, the nodes it stands for, its child slots.  Slots of one shape have the same labels below them."""
+    """A node of the compressed tree: a label, the nodes it stands for and their texts (items), its child slots.
 
-    __slots__ = ("label", "nodes", "slots", "text", "links", "key", "shape", "size")
+    Slots of one shape have the same labels below them.  ``key`` is the number of the first item, the others follow.
+    """
+
+    __slots__ = ("label", "tag", "nodes", "items", "slots", "text", "links", "key", "shape", "drop")
 
-    def __init__(self, label: str, nodes: list[Node]) -> None:
-        self.label, self.nodes, self.slots, self.text, self.links, self.key = label, nodes, [], "", 0, -1
-        self.shape, self.size = 0, 1
+    def __init__(self, node: Node, text: str) -> None:
+        self.label, self.tag, self.nodes, self.items, self.slots, self.text, self.links = node.label, node.tag, [node], [text], [], text, node.links
+        self.key, self.shape, self.drop = -1, 0, node.drop
 
 
 def compress(node: Node) -> Slot:
     """Siblings with one label that hold no further blocks become one slot."""
-    slot = Slot(node.label, [node])
     if not node.children():
-        slot.text, slot.links = " ".join(blocks(node)), node.links
-        return slot
-    own = [p for p in node.parts if not isinstance(p, Node)]
-    slot.text, slot.links = _clean(own), node.links
+        return Slot(node, " ".join(blocks(node)))
+    slot = Slot(node, _clean([p for p in node.parts if not isinstance(p, Node)]))
     for child in node.children():
-        if child.drop:
-            continue
-        if slot.slots and not child.children() and slot.slots[-1].label == child.label and not slot.slots[-1].slots:
-            last = slot.slots[-1]
+        last = slot.slots[-1] if slot.slots else None
+        if last and not child.children() and last.label == child.label and last.drop == child.drop and not last.slots:
             last.nodes.append(child)
-            last.text, last.links = " ".join(filter(None, (last.text, *blocks(child)))), last.links + child.links
+            last.items.append(" ".join(blocks(child)))
+            last.links += child.links
         else:
             slot.slots.append(compress(child))
+    for s in slot.slots:
+        if len(s.items) > 1:
+            s.text = " ".join(filter(None, s.items))
     return slot
 
 
 def number(slot: Slot, start: int = 0) -> int:
-    """Number the slots in preorder; the next free number."""
+    """Number the items in preorder; the next free number."""
     slot.key = start
-    start += 1
+    start += len(slot.items)
     for s in slot.slots:
         start = number(s, start)
-    slot.shape, slot.size = hash((slot.label, *(s.shape for s in slot.slots))), start - slot.key
+    slot.shape = hash((slot.label, *[s.shape for s in slot.slots]))
     return start
 
 
@@ -355,11 +396,15 @@ def _wide(a: list[Slot], b: list[Slot]) -> Iterator[tuple[int, int]]:
     yield from ends
 
 
-def _walk(slot: Slot, inside: bool = False) -> Iterator[tuple[Slot, bool]]:
-    inside = inside or slot.label.partition(".")[0] in ("article", "main")
-    yield slot, inside
-    for s in slot.slots:
-        yield from _walk(s, inside)
+def _walk(slot: Slot) -> Iterator[tuple[Slot, bool]]:
+    """The slots in page order, without what is set aside, and whether they are in an article or main."""
+    stack = [(slot, False)]
+    while stack:
+        s, inside = stack.pop()
+        if not s.drop:
+            inside = inside or s.tag in ("article", "main")
+            yield s, inside
+            stack += [(x, inside) for x in reversed(s.slots)]
 
 
 def tree(page: str) -> Slot:
@@ -368,14 +413,15 @@ def tree(page: str) -> Slot:
     return root
 
 
-_trees: dict[str, Slot] = {}
+_trees: dict[bytes, Slot] = {}
 
 
-def reference_tree(page: str) -> Slot:
-    """A reference page's tree; a worker remembers some of moderate size."""
+def reference_tree(page: bytes) -> Slot:
+    """The tree of a reference page (compressed); a worker remembers some of moderate size."""
     if page not in _trees:
-        root = tree(page)
-        if len(page) > 1 << 20:
+        whole = unpack(page)
+        root = tree(whole)
+        if len(whole) > 1 << 20:
             return root
         if len(_trees) >= 64:
             _trees.clear()
@@ -383,6 +429,15 @@ def reference_tree(page: str) -> Slot:
     return _trees[page]
 
 
+def pack(page: str | None) -> bytes | None:
+    """A page compressed for its way between tasks; nothing for no text."""
+    return zstandard.compress(page.encode("utf-8", "surrogatepass"), 3) if page else None
+
+
+def unpack(page: bytes | None) -> str:
+    return zstandard.decompress(page).decode("utf-8", "surrogatepass") if page else ""
+
+
 def _mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
@@ -394,7 +449,9 @@ def main_slot(root: Slot) -> tuple[Slot, bool]:
     stack = [root]
     while stack:
         s = stack.pop()
-        if s.label.partition(".")[0] in ("article", "main"):
+        if s.drop:
+            continue
+        if s.tag in ("article", "main"):
             own = [x for x, _ in _walk(s) if x.text]
             size, top = sum(max(0, weigh(x)) for x in own), True
         else:
@@ -429,72 +486,95 @@ def _leads(root: Slot) -> tuple[str, str]:
     return main_slot(root)[0].text, max(inside, key=lambda s: len(s.text) - 2 * s.links).text if inside else ""
 
 
-def compare(page: str, reference: str) -> list[tuple[int, bool]]:
-    """For a page whose main slot differs from the reference's: (reference slot, reads the same) of each aligned slot.
+def compare(page: str, reference: bytes) -> list[tuple[int, bool]]:
+    """For a page whose main slot differs from the reference's: (reference item, reads the same) of each aligned slot's items.
 
     The longest slot in an article or main counts as a main slot too, so a long notice does not make all pages one.
+    Pages that share more than half of the reference's article are copies, which tell nothing about a template.
     """
     a, b = reference_tree(reference), tree(page)
     if _leads(a) == _leads(b):
         return []
-    return [(x.key, x.text == y.text) for x, y in match(a, b)[1] if x.text and y.text]
+    inside = {s.key for s, within in _walk(a) if within}
+    found, shared, whole = [], 0, sum(len(s.text) for s, within in _walk(a) if within)
+    for x, y in match(a, b)[1]:
+        if x.text and y.text:
+            there = set(y.items)
+            same = [t in there for t in x.items]
+            found += [(x.key + i, s) for i, (t, s) in enumerate(zip(x.items, same)) if t]
+            if x.key in inside:
+                shared += sum(len(t) for t, s in zip(x.items, same) if s)
+    return [] if 2 * shared > whole else found
+
+
+def _template_items(x: Slot, y: Slot, template: frozenset[int], inside: bool, equal: bool) -> Iterator[int]:
+    """Numbers of ``y``'s items that are template, as items of the aligned reference slot ``x`` are.
+
+    Items that read the same as a template item are; outside of article and main, and unless ``equal`` is asked, so are
+    all items where all of ``x`` is template.
+    """
+    known = {t for i, t in enumerate(x.items) if x.key + i in template}
+    if known:
+        every = not inside and not equal and all(x.key + i in template for i, t in enumerate(x.items) if t)
+        yield from (y.key + i for i, t in enumerate(y.items) if every or t in known)
 
 
-def extract(page: str | None, reference: str | None = None, template: frozenset[int] = frozenset(), learned: bool = False, base: str | None = None, base_template: frozenset[int] = frozenset()) -> str:
-    """The article's text.  ``template``: slots of ``reference``, a page of the same layout, that belong to its template;
-    ``base_template``: those of ``base``, a page of the host's usual layout: of them, slots that read the same go.
+def extract(page: str | None, reference: bytes | None = None, template: frozenset[int] = frozenset(), learned: bool = False, base: bytes | None = None, base_template: frozenset[int] = frozenset()) -> str:
+    """The article's text.  ``template``: items of ``reference``, a (packed) page of the same layout, that belong to its template;
+    ``base_template``: those of ``base``, a page of the host's usual layout: of them, items that read the same go.
     ``learned``: enough pages of the host were compared, so that slots outside of article and main are content unless
     they are template."""
     if not page:
         return ""
     root = tree(page)
+    shown = list(_walk(root))
+    within = {s.key: inside for s, inside in shown}
     out_of: set[int] = set()
-    if template and reference:
-        out_of = {y.key for x, y in match(reference_tree(reference), root)[1] if x.key in template}
-    if base_template and base and base != reference:
-        out_of |= {y.key for x, y in match(reference_tree(base), root)[1] if x.key in base_template and x.text == y.text}
+    for ref, items, equal in ((reference, template, False), (base if base != reference else None, base_template, True)):
+        if ref and items:
+            for x, y in match(reference_tree(ref), root)[1]:
+                if y.key in within:
+                    out_of.update(_template_items(x, y, items, within[y.key], equal))
     keep: set[int] = set()
     skip: set[int] = set()
     main, articles = main_slot(root)
-    for s, inside in _walk(root):
-        tag = s.label.partition(".")[0]
+    titled = any(inside and s.tag == "h1" for s, inside in shown)
+    for s, inside in shown:
         plain = s.label in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main")
-        linked = s.links > LINK_SHARE * max(1, len(s.text)) and not plain
+        linked = not inside and s.links > LINK_SHARE * max(1, len(s.text)) and not plain
         # without evidence from the host, elements decide
-        if tag == "header" and not inside and not learned and all(x is not main for x, _ in _walk(s)):
+        if s.tag == "header" and not inside and not learned and all(x is not main for x, _ in _walk(s)):
             skip.add(s.key)  # with all that is in it
-        elif s.text and not (articles and not inside and not learned) and not (s.key in out_of and not (inside and plain)) and not linked:
-            keep.add(s.key)
-    return " ".join(_gather(root, keep, skip))
+        elif s.text and not linked and not (articles and not inside and not learned and (titled or s.tag != "h1")):
+            keep.update(s.key + i for i in range(len(s.items)) if s.key + i not in out_of)
+    return " ".join(_gather(root, keep, skip, []))
 
 
-def _gather(slot: Slot, keep: set[int], skip: set[int]) -> list[str]:
-    """Texts of kept slots in page order."""
-    if slot.key in skip:
-        return []
-    own = slot.nodes[0]
+def _gather(slot: Slot, keep: set[int], skip: set[int], out: list[str]) -> list[str]:
+    """Texts of kept items in page order, into ``out``."""
+    if slot.key in skip or slot.drop:
+        return out
     if not slot.slots:
-        return [t for n in slot.nodes for t in blocks(n)] if slot.key in keep else []
-    out: list[str] = []
+        for i, n in enumerate(slot.nodes):
+            if slot.key + i in keep:
+                blocks(n, out)
+        return out
     run: list[str] = []
     by_node = {id(n): s for s in slot.slots for n in s.nodes}
-
-    def flush() -> None:
-        if slot.key in keep and run and (t := _clean(run)):
-            out.append(t)
-        run.clear()
-
     done = set()
-    for p in own.parts:
+    for p in slot.nodes[0].parts:
         if isinstance(p, Node):
-            flush()
-            s = by_node.get(id(p))
-            if s is not None and s.key not in done:
+            if slot.key in keep and run and (t := _clean(run)):
+                out.append(t)
+            run = []
+            s = by_node[id(p)]
+            if s.key not in done:
                 done.add(s.key)
-                out += _gather(s, keep, skip)
+                _gather(s, keep, skip, out)
         else:
             run.append(p)
-    flush()
+    if slot.key in keep and run and (t := _clean(run)):
+        out.append(t)
     return out
 
 
@@ -503,34 +583,38 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small_hosts: int = SMALL_HOSTS, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text, n_chars (code points).
 
     Null or empty html: empty text.  A null url or one without a host shares the host ''.  Rows may repeat; a
     null id or a page without text never makes a page the reference.  Every layout of a host with enough pages has a
-    reference; that of the layout with most pages serves the whole host too.  Other columns are not read.  Pages are not
-    shuffled while the reference pages are few enough to be broadcast, which is counted first; beyond, they are joined
-    by shuffle.
+    reference; that of the layout with most pages serves the whole host too.  Pages of any length, width and depth are
+    read whole, in time that grows with their length.  Other columns are not read.  Pages are not shuffled while hosts
+    (``small_hosts``) and reference pages (``small_bytes``) are few enough to be broadcast, which is counted first; beyond, they
+    are joined by shuffle, compressed.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [layout(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "layout"])
-
-    signed = rows.mapInArrow(sign, "page_id long, url string, html string, host string, layout long")
-    layouts = stage(signed.where("page_id IS NOT NULL AND layout IS NOT NULL").groupBy("host", "layout").agg(F.min("page_id").alias("rid"), F.count(F.lit(1)).alias("n")), "layouts")
-    usual = layouts.groupBy("host").agg(F.max_by("rid", F.struct("n", -F.col("rid"), "layout")).alias("usual_rid"), F.max_by("layout", F.struct("n", -F.col("rid"), "layout")).alias("usual_layout"))
+        for batch in small_batches(batches):
+            found = batch.column("html").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 3)] + [pa.array([layout(x) for x in found], pa.int64()), pa.array([pack(x) for x in found], pa.binary())], ["page_id", "url", "host", "layout", "page"])
+
+    signed = stage(rows.mapInArrow(sign, "page_id long, url string, host string, layout long, page binary"), "signed")
+    layouts = signed.where("page_id IS NOT NULL AND layout IS NOT NULL").groupBy("host", "layout").agg(F.min("page_id").alias("rid"), F.count(F.lit(1)).alias("n"))
+    layouts = stage(layouts, "layouts")
+    usual = layouts.groupBy("host").agg(F.max_by("layout", F.struct("n", -F.col("rid"), "layout")).alias("usual"))
     # fewer pages of a layout teach nothing
-    first = stage(layouts.join(usual, "host").withColumn("usual", F.col("layout") == F.col("usual_layout")).where(F.col("usual") | (F.col("n") > LEAST_PAGES)).select("host", "rid", F.col("layout").alias("own"), "usual"), "first-pages")
-    few = F.broadcast if first.count() <= SMALL_HOSTS else lambda x: x
-    found = rows.withColumnRenamed("page_id", "rid").join(few(first), ["host", "rid"]).select(F.col("rid").alias("page_id"), "url", "html", "host", "own", "usual")
-    found = found.mapInArrow(sign, "page_id long, url string, html string, host string, own long, usual boolean, layout long").where("layout = own")
-    reference = stage(found.groupBy("host", "layout", "usual").agg(F.min("html").alias("reference")), "references")  # one, if a page id repeats
+    first = layouts.join(usual, "host").withColumn("usual", F.col("layout") == F.col("usual")).where(F.col("usual") | (F.col("n") > LEAST_PAGES)).select("host", "layout", "rid", "usual")
+    first = stage(first, "first-pages")
+    few = F.broadcast if first.count() <= small_hosts else lambda x: x
+    found = signed.withColumnRenamed("page_id", "rid").join(few(first), ["host", "layout", "rid"])
+    reference = stage(found.groupBy("host", "layout", "usual").agg(F.min("page").alias("reference")), "references")  # one, if a page id repeats
+    drop_stage(layouts)
+    drop_stage(first)
     size = reference.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
-    small = F.broadcast if size <= SMALL_BYTES else lambda x: x
+    small = F.broadcast if size <= small_bytes else lambda x: x
     base = reference.where("usual").select("host", F.col("reference").alias("base"))
     reference = reference.drop("usual")
     paired = signed.join(small(reference), ["host", "layout"], "left").join(small(base), "host", "left")
@@ -538,34 +622,36 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[str, int | None, int], list[int]] = {}
-            for h, own, page, ref, usual_page in zip(*(c.to_pylist() for c in batch.columns)):
-                if own is None:
-                    continue
-                pairs = compare(page, ref) if ref and page != ref else []
-                wide = pairs if usual_page == ref else compare(page, usual_page) if usual_page and page != usual_page else []
-                for key, counted in ((own, pairs), (None, wide)):
-                    for slot, same in [(PAGE, True), *counted] if counted else ():
-                        got = found.setdefault((h, key, slot), [0, 0])
-                        got[0] += 1
-                        got[1] += same
+            for part in small_batches([batch]):
+                for h, own, page, ref, usual_page in zip(*(c.to_pylist() for c in part.columns)):
+                    if own is None:
+                        continue
+                    whole = unpack(page)
+                    pairs = compare(whole, ref) if ref and page != ref else []
+                    wide = pairs if usual_page == ref else compare(whole, usual_page) if usual_page and page != usual_page else []
+                    for key, counted in ((own, pairs), (None, wide)):
+                        for slot, same in [(PAGE, True), *counted] if counted else ():
+                            got = found.setdefault((h, key, slot), [0, 0])
+                            got[0] += 1
+                            got[1] += same
             columns = [[k[i] for k in found] for i in range(3)] + [[v[i] for v in found.values()] for i in range(2)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], ["host", "layout", "slot", "n", "same"])
 
-    counts = paired.select("host", "layout", "html", "reference", "base").mapInArrow(learn, "host string, layout long, slot long, n long, same long")
+    counts = paired.select("host", "layout", "page", "reference", "base").mapInArrow(learn, "host string, layout long, slot long, n long, same long")
     fixed = counts.groupBy("host", "layout", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-    # a layout, or a host (no layout), has a row here, if with no slot but PAGE, where enough pages were compared
+    # a layout, or a host (no layout), has a row here, if with no item but PAGE, where enough pages were compared
     fixed = stage(fixed.groupBy("host", "layout").agg(F.sort_array(F.collect_list("slot")).alias("template")), "templates")
     wrapper = reference.join(fixed, ["host", "layout"])
     whole = base.join(fixed.where("layout IS NULL").select("host", F.col("template").alias("base_template")), "host")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = []
             for page, ref, t, usual_page, u in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
                 own, wide = frozenset(t or ()), frozenset(u or ())
-                texts.append(extract(page, ref, own - {PAGE}, PAGE in own or PAGE in wide, usual_page, wide - {PAGE}))
+                texts.append(extract(unpack(page), ref, own - {PAGE}, PAGE in own or PAGE in wide, usual_page, wide - {PAGE}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # layouts and hosts with too few pages need no alignment, so their reference is not carried along
     paired = signed.join(small(wrapper), ["host", "layout"], "left").join(small(whole), "host", "left")
-    return paired.select("page_id", "url", "html", "reference", "template", "base", "base_template").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    return paired.select("page_id", "url", "page", "reference", "template", "base", "base_template").mapInArrow(apply, "page_id long, url string, text string, n_chars long")

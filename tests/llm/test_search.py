@@ -1,6 +1,8 @@
 """Exact top-k and main texts of pages against brute force and fixed pages."""
 
+import itertools
 import math
+import time
 
 import numpy as np
 
@@ -49,7 +51,9 @@ def test_page():
     assert html_extract.extract(PAGE) == "Title & more First boldly said. Second line <ok> © link."
     assert html_extract.extract("") == html_extract.extract(None) == ""
     assert html_extract.extract("just text &amp; more") == "just text & more"
-    assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert html_extract.extract("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    assert html_extract.extract("<body><article><ul><li><a href=x>Linked</a></li></ul><table><tr><td><a href=y>cell</a></td></tr></table></article></body>") == "Linked cell"
+    assert html_extract.extract("<body><h1>Title</h1><article><p>Whole text.</p></article></body>") == "Title Whole text."
 
 
 def test_names_set_nothing_else_aside():
@@ -114,7 +118,7 @@ def test_every_layout_has_a_reference(spark):
 
 
 def test_wide_and_deep_pages():
-    """Wide levels are matched as narrow ones are; elements below DEPTH are left out and closed as those above."""
+    """Wide levels are matched as narrow ones are; parts are set aside at any depth."""
     rng = np.random.default_rng(2)
     kinds = ["<h2>x</h2>", "<ul><li>a</li></ul>", "<table><tr><td>a</td><th>b</th></tr></table>", "<table><tr><td>a</td></tr></table>", "<p>t</p>", "<div><p>a</p><h3>b</h3></div>"]
     for sizes in ((150, 150), (400, 90), (140, 600)):
@@ -131,3 +135,62 @@ def test_wide_and_deep_pages():
     assert "div.x" in {x.label for x, _ in html_extract.match(html_extract.tree(long), html_extract.tree(some))[1]}
     deep = "<div>" * 200 + "<nav><div>menu</div>more</nav><aside>side</aside>text<div>one</div>two" + "</div>" * 200
     assert html_extract.extract(f"<body><div class='a'>{deep}after</div><p>last</p></body>") == "text one two after last"
+
+
+def brute_match(a, b):
+    """The most pairs of simple tree matching, by trying all order-keeping pairings of the children."""
+    if a.label != b.label:
+        return 0
+    most = 0
+    for k in range(min(len(a.slots), len(b.slots)) + 1):
+        for i in itertools.combinations(range(len(a.slots)), k):
+            for j in itertools.combinations(range(len(b.slots)), k):
+                most = max(most, sum(brute_match(a.slots[x], b.slots[y]) for x, y in zip(i, j)))
+    return 1 + most
+
+
+def test_tree_matching_against_all_pairings():
+    rng = np.random.default_rng(5)
+
+    def some(depth):
+        kids = "".join(some(depth - 1) for _ in range(rng.integers(0, 4))) if depth else ""
+        kind = rng.choice(["div", "section", "div class=a", "nav"])
+        return f"<{kind}>{kids}</{kind.split()[0]}>"
+
+    for _ in range(60):
+        a, b = (html_extract.tree(f"<body>{some(2)}{some(2)}</body>") for _ in range(2))
+        size, pairs = html_extract.match(a, b)
+        assert size == len(pairs) == brute_match(a, b) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size
+
+
+def test_broken_pages_take_linear_time():
+    """Unclosed tags, quotes, comments and sections, end tags of nothing, deep menus: each well under a second for 60 kB."""
+    for part in ("<a <", "<div ", '<a x="', "<a x='>", "<![CDATA[", "<!--", "<script>", "</div>", "<ul><li>", "<div class=ad>", "<form><p>", '<a ">" ', "<p><b>", "<li><dt>", "<nav>"):
+        began = time.process_time()
+        html_extract.extract("<body><article><p>Text.</p></article>" + part * (60_000 // len(part)))
+        assert time.process_time() - began < 2, part
+    long = "<body><nav>" + "<ul><li>m" * 20_000 + "</li></ul>" * 20_000 + "</nav><article><p>" + "Some text. " * 100_000 + "</p></article></body>"
+    began = time.process_time()
+    assert html_extract.extract(long) == ("Some text. " * 100_000).strip()
+    assert time.process_time() - began < 10
+    assert html_extract.extract("<div>" * 200 + "<nav>menu</nav><form>f</form>text" + "</div>" * 200 + "after") == "text after"
+    assert html_extract.extract('<article><p>It is 1 < 2 and <b>so</b>.</p><p title="a > b">Next.</p></article>') == "It is 1 < 2 and so. Next."
+
+
+def test_the_wrapper_decides(spark):
+    """What stands the same on a host's pages goes, inside articles too, whatever it is called; copies of an article stay."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(["one", "two", "tree", "four", "five", "sixth"], n))
+    own = [[f"Story {i} {words(9)}.", f"More {i} {words(9 + i)}."] for i in range(10)]
+    page = lambda b: "<body><div class=x1><ul><li>Home</li><li>News</li></ul></div><article><h1>%s</h1><p>%s</p><p>Thank you for reading this page.</p></article><div class=x2>All ours</div></body>" % tuple(b)
+    rows = [(i, "http://h.example/", page(b)) for i, b in enumerate(own)]
+    rows += [(20 + i, "http://copies.example/", page(own[0] if i % 4 else own[i])) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    for i, b in enumerate(own):
+        assert got[i] == " ".join(b)
+        assert html_extract.extract(page(b)) != got[i]  # without its host
+    assert all(" ".join(own[0]) in got[20 + i] for i in range(12) if i % 4)
+    # the same by shuffled joins, as where hosts are many
+    joined = html_extract.extract_pages(df, small_hosts=0, small_bytes=0)
+    assert {r.page_id: r.text for r in joined.collect()} == got
