@@ -1,6 +1,7 @@
 """Token counts, packing, mixing and quality rules against brute force."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,6 +98,17 @@ def test_mixing(make_docs, corpus):
     assert mixing.mixed_documents(make_docs([])).count() == 0
     order = [r.finish for p in mixing.mix(make_docs(corpus)).where("taken > 0").rdd.glom().collect() for r in p]
     assert order == sorted(order)
+    # the mix is the head of the queue: what lies before the budget, to the word
+    budget = sum(math.floor(t) for t in want.values())
+    entries = sorted(mixing.mix(make_docs(corpus), sort=False).collect(), key=lambda r: r.position)
+    assert [r.finish for r in entries] == sorted(r.finish for r in entries)
+    assert sum(r.taken for r in entries) == budget and all((r.taken > 0) <= (r.position <= budget) for r in entries)
+    # rows without id are dealt by their size; a source without words; the last word of a target
+    rows = [(None, "w " * k, "a") for k in range(1, 60)] + [(None, None, "empty")] * 3 + [(i, "x y z", None) for i in range(7)]
+    got = mixing.mixed_documents(make_docs(rows)).collect()
+    want = targets({"a": sum(range(60)), "empty": 0, None: 21})
+    assert len(got) == len(rows) and sum(r.taken for r in got) == sum(math.floor(t + 1e-9) for t in want.values()) and all(r.taken <= 3 * r["size"] for r in got)
+    assert mixing.mixed_documents(make_docs([(1, None, None), (2, "", "a")])).where("taken <> 0 OR size <> 0").count() == 0
 
 
 def brute_rules(text):
