@@ -5,7 +5,9 @@ the smallest hash; consecutive windows of a document that share one occurrence o
 minimizer whose pieces are all the same piece is not a branching node: if it occurs twice, the whole piece
 repeats, and joins mark it at once at all its source coordinates.  Only where pieces differ, at the ends of
 shared passages, are they opened into single edges, read again at the source coordinates of one piece of
-each kind, and counted.  Counts are summed before they are shuffled; a common passage is never gathered.
+each kind, and counted.  Pieces and edges are told by digests of their words as they stand at their source coordinates,
+64 and 128 bits, besides the 64 bits of the minimizer.  Counts are summed before they are shuffled; a common passage is
+never gathered.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hash_words, scramble, small_batches, stage
+from cadenza.llm.common import drop_stage, hash_words, scramble, small_batches, stage
 
 WINDOW, SEED = 35, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -44,20 +47,23 @@ def span_hashes(h: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
 
 
 def pieces(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """minimizer, piece hash, start, windows of the path pieces of one document; and the hash of every window."""
+    """minimizer, digest of the words, start, windows of the path pieces of one document."""
     n = len(words) - window + 1
     if n <= 0:
-        e = np.empty(0, np.uint64)
-        return e, e, np.empty(0, np.int64), np.empty(0, np.int64), e
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     seed = min(SEED, window)
-    spans = span_hashes(hash_words(words), (seed, window))
-    k, w = spans[seed], spans[window]
+    k = span_hashes(hash_words(words), (seed,))[seed]
     at = np.lib.stride_tricks.sliding_window_view(k, window - seed + 1).argmin(1) + np.arange(n)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.concatenate([start, [n]]))
-    # the first and last window of a piece overlap, so with the count they tell all its words
-    piece = _joined(w[start], w[start + count - 1] + count.astype(np.uint64), 0)
-    return k[at[start]], piece, start, count, w
+    text, ends = _laid_out(words)
+    digests = [xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(ends[start].tolist(), (ends[start + count + window - 1] - 1).tolist())]
+    return k[at[start]], np.array(digests, np.uint64), start, count
+
+
+def _laid_out(words: list[bytes]) -> tuple[memoryview, np.ndarray]:
+    """The words one space apart, and where each begins (the last entry: after the last word and a space)."""
+    return memoryview(b" ".join(words)), np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
 
 
 def _rows(docs: DataFrame, window: int) -> DataFrame:
@@ -65,7 +71,7 @@ def _rows(docs: DataFrame, window: int) -> DataFrame:
         for batch in small_batches(batches):
             out: list[tuple] = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m, p, s, c, _ = pieces((text or b"").split(), window)
+                m, p, s, c = pieces((text or b"").split(), window)
                 out.append((m.view(np.int64), p.view(np.int64), np.full(len(m), rid, np.int64), s, c))
             cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:3]] + [pa.array(x.astype(np.int32)) for x in cols[3:]], ["mini", "piece", "rid", "start", "n"])
@@ -74,20 +80,22 @@ def _rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _opened(asked: DataFrame, window: int) -> DataFrame:
-    """Edges of the asked pieces, read at their source: mini, piece, cnt, at (in the piece), edge."""
+    """Edges of the asked pieces, read at their source: mini, piece, cnt, at (in the piece), and 128 bits of the digest of the edge's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out: list[tuple] = []
-            for text, asks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                w = pieces(text.split(), window)[4].view(np.int64)
+            for text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                laid, ends = _laid_out(text.split())
                 for a in asks:
                     s, n = a["start"], a["n"]
-                    out.append((np.full(n, a["mini"], np.int64), np.full(n, a["piece"], np.int64), np.full(n, a["cnt"], np.int64), np.arange(n), w[s : s + n]))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["mini", "piece", "cnt", "at", "edge"])
+                    edges = b"".join([xxhash.xxh3_128_digest(laid[i:j]) for i, j in zip(ends[s : s + n].tolist(), (ends[s + window : s + window + n] - 1).tolist())])
+                    high, low = np.frombuffer(edges, np.int64).reshape(n, 2).T
+                    out.append((np.full(n, a["mini"], np.int64), np.full(n, a["piece"], np.int64), np.full(n, a["cnt"], np.int64), np.arange(n), high, low))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["mini", "piece", "cnt", "at", "high", "low"])
 
-    return asked.select("rid", "doc_id", "text", "asks").mapInArrow(run, "mini long, piece long, cnt long, at long, edge long")
+    return asked.select("text", "asks").mapInArrow(run, "mini long, piece long, cnt long, at long, high long, low long")
 
 
 def keep_mask(n: int, spans: list[tuple[int, int, int]], window: int) -> np.ndarray:
@@ -124,61 +132,64 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     """
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     rows = stage(_rows(docs, window), "pieces")
-    # written, so that the join below shuffles both sides and a common passage's minimizer can be split between tasks
+    # what is joined below is written first: then both sides of a join are plain shuffles, and a minimizer or a piece
+    # that a common passage repeats is split between tasks
     nodes = stage(rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("c > 1"), "nodes")
     found = stage(rows.join(nodes.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "mini"), "repeated")
+    drop_stage(rows, nodes)
     whole = found.where("NOT branches").select("rid", "start", "n", F.lit(-1).cast("long").alias("bits"))
     open_ = found.where("branches")
-    kinds = open_.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("cnt"), F.min("rid").alias("rid"))
-    sources = open_.join(kinds, ["mini", "piece", "rid"]).groupBy("rid", "mini", "piece").agg(F.min("start").alias("start"), F.first("n").alias("n"), F.first("cnt").alias("cnt"))
-    asks = sources.groupBy("rid").agg(F.collect_list(F.struct("mini", "piece", "cnt", "start", "n")).alias("asks"))  # no more than the document has pieces
+    # one source coordinate for each kind of piece, summed up in every task before it is shuffled
+    kinds = open_.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("cnt"), F.min_by(F.struct("start", "n"), F.struct("rid", "start")).alias("at"), F.min("rid").alias("rid"))
+    asks = kinds.groupBy("rid").agg(F.collect_list(F.struct("mini", "piece", "cnt", "at.start", "at.n")).alias("asks"))  # no more than the document has pieces
     # rows with one rid hold one text: the first is enough
-    edges = stage(_opened(docs.select("rid", "doc_id", "text").join(asks, "rid").dropDuplicates(["rid"]), window), "edges")
-    twice = edges.groupBy("mini", "edge").agg(F.sum("cnt").alias("total")).where("total > 1").select("mini", "edge")
-    bits = edges.join(twice, ["mini", "edge"]).groupBy("mini", "piece").agg(F.expr("bit_or(shiftleft(1L, cast(at AS int)))").alias("bits"))
+    edges = stage(_opened(docs.select("rid", "text").join(asks, "rid").dropDuplicates(["rid"]), window), "edges")
+    twice = stage(edges.groupBy("mini", "high", "low").agg(F.sum("cnt").alias("total")).where("total > 1").select("mini", "high", "low"), "repeated-edges")
+    bits = stage(edges.join(twice, ["mini", "high", "low"]).groupBy("mini", "piece").agg(F.expr("bit_or(shiftleft(1L, cast(at AS int)))").alias("bits")), "bits")
+    drop_stage(edges, twice)
     part = open_.join(bits, ["mini", "piece"]).select("rid", "start", "n", "bits")
     return docs, whole.unionByName(part)
 
 
-def _applied(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+def _applied(docs: DataFrame, window: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
     keyed, spans = repeated_spans(docs, window)
     marks = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "n", "bits")).alias("marks"))  # no more than the document has pieces
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", rid long, kept_text string" if with_text else "")
+    extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "") + (f", {extra}" if carry else "")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []), *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             n_words, n_removed, sha, kept = [], [], [], []
-            for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = (text or b"").split()
                 left = words
                 if own:
                     stay = keep_mask(len(words), [(m["start"], m["n"], m["bits"]) for m in own], window)
                     left = [w for w, s in zip(words, stay.tolist()) if s]
-                out = b" ".join(left)
                 if with_text:
-                    kept.append((text or b"") if len(left) == len(words) else by_line(text, stay))
+                    kept.append(text if len(left) == len(words) else by_line(text, stay))
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
-                sha.append(hashlib.sha256(out).hexdigest())
-            cols = [batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                cols += [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string())]
-                names += ["rid", "kept_text"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
+            cols += [pa.array(kept, pa.binary()).cast(pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[3:]], names)
 
-    return keyed.select("rid", "doc_id", "text").join(marks, "rid", "left").mapInArrow(run, schema)
+    return keyed.select("rid", "doc_id", "text", *carry).join(marks, "rid", "left").select("doc_id", "text", "marks", *carry).mapInArrow(run, schema)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words, one space apart).
 
     Every word covered by a window of ``window`` words that also starts anywhere else, in any document or the
     same one, is removed.  A null text has no words; a text of fewer words than a window loses none.  Ids may be
-    null or repeat: two equal rows repeat each other.  Other columns are not read.  With ``with_text`` a
-    hash of the row's id and text (rid) and the cut text come too: lines stay lines, and a text that loses nothing stays as it is.
+    null or repeat: two equal rows repeat each other.  With ``with_text`` the cut text comes too (kept_text): lines
+    stay lines, and a text that loses nothing, or is null, stays as it is.  Columns named in ``carry`` come along; others
+    are not read.
     """
-    return _applied(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), window, with_text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    return _applied(rows, window, with_text, carry)
 
 
 ORACLE_SQL = rf"""
