@@ -114,9 +114,13 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Discriminant:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, mod: int, held: int, rows: int) -> DataFrame:
-    """y, text of at most ``rows`` labelled documents outside the held-out remainder, in the order of an id hash."""
+    """lid, y, text of at most ``rows`` labelled documents outside the held-out remainder, in the order of an id hash.
+
+    A document with two labels, or two texts under one id, gives a row for each pair; of equal ids the lesser label and
+    text come first, so the same rows are taken every time.
+    """
     some = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col(label_col).cast("int").alias("y")).where("lid IS NOT NULL AND y IN (0, 1)")
-    some = some.where(crc_mod("lid", mod) != held).orderBy(F.xxhash64("lid"), "lid", "y").limit(rows)
+    some = some.where(crc_mod("lid", mod) != held).distinct().orderBy(F.xxhash64("lid"), "lid", "y").limit(rows)
     # at most ``rows`` pairs of numbers: a broadcast of known size
     return docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(some), "lid").select("lid", "y", "text")
 
@@ -129,7 +133,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Discriminant:
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, mod, held, rows).withColumn("text", F.col("text").cast("binary"))
-    got = sorted(sample.mapInArrow(_features, "lid long, y int, x array<double>").limit(2 * rows).collect())
+    # ids may repeat: as many as asked for, in a fixed order
+    got = sample.mapInArrow(_features, "lid long, y int, x array<double>").orderBy(F.xxhash64("lid"), "lid", "y", "x").limit(rows).collect()
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in got], float))
 
