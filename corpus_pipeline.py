@@ -6,7 +6,7 @@ the shared folder and reads them again, so a lost executor never costs more than
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import mixing, near_dedup, packing, substring_dedup, toxicity
@@ -20,19 +20,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
 
 
-def _key(*columns: str) -> Column:
-    """A hash of the columns' values, nulls told apart."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents, written with a number of their own (``rid``): equal rows stay rows, and no two share a number."""
+    return stage(docs.select(*COLUMNS).withColumn("rid", F.monotonically_increasing_id()), name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the smallest id stays, once; rows without id come last.
+    """Of each group of near-duplicates (five-word shingles, 0.8) the row with the smallest id stays, once; rows without id come last.
 
-    A document is an id with a text: other texts under one id are other documents, and rows without id are
-    documents by their text.
+    Rows are told by a number of their own, so ids may be null or repeat: equal rows, and other texts under one id, are
+    documents like all others.  Rows without words are linked with nothing and stay.
     """
-    docs = docs.select(*COLUMNS).withColumn("rid", _key("doc_id", "text")).groupBy("rid").agg(F.min(F.struct(*COLUMNS)).alias("row"))
-    docs = stage(docs.select("rid", *[F.col(f"row.{c}").alias(c) for c in COLUMNS]), "documents")
+    docs = _numbered(docs, "documents")
     groups = near_dedup.near_duplicates(docs, id_col="rid", size=5, percent=80).select(F.col("doc_id").alias("rid"), "component_id")
     named = groups.join(docs.select("rid", "doc_id"), "rid")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
@@ -40,23 +39,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows of 35 words that occur again are cut from the texts; every document stays."""
-    docs = docs.select(*COLUMNS)
-    texts = substring_dedup.dedup_substrings(docs, with_text=True).where("n_removed > 0").select("rid", F.col("kept_text")).dropDuplicates(["rid"])
-    keyed = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
-    cut = keyed.join(texts, "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Words of windows of 35 words that occur again are cut from the texts; every row stays, whatever its id."""
+    cut = substring_dedup.dedup_substrings(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
+    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy in the mix; the copy in service at the end of a source's share is cut to its words.
 
-    Rows that are equal in all columns count once; rows that share an id only are all served.
+    Every row is served, also those with equal or null ids: they are dealt by a hash of all their columns, so reruns
+    agree, and told by a number of their own.
     """
-    docs = docs.select(*COLUMNS).withColumn("key", _key(*COLUMNS)).dropDuplicates(["key"])
-    taken = mixing.mix(docs, id_col="key", sort=False).where("taken > 0").select(F.col("doc_id").alias("key"), "size", "taken")
+    docs = _numbered(docs, "documents").withColumn("order", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
+    taken = mixing.mix(docs, sort=False, id_col="order", key_col="rid").where("taken > 0").select(F.col("key").alias("rid"), "size", "taken")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("taken").cast("int")), " ")
-    mixed = docs.join(taken, "key").withColumn("text", F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("text")))
+    mixed = docs.join(taken, "rid").withColumn("text", F.when(F.col("taken") < F.col("size"), head).otherwise(F.col("text")))
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
