@@ -2,8 +2,8 @@
 
 The subword model never merges across a space, so a text's token count is the sum of the
 lengths of its space-separated pre-tokens.  Tier one is a compact table of the corpus's frequent
-pre-tokens, broadcast; tier two is a bounded cache in each worker for the rest.  Pre-tokens of
-documents are never shuffled: what the first pass shuffles is a bounded summary of each task.
+pre-tokens, broadcast; tier two is a bounded cache in each worker for the rest.  Pre-tokens are never
+shuffled: the first pass sends a bounded summary of each task to an accumulator, which the driver merges as tasks end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from cadenza.llm.common import small_batches
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table; pre-tokens longer than MAX_KEY characters never enter it, so its size has a fixed bound.
 FREQUENT, MAX_KEY = 16_384, 48
-#: Entries that a task sends from the first pass, and that it holds while counting.
-PER_TASK, HELD = 4_096, 200_000
+#: Entries that a task sends to the driver from the first pass, and those that a task or the driver holds while counting.
+PER_TASK, HELD = 2_048, 200_000
 #: Entries of a worker's cache of misses.
 CACHE = 250_000
 _RUNS = re.compile(" *[^ ]+| +")
@@ -52,24 +53,40 @@ def pretokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _summaries(id_free_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in small_batches(id_free_batches):
-        for text in batch.column(0).to_pylist():
-            if text:
-                seen.update(pretokens(text))
-        if len(seen) > HELD:  # rare ones leave; the table only decides which lookups are fast
-            seen = Counter(dict(seen.most_common(HELD // 4)))
-    top = [(k, n) for k, n in seen.most_common(PER_TASK) if len(k) <= MAX_KEY]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["key", "n"])
+class Frequent(AccumulatorParam):
+    """Merges the tasks' counts of pre-tokens; it holds HELD of them, and of more than that the frequent quarter."""
+
+    def zero(self, value: Counter) -> Counter:
+        return Counter()
+
+    def addInPlace(self, value1: Counter, value2: Counter) -> Counter:
+        value1.update(value2)
+        return trimmed(value1)
+
+
+def trimmed(counts: Counter) -> Counter:
+    """Rare ones leave; the table only decides which lookups are fast."""
+    return Counter(dict(counts.most_common(HELD // 4))) if len(counts) > HELD else counts
 
 
 def frequent_lengths(docs: DataFrame, text_col: str = "text", model_path: str | None = None, entries: int = FREQUENT) -> dict[str, int]:
     """Token lengths of the corpus's frequent pre-tokens: at most ``entries`` of at most MAX_KEY characters."""
     model = _model(model_path or public_tokenizers.path(MODEL))
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_summaries, "key string, n long")
-    top = parts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(entries).collect()
-    return {r.key: pretoken_length(model, r.key) for r in top}
+    merged = docs.sparkSession.sparkContext.accumulator(Counter(), Frequent())
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in small_batches(batches):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(pretokens(text))
+            seen = trimmed(seen)
+        merged.add(Counter({k: n for k, n in seen.most_common(PER_TASK) if len(k) <= MAX_KEY}))
+        yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64())], ["n"])
+
+    docs.select(F.col(text_col).alias("text")).mapInArrow(summarise, "n long").agg(F.max("n")).collect()
+    top = sorted(merged.value.items(), key=lambda x: (-x[1], x[0]))[:entries]
+    return {k: pretoken_length(model, k) for k, _ in top}
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, limit: int = 4096, entries: int = FREQUENT) -> DataFrame:
