@@ -4,8 +4,9 @@ Each task packs the documents of its own input split as they stream by, so nothi
 and a task that is run again gives the same pieces.  A document's full windows are cut off its
 front; its remainder goes to the open window whose choice minimises the sum over levels of
 (number of open windows at that level) squared, tracked in an array indexed by level.  When the
-split ends, what is left in open windows is laid end to end and cut anew; the very last window
-is cut at powers of two, which need no padding.
+split ends, the pieces of the emptiest windows are placed in the others by the same rule, now cut to the room
+there, until one window is left; that one is cut at powers of two, which need no padding.  A task holds
+the ids of its open windows, which are fewer than those of its split.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from cadenza.llm.common import small_batches
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 CAPACITY, END_ID = 2048, 1
 SPECIAL = "<|endoftext|>"
-#: Open windows a task holds; beyond, the fullest one is closed early and laid out with the rest at the end.
-OPEN = 512
 CACHE = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -96,7 +95,7 @@ class Packer:
         self.capacity, self.next, self.out = capacity, base, []
         self.count = np.zeros(capacity + 1, np.int64)  # open windows at each level
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
-        self.n_open, self.left = 0, []
+        self.placed = self.last = 0  # tokens put by the rule, and those of the last, unfilled window
 
     def emit(self, pieces: list[tuple]) -> None:
         at = 0
@@ -112,61 +111,73 @@ class Packer:
         for k in range(full):
             self.emit([(doc, k * cap, ids[4 * k * cap : 4 * (k + 1) * cap], total)])
         if total > full * cap:
+            self.placed += total - full * cap
             self.place((doc, full * cap, ids[4 * full * cap :], total))
 
-    def place(self, piece: tuple) -> None:
-        """Into the level that makes the sum of squared counts smallest; equal choices: the fullest."""
-        s, cap, count = len(piece[2]) // 4, self.capacity, self.count
-        levels = np.flatnonzero(count[: cap - s + 1])  # level 0, a new window, is never counted
+    def choice(self, s: int, cut: bool) -> int:
+        """The level whose choice for ``s`` tokens makes the sum of squared counts smallest; equal choices: the fullest.
+
+        Without ``cut`` the tokens stay together and may open a window (level 0); with it, levels with less room are
+        filled with a part of them, and no window is opened.
+        """
+        cap, count = self.capacity, self.count
+        levels = np.flatnonzero(count if cut else count[: cap - s + 1])  # level 0, a new window, is never counted
         # from level h to h+s: -2N(h)+1 +2N(h+s)+1, without the second half when the window fills
-        change = np.where(levels + s < cap, 2 * count[levels + s] + 1, 0) - 2 * count[levels] + 1
+        after = np.minimum(levels + s, cap)
+        change = np.where(after < cap, 2 * count[after] + 1, 0) - 2 * count[levels] + 1
         fresh = 2 * count[s] + 1 if s < cap else 0
-        if len(levels) and change.min() <= fresh:
-            h = int(levels[len(levels) - 1 - int(np.argmin(change[::-1]))])
-            window = self.open[h].pop()
-            self.count[h] -= 1
-            self.n_open -= 1
-        else:
-            h, window = 0, []
-        window.append(piece)
-        if h + s == cap:
+        if len(levels) and (cut or change.min() <= fresh):
+            return int(levels[len(levels) - 1 - int(np.argmin(change[::-1]))])
+        return 0
+
+    def pop(self, level: int) -> list[tuple]:
+        self.count[level] -= 1
+        return self.open[level].pop()
+
+    def put(self, window: list[tuple], level: int) -> None:
+        if level == self.capacity:
             self.emit(window)
-            return
-        self.open[h + s].append(window)
-        self.count[h + s] += 1
-        self.n_open += 1
-        if self.n_open > OPEN:
-            fullest = int(np.flatnonzero(self.count)[-1])
-            self.left += self.open[fullest].pop()
-            self.count[fullest] -= 1
-            self.n_open -= 1
-            self.drain(False)
-
-    def drain(self, last: bool) -> None:
-        """Lay the left pieces end to end, cut at the capacity; the last window at powers of two."""
-        while self.left and (last or sum(len(p[2]) for p in self.left) >= 4 * self.capacity):
-            have = sum(len(p[2]) for p in self.left) // 4
-            room = self.capacity if have >= self.capacity else 1 << (have.bit_length() - 1)
+        else:
+            self.open[level].append(window)
+            self.count[level] += 1
+
+    def place(self, piece: tuple) -> None:
+        s = len(piece[2]) // 4
+        h = self.choice(s, False)
+        self.put([*(self.pop(h) if h else []), piece], h + s)
+
+    def close(self) -> None:
+        """Pieces of the emptiest window go where the rule says, cut to the room there, until one window is left; that one is cut at powers of two."""
+        while (at := np.flatnonzero(self.count)).size:
+            given = self.pop(int(at[0]))
+            if not self.count.any():
+                self.cut_last(given)
+                return
+            while given and self.count.any():
+                doc, start, ids, total = given.pop()
+                h = self.choice(len(ids) // 4, True)
+                room = 4 * (self.capacity - h)
+                self.put([*self.pop(h), (doc, start, ids[:room], total)], h + len(ids[:room]) // 4)
+                if len(ids) > room:
+                    given.append((doc, start + room // 4, ids[room:], total))
+            if given:  # all others are full
+                self.put(given, sum(len(p[2]) for p in given) // 4)
+
+    def cut_last(self, left: list[tuple]) -> None:
+        have = self.last = sum(len(p[2]) for p in left) // 4
+        while have:
+            room = 1 << (have.bit_length() - 1)
+            have -= room
             window = []
             while room:
-                doc, start, ids, total = self.left.pop(0)
+                doc, start, ids, total = left.pop(0)
                 take = min(room, len(ids) // 4)
                 window.append((doc, start, ids[: 4 * take], total))
                 if 4 * take < len(ids):
-                    self.left.insert(0, (doc, start + take, ids[4 * take :], total))
+                    left.insert(0, (doc, start + take, ids[4 * take :], total))
                 room -= take
             self.emit(window)
 
-    def close(self) -> None:
-        for level in range(self.capacity, -1, -1):
-            for window in self.open[level]:
-                self.left += window
-                self.drain(False)
-            self.open[level] = []
-        self.count[:] = 0
-        self.n_open = 0
-        self.drain(True)
-
     def rows(self) -> pa.RecordBatch:
         cols, self.out = list(zip(*self.out)) or [()] * 7, []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [f.split()[0] for f in SCHEMA.split(", ")])

@@ -59,6 +59,32 @@ def test_sum_of_squares_choice():
     assert sum(r[2] for r in p.out) == 16
 
 
+def test_the_rule_closes_the_windows():
+    """All tokens but those of the last window are put by the sum-of-squares rule; open windows stay few at any number of pieces."""
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 1_250, 30_000):
+        packer, sizes = packing.Packer(0), rng.integers(1, 900, n)
+        for i, k in enumerate(sizes.tolist()):
+            packer.add(i, np.arange(k, dtype="<u4").tobytes())
+        assert packer.count.sum() < 900
+        packer.close()
+        lengths = Counter()
+        for doc, start, length, crc, total, sequence, at in packer.out:
+            assert zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes()) == crc and at == lengths[sequence]
+            lengths[sequence] += length
+        assert sum(lengths.values()) == sizes.sum() == packer.placed and packer.last < 2048
+        other = [v for v in lengths.values() if v != 2048]
+        assert sum(other) == packer.last and all(v & (v - 1) == 0 for v in other) and len(set(other)) == len(other)
+        assert packer.placed - packer.last >= 0.9 * packer.placed or n < 40
+
+
+def test_frequent_pretokens_reach_the_driver(make_docs):
+    """The table holds the most frequent pre-tokens of the whole corpus."""
+    docs = make_docs([(i, "often often often rare%d" % i, "a") for i in range(300)] + [(None, None, None), (1, "", "a")])
+    table = token_counts.frequent_lengths(docs, entries=5)
+    assert len(table) == 5 and "often" in table
+
+
 def targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
