@@ -1,16 +1,18 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text is a sequence of words; a word's input is a learned word vector (words seen in training), the mean
+A text is the sequence of all its words, lower-cased (A-Z), with the symbols at their ends as words of their own.  A
+word's input is a learned word vector (words seen in training), the mean
 of learned vectors of its character n-grams, and the class log-odds of the word and of its n-grams in the
-training sample.  Two gated recurrent layers read windows of WINDOW = 40 words, one each STRIDE = 20 words and
+training sample; while the network is trained, a text's log-odds come from the other FOLDS - 1 parts of the sample.
+Two gated recurrent layers read windows of WINDOW = 40 words, one each STRIDE = 20 words and
 one that ends with the text, so a passage of up to 21 words is whole in some window wherever it stands; attention
 pools their states, and a text's score is the calibrated logit of its highest window.  Training is by
-multiple instances: in each epoch a text is represented by its windows that score highest so far.
+multiple instances: in each epoch a text is represented by its windows that score highest so far (at first, by log-odds).  Every fourth text of
+a class is kept from the training for the calibration, at every size.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +25,33 @@ from cadenza.llm.common import crc_mod, scramble, small_batches
 WINDOW, STRIDE = 40, 20
 HIDDEN, ATTENTION, WORD_DIM, GRAM_DIM, GRAMS = 8, 8, 4, 4, 1 << 14
 DIM = WORD_DIM + 1 + GRAM_DIM + 2
-#: The fit takes at most so many labelled texts of each class, of at most so many bytes, in the order of a hash of their ids.
-TRAIN_ROWS, TRAIN_BYTES = 1_500, 16_000
-EPOCHS, BATCH, RATE = 14, 256, 0.02
-#: Texts of each class from which on a quarter of them is kept for the calibration.
-CALIBRATE_LEAST = 600
+#: The fit takes at most so many labelled texts of each class, whole, in the order of a hash of their ids.
+TRAIN_ROWS = 1_500
+FOLDS = 8
+#: Passes over the sample; in the first WARM of them windows are ranked by log-odds, afterwards by the network so far.  A pass has
+#: PASS_STEPS steps or more, of at most BATCH windows each.
+EPOCHS, WARM, PASS_STEPS, BATCH, RATE = 14, 5, 16, 256, 0.02
 #: Words whose inputs a worker remembers.
 CACHE = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_=+~@/\\"
-_CLIP = 4.0
+_CLIP, _RARE = 4.0, 4
 
 
 def text_words(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) words without punctuation at their ends; a word said again and again counts once."""
-    words = [x.strip(_EDGE) for x in (text or b"").lower().split()]
-    return [w for w, before in zip(words, [b"", *words]) if w and w != before]
+    """All lower-cased (A-Z) words in order; symbols at a word's ends are words before and after it."""
+    out = []
+    for w in (text or b"").lower().split():
+        core = w.strip(_EDGE)
+        if not core or len(core) == len(w):
+            out.append(w)
+            continue
+        at = w.index(core)
+        if at:
+            out.append(w[:at])
+        out.append(core)
+        if at + len(core) < len(w):
+            out.append(w[at + len(core) :])
+    return out
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +81,7 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
     """Shrunk towards 0 where a feature is rare."""
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     n = pos + neg
-    return np.clip(odds * np.where(n < 4, 0, n / (n + 8)), -_CLIP, _CLIP)
+    return np.clip(odds * np.where(n < _RARE, 0, n / (n + 8)), -_CLIP, _CLIP)
 
 
 class Network:
@@ -92,13 +106,15 @@ class Network:
         buckets, counts = grams(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
         return ids, buckets, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts
 
-    def inputs(self, looked: tuple) -> np.ndarray:
+    def inputs(self, looked: tuple, word_odds: np.ndarray | None = None, gram_odds: np.ndarray | None = None) -> np.ndarray:
+        """Inputs of the words; ``word_odds`` and ``gram_odds``, by word and by n-gram, stand in for those of the whole sample."""
         ids, g, starts, counts = looked
         if not len(ids):
             return np.empty((0, DIM), np.float32)
         mean = np.add.reduceat(self.p["grams"][g], starts) / counts[:, None]
-        odds = self.gram_odds[g]
-        return np.concatenate([self.p["words"][ids], self.word_odds[ids][:, None], mean, np.maximum.reduceat(odds, starts)[:, None], (np.add.reduceat(odds, starts) / counts)[:, None]], 1, dtype=np.float32)
+        odds = self.gram_odds[g] if gram_odds is None else gram_odds
+        own = self.word_odds[ids] if word_odds is None else word_odds
+        return np.concatenate([self.p["words"][ids], own[:, None], mean, np.maximum.reduceat(odds, starts)[:, None], (np.add.reduceat(odds, starts) / counts)[:, None]], 1, dtype=np.float32)
 
     # -- forward ------------------------------------------------------------------------------------
 
@@ -152,9 +168,9 @@ class Network:
         grad[f"u{side}"] = du
         return dg
 
-    def gradients(self, looked: tuple, index: np.ndarray, live: np.ndarray, y: np.ndarray) -> dict:
+    def gradients(self, looked: tuple, index: np.ndarray, live: np.ndarray, y: np.ndarray, *odds: np.ndarray) -> dict:
         """Of the mean logistic loss of windows: ``index`` (T, N) picks their words."""
-        x = self.inputs(looked)
+        x = self.inputs(looked, *odds)
         gf, gb = self.gates(x)
         logit, (s, a, w, pooled, tf, tb) = self.forward(gf[index], gb[index], live, True)
         dl = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
@@ -195,19 +211,24 @@ def spans(n: int) -> list[int]:
     return [*starts, n - WINDOW]
 
 
-def window_index(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end: word positions (T, N) of all windows, live mask, text of each window."""
+def window_starts(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: start, size and text of all windows."""
     base, starts, sizes, owner = 0, [], [], []
     for k, n in enumerate(lengths):
-        for s in spans(n):
-            starts.append(base + s)
-            sizes.append(min(n, WINDOW))
-            owner.append(k)
+        own = spans(n)
+        starts += [base + s for s in own]
+        sizes += [min(n, WINDOW)] * len(own)
+        owner += [k] * len(own)
         base += n
-    starts_a, sizes_a = np.array(starts, np.int64), np.array(sizes, np.int64)
+    return np.array(starts, np.int64), np.array(sizes, np.int32), np.array(owner, np.int32)
+
+
+def window_index(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: word positions (T, N) of all windows, live mask, text of each window."""
+    starts, sizes, owner = window_starts(lengths)
     t = np.arange(WINDOW)[:, None]
-    live = t < sizes_a
-    return np.where(live, starts_a + t, 0), live.astype(np.float32), np.array(owner, np.int64)
+    live = t < sizes
+    return np.where(live, starts + t, 0), live.astype(np.float32), owner
 
 
 def fit(texts: list[bytes], y: np.ndarray, totals: tuple[int, int] | None = None, epochs: int = EPOCHS, seed: int = 7) -> Network:
@@ -218,46 +239,88 @@ def fit(texts: list[bytes], y: np.ndarray, totals: tuple[int, int] | None = None
         return net
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
     weight = np.where(y == 1, (totals or (0, n_pos))[1] / n_pos, (totals or (n_neg, 0))[0] / n_neg)
-    if min(n_pos, n_neg) >= CALIBRATE_LEAST:  # enough to keep every fourth text of a class for the calibration alone
-        nth = np.zeros(len(y), np.int64)
-        for c in (0, 1):
-            nth[y == c] = np.arange((y == c).sum())
-        own = nth % 4 == 3
-        net, _, _ = _fit([t for t, o in zip(texts, own) if not o], y[~own], epochs, seed)
-        scorer = Scorer(net)
-        parts = [scorer.highest([texts[i] for i in part]) for part in np.array_split(np.flatnonzero(own), max(1, own.sum() // 64))]
-        _calibrate(net, np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), y[own], weight[own] / weight[own].mean())
-        return net
-    net, top, windows = _fit(texts, y, epochs, seed)
-    _calibrate(net, top, windows, y, weight / weight.mean())
+    nth = _nth(y)
+    own = nth % 4 == 1  # of two texts of a class one
+    net = _fit([t for t, o in zip(texts, own) if not o], y[~own], epochs, seed)
+    scorer = Scorer(net)
+    parts = [scorer.highest([texts[i] for i in part]) for part in np.array_split(np.flatnonzero(own), max(1, own.sum() // 64))]
+    _calibrate(net, np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), y[own], weight[own] / weight[own].mean())
     return net
 
 
-def _fit(texts: list[bytes], y: np.ndarray, epochs: int, seed: int) -> tuple[Network, np.ndarray, np.ndarray]:
-    """The trained network, and of its own texts the highest logits and the numbers of windows."""
-    one: dict[bytes, bytes] = {}  # equal words share one object: the driver holds the sample's distinct words only
-    words = [[one.setdefault(w, w) for w in text_words(t)] for t in texts]
-    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
-    seen = [Counter(w for ws, k in zip(words, y) if k == c for w in set(ws)) for c in (0, 1)]
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= 3))}
-    pos, neg = (np.array([seen[c][w] for w in vocabulary] + [0.0]) for c in (1, 0))
-    counts = np.zeros((2, GRAMS))
-    for ws, k in zip(words, y):
-        if ws:
-            counts[int(k), np.unique(grams(list(set(ws)))[0])] += 1
-    word_odds = _log_odds(pos, neg, n_pos, n_neg)
-    word_odds[-1] = 0
-    net = Network(vocabulary, word_odds, _log_odds(counts[1], counts[0], n_pos, n_neg), seed)
-    types = sorted({w for ws in words for w in ws})
-    at = {w: i for i, w in enumerate(types)}
-    looked = net.lookups(types)
-    flat = np.array([at[w] for ws in words for w in ws] or [0], np.int64)
-    index, live, owner = window_index([len(ws) for ws in words])
-    index = flat[np.minimum(index, len(flat) - 1)]
+def _nth(y: np.ndarray) -> np.ndarray:
+    """The place of each text among those of its class."""
+    nth = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        nth[y == c] = np.arange((y == c).sum())
+    return nth
+
+
+def _fit(texts: list[bytes], y: np.ndarray, epochs: int, seed: int) -> Network:
+    """The trained network.  What is held of a text are its words' numbers and its windows' starts."""
+    one: dict[bytes, int] = {}
+    rows = [np.array([one.setdefault(w, len(one)) for w in text_words(t)], np.int32) for t in texts]
+    types = list(one)
+    del one
+    n_pos, n_neg, fold = int((y == 1).sum()), int((y == 0).sum()), _nth(y) % FOLDS
+    # texts of each part and class that hold a word or an n-gram
+    looked = _buckets(types)
+    seen, held = np.zeros((FOLDS, 2, len(types))), np.zeros((FOLDS, 2, GRAMS))
+    for ws, k, f in zip(rows, y.astype(int), fold):
+        own = np.unique(ws)
+        seen[f, k, own] += 1
+        held[f, k, np.unique(np.concatenate([looked[0][looked[1][w] : looked[1][w] + looked[2][w]] for w in own]))] += 1 if len(own) else 0
+    total = seen.sum((0, 1))
+    known = np.flatnonzero(total >= 3)
+    vocabulary = {types[i]: n for n, i in enumerate(known.tolist())}
+    numbers = np.full(len(types), len(known), np.int64)
+    numbers[known] = np.arange(len(known))
+    texts_of = np.array([[((y == c) & (fold == f)).sum() for c in (0, 1)] for f in range(FOLDS)])
+
+    def odds(counts: np.ndarray, without: int | None) -> np.ndarray:
+        n, of = (counts.sum(0), texts_of.sum(0)) if without is None else (counts.sum(0) - counts[without], texts_of.sum(0) - texts_of[without])
+        return _log_odds(n[1], n[0], of[1], of[0])
+
+    net = Network(vocabulary, np.concatenate([odds(seen, None)[known], [0.0]]), odds(held, None), seed)
+    # a word has a row for each part that its texts are in: row = part * words + word
+    n_types = len(types)
+    word_odds = np.stack([np.where(total >= 3, odds(seen, f), 0) for f in range(FOLDS)]).astype(np.float32)
+    gram_odds = np.stack([odds(held, f) for f in range(FOLDS)]).astype(np.float32)
+    buckets, begins, counts = looked
+    del seen, held, types
+
+    flat = np.concatenate([ws + np.int32(f * n_types) for ws, f in zip(rows, fold)] + [np.zeros(1, np.int32)])
+    lengths = [len(ws) for ws in rows]
+    del rows
+    starts, sizes, owner = window_starts(lengths)
     label = y[owner]
-    # before the first epoch windows are ranked by what their words' log-odds sum to
-    x = net.inputs(looked)
-    rank = ((np.maximum(x[:, WORD_DIM], 0) + np.maximum(x[:, -2], 0) ** 2 / _CLIP)[index] * live).sum(0)
+    t = np.arange(WINDOW)[:, None]
+
+    def windows(some: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Some windows' distinct words (looked up), which word stands where, live mask, and the words' log-odds."""
+        live = t < sizes[some]
+        used, inv = np.unique(flat[np.where(live, starts[some] + t, 0)], return_inverse=True)
+        part, word = np.divmod(used, n_types)
+        n = counts[word]
+        own = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        grams_ = buckets[np.repeat(begins[word] - own, n) + np.arange(n.sum())]
+        return (numbers[word], grams_, own, n), inv.reshape(WINDOW, len(some)), live.astype(np.float32), word_odds[part, word], gram_odds[np.repeat(part, n), grams_]
+
+    def ranks(work) -> np.ndarray:
+        found = []
+        for b in range(0, len(starts), 1024):
+            looked, index, live, *own = windows(np.arange(b, min(b + 1024, len(starts))))
+            found.append(work(net.inputs(looked, *own), index, live))
+        return np.concatenate(found)
+
+    def by_odds(x: np.ndarray, index: np.ndarray, live: np.ndarray) -> np.ndarray:
+        return ((np.maximum(x[:, WORD_DIM], 0) + np.maximum(x[:, -2], 0) ** 2 / _CLIP)[index] * live).sum(0)
+
+    def by_network(x: np.ndarray, index: np.ndarray, live: np.ndarray) -> np.ndarray:
+        gf, gb = net.gates(x)
+        return net.forward(gf[index], gb[index], live)[0]
+
+    rank = ranks(by_odds)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
@@ -272,14 +335,11 @@ def _fit(texts: list[bytes], y: np.ndarray, epochs: int, seed: int) -> tuple[Net
         picked = np.concatenate([picked, rng.choice(others, min(len(others), n_neg), replace=False)])
         picked = np.concatenate([picked, np.repeat(picked[label[picked] == 1], int(balance) - 1)])
         rng.shuffle(picked)
-        for b in range(0, len(picked), BATCH):
-            some = picked[b : b + BATCH]
-            used, inv = np.unique(index[:, some], return_inverse=True)
-            inv = inv.reshape(WINDOW, len(some))
-            s_, c_ = looked[2][used], looked[3][used]
-            rows = np.repeat(s_ - np.concatenate([[0], np.cumsum(c_)[:-1]]), c_) + np.arange(c_.sum())
-            part = (looked[0][used], looked[1][rows], np.concatenate([[0], np.cumsum(c_)[:-1]]).astype(np.int64), c_)
-            g = net.gradients(part, inv, live[:, some], label[some].astype(np.float32))
+        for some in np.array_split(picked, max(PASS_STEPS, -(-len(picked) // BATCH))):
+            if not len(some):
+                continue
+            looked, index, live, *own = windows(some)
+            g = net.gradients(looked, index, live, label[some].astype(np.float32), *own)
             step += 1
             rate = RATE * (0.5 if epoch > epochs * 0.6 else 1) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k in net.p:
@@ -287,21 +347,33 @@ def _fit(texts: list[bytes], y: np.ndarray, epochs: int, seed: int) -> tuple[Net
                 m[k] += 0.1 * (gk - m[k])
                 v[k] += 0.001 * (gk * gk - v[k])
                 net.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
-        gf, gb = net.gates(net.inputs(looked))
-        rank = np.concatenate([net.forward(gf[index[:, b : b + 2048]], gb[index[:, b : b + 2048]], live[:, b : b + 2048])[0] for b in range(0, index.shape[1], 2048)])
-    top = np.full(len(words), -np.inf)
-    np.maximum.at(top, owner, rank)
-    return net, top, np.bincount(owner, minlength=len(words)).astype(float)
+        if WARM - 2 < epoch < epochs - 1:
+            rank = ranks(by_network)
+    return net
+
+
+def _buckets(types: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-gram buckets of the words end to end, where each word's begin, and their numbers."""
+    found = [grams(types[b : b + 8192]) for b in range(0, len(types), 8192)] or [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    buckets, counts = (np.concatenate(x) for x in zip(*found))
+    return buckets.astype(np.int32), np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts
 
 
 def _calibrate(net: Network, top: np.ndarray, windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
     """A logistic of the highest logit and the log of the number of windows, by Newton steps with a small penalty."""
     x = np.stack([top, np.log(windows), np.ones(len(y))], 1)
-    b, base = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
-    for _ in range(30):
+    b = base = np.array([1.0, 0.0, 0.0])
+    loss = lambda b: float((weight * (np.logaddexp(0, x @ b) - y * (x @ b))).sum() + 0.05 * ((b - base) ** 2).sum())
+    now = loss(b)
+    for _ in range(60):
         p = _sigmoid(np.clip(x @ b, -30, 30))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(3) * 0.1
-        b = b - np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.1 * (b - base)), -1, 1)
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.1 * (b - base))
+        while (new := loss(b - step)) > now and np.abs(step).max() > 1e-6:
+            step = step / 2
+        if new >= now:
+            break
+        b, now = b - step, new
     net.scale, net.size, net.shift = max(float(b[0]), 1e-3), float(b[1]), float(b[2])
 
 
@@ -361,16 +433,18 @@ class Scorer:
         return np.concatenate([self.scores(texts[b : b + 64]) for b in range(0, len(texts), 64)]) if texts else np.empty(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Network:
+    """Learns from at most ``rows`` labelled texts of each class outside the held-out remainder, of any length, in a fixed order."""
     some = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col(label_col).cast("int").alias("y")).where("lid IS NOT NULL AND y IN (0, 1)").where(crc_mod("lid", mod) != held)
     counts = dict(some.groupBy("y").count().collect())
-    # twice the rows of each class are asked for, as some texts are too long for the sample
-    some = some.where("y = 0").orderBy(F.xxhash64("lid"), "lid").limit(2 * rows).unionByName(some.where("y = 1").orderBy(F.xxhash64("lid"), "lid").limit(2 * rows))
-    texts = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= max_bytes)
-    got = texts.join(F.broadcast(some), "lid")  # at most 4 * rows pairs of numbers
+    some = some.distinct()
+    some = some.where("y = 0").orderBy(F.xxhash64("lid"), "lid").limit(rows).unionByName(some.where("y = 1").orderBy(F.xxhash64("lid"), "lid").limit(rows))
+    texts = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).cast("binary").alias("text"))
+    got = texts.join(F.broadcast(some), "lid")  # at most 2 * rows pairs of numbers
+    # ids may repeat: as many as asked for
     parts = [got.where(F.col("y") == k).orderBy(F.xxhash64("lid"), "lid", "text").limit(rows) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1]).select("y", "text").collect()
-    return fit([bytes(r.text) for r in sample], np.array([r.y for r in sample], float), (counts.get(0, 0), counts.get(1, 0)))
+    return fit([bytes(r.text or b"") for r in sample], np.array([r.y for r in sample], float), (counts.get(0, 0), counts.get(1, 0)))
 
 
 _scorers: dict[int, tuple[object, Scorer]] = {}
