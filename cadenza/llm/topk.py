@@ -1,10 +1,12 @@
 """Exact top-k by inner product with a pivot table.
 
-Vectors become integers floor(scale * x).  Lifted by one coordinate so that all candidates have the
+Vectors become integers floor(scale * x).  Lifted by one coordinate so that all candidates of a block have the
 same norm, the largest inner product is the smallest distance, and a table of the candidates' distances
-to PIVOTS pivots gives a lower bound of every distance: max over pivots of |d(q, p) - d(x, p)|.  In a
-block of candidates each query evaluates candidates in the order of that bound, a strip at a time, until
-no later bound can reach its k-th score.  Queries are dealt in blocks too; a task sees one pair of blocks.
+to PIVOTS pivots gives a lower bound of every distance: max over pivots of |d(q, p) - d(x, p)|.  Pivots are the same for
+all blocks, taken far from each other out of a bounded sample of the vectors; a task packs candidates that are nearest to
+the same pivot into the same blocks.  The k-th score that a query reaches on the sample travels with it: in every block
+it evaluates candidates in the order of their bound, a strip at a time, until no later bound can reach that score or
+the k-th found so far.  Queries are dealt in blocks too; a task sees one pair of blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, PIVOTS, STRIP = 256, 48, 256
+SCALE, PIVOTS, STRIP = 256, 128, 64
+#: Vectors that pivots and first thresholds are taken from; any choice gives the same result.
+SAMPLE = 2048
+#: Blocks of candidates that a task holds to put near ones together.
+HELD = 8
 #: Rows of a block of queries and of candidates: small, as a task joins many pairs of blocks.
 QUERY_BLOCK, BLOCK = 256, 1024
 
@@ -29,15 +35,33 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed by the task that reads them: dim, ids and matrix as bytes, one row for each block and dimension."""
+def far_first(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """Rows of ``sample``, each the farthest from those before it."""
+    at, near = [0], None
+    while len(at) < min(pivots, len(sample)):
+        d = ((sample - sample[at[-1]]) ** 2).sum(1)
+        near = d if near is None else np.minimum(near, d)
+        at.append(int(near.argmax()))
+    return sample[at]
+
+
+def _blocks(rows: DataFrame, size: int, held_rows: int, arrange) -> DataFrame:
+    """Rows packed by the task that reads them: dim, ids, matrix and extra (of each row) as bytes, one row for each block and dimension.
+
+    ``arrange(dim, ids, matrix)`` gives the order of up to ``held_rows`` rows, and what is kept beside each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
-        def put(dim: int) -> pa.RecordBatch:
-            ids, vs = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(vs, np.int64).tobytes()], pa.binary())], ["dim", "ids", "m"])
+        def put(dim: int) -> Iterator[pa.RecordBatch]:
+            ids, vs = (np.array(x, np.int64) for x in held.pop(dim))
+            vs = vs.reshape(len(ids), dim)
+            order, extra = arrange(dim, ids, vs)
+            for b in range(0, len(ids), size):
+                some = order[b : b + size]
+                cols = [pa.array([x[some].tobytes()], pa.binary()) for x in (ids, vs, extra)]
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *cols], ["dim", "ids", "m", "extra"])
 
         for batch in batches:
             v = batch.column(1)
@@ -47,19 +71,20 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                 ids, vs = held.setdefault(len(x), ([], []))
                 ids.append(key)
                 vs.append(x)
-                if len(ids) == size:
-                    yield put(len(x))
+                if len(ids) == held_rows:
+                    yield from put(len(x))
         for dim in list(held):
-            yield put(dim)
+            yield from put(dim)
 
-    return rows.mapInArrow(run, "dim int, ids binary, m binary")
+    return rows.mapInArrow(run, "dim int, ids binary, m binary, extra binary")
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, pivots: int = PIVOTS) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best candidates in one block; ties go to the smaller id.
+def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, pivots: np.ndarray | None = None, least: np.ndarray | None = None, evaluated: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of each query's k best candidates in one block, those below its ``least`` score left out at will.
 
-    Candidates lie in ascending order of id.  Bounds are in doubles with a slack far above their rounding
-    error, so that a candidate is never passed over; scores are integers.
+    Ties go to the smaller id; candidates lie in ascending order of id.  Bounds are in doubles with a slack far above
+    their rounding error, so that a candidate is never passed over; scores are integers.  ``evaluated`` takes the
+    number of candidates that each query evaluates.
     """
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
@@ -67,11 +92,11 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     c2, q2 = (cf * cf).sum(1), (qf * qf).sum(1)
     top = c2.max()
     lift = np.sqrt(top - c2)
-    # pivots: spread over the block, the first ones far apart
-    at = np.unique(np.linspace(0, len(cid) - 1, min(pivots, len(cid))).astype(int))
-    p, pl = cf[at], lift[at]
-    dc = np.sqrt(np.maximum(0, c2[:, None] + lift[:, None] ** 2 + (c2[at] + pl**2)[None] - 2 * (cf @ p.T + lift[:, None] * pl[None])))
-    dq = np.sqrt(np.maximum(0, q2[:, None] + (c2[at] + pl**2)[None] - 2 * (qf @ p.T)))
+    p = far_first(cf, PIVOTS) if pivots is None else pivots.astype(np.float64)
+    p2 = (p * p).sum(1)
+    pl = np.sqrt(np.maximum(0, top - p2))
+    dc = np.sqrt(np.maximum(0, c2[:, None] + lift[:, None] ** 2 + (p2 + pl**2)[None] - 2 * (cf @ p.T + lift[:, None] * pl[None])))
+    dq = np.sqrt(np.maximum(0, q2[:, None] + (p2 + pl**2)[None] - 2 * (qf @ p.T)))
     out = []
     exact = max(1.0, np.abs(cf).max(initial=0) * np.abs(qf).max(initial=0) * c.shape[1]) < 2**53
     for i in range(len(qid)):
@@ -79,11 +104,13 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
         high = (q2[i] + top - low * low) / 2
         high += 1e-6 * (abs(q2[i]) + top + 1)
         ranked = np.argsort(-high, kind="stable")
-        best_s, best_j = np.empty(0, np.int64), np.empty(0, np.int64)
+        best_s, best_j, seen = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        floor = -np.inf if least is None else least[i]
         for b in range(0, len(ranked), STRIP):
-            if len(best_s) == k and high[ranked[b]] < best_s[-1]:
+            if high[ranked[b]] < max(floor, best_s[-1] if len(best_s) == k else -np.inf):
                 break
             j = ranked[b : b + STRIP]
+            seen += len(j)
             s = (cf[j] @ qf[i]).astype(np.int64) if exact else c[j] @ q[i]
             s, j = np.concatenate([best_s, s]), np.concatenate([best_j, j])
             keep = (cid[j] != qid[i]) | (np.arange(len(j)) < len(best_s))
@@ -91,6 +118,18 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             first = np.lexsort((cid[j], -s))[:k]
             best_s, best_j = s[first], j[first]
         out += [(int(qid[i]), int(cid[j]), int(s)) for s, j in zip(best_s, best_j)]
+        if evaluated is not None:
+            evaluated.append(seen)
+    return out
+
+
+def least_scores(qid: np.ndarray, q: np.ndarray, sid: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The k-th score of each query on the sample's other rows, which its k-th of all rows cannot be below; without k of them the least number."""
+    out = np.full(len(qid), np.iinfo(np.int64).min)
+    for i in range(len(qid)):
+        s = (sample @ q[i])[sid != qid[i]]
+        if len(s) >= k:
+            out[i] = np.partition(s, -k)[-k]
     return out
 
 
@@ -102,19 +141,44 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     time.  Null ids, null vectors and vectors with null or non-finite components take no part.
     """
     rows = integer_vectors(vectors, id_col, vector_col, scale)
-    queries = _blocks(rows.where(F.col("id") % every == 0), QUERY_BLOCK)
-    q = queries.select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    c = _blocks(rows, BLOCK)
+    drawn: dict[int, tuple[list[int], list]] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect():
+        got = drawn.setdefault(len(r.v), ([], []))
+        got[0].append(r.id)
+        got[1].append(r.v)
+    known = {}
+    for dim, (ids, v) in drawn.items():
+        # an id that repeats counts once: its rows are not more candidates than one for the threshold
+        at = np.unique(np.array(ids, np.int64), return_index=True)[1]
+        m = np.array(v, np.int64).reshape(len(ids), dim)[at]
+        known[dim] = np.array(ids, np.int64)[at], m, far_first(m.astype(np.float64), pivots)
+    told = vectors.sparkSession.sparkContext.broadcast(known)  # at most SAMPLE vectors
+
+    def near_together(dim: int, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = told.value[dim][2] if dim in told.value else m[:1].astype(np.float64)
+        x = m.astype(np.float64)
+        nearest = ((p * p).sum(1)[None] - 2 * (x @ p.T)).argmin(1) if dim else np.zeros(len(ids), int)
+        return np.argsort(nearest, kind="stable"), np.zeros(len(ids), np.int8)
+
+    def with_thresholds(dim: int, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = least_scores(ids, m, *told.value[dim][:2], k) if dim in told.value and dim else np.full(len(ids), np.iinfo(np.int64).min)
+        return np.arange(len(ids)), least
+
+    queries = _blocks(rows.where(F.col("id") % every == 0), QUERY_BLOCK, QUERY_BLOCK, with_thresholds)
+    q = queries.select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("extra").alias("least"))
+    c = _blocks(rows, BLOCK, HELD * BLOCK, near_together).drop("extra")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for dim, qi, qm, ci, cm in zip(*(col.to_pylist() for col in batch.columns)):
+            for dim, qi, qm, ql, ci, cm in zip(*(col.to_pylist() for col in batch.columns)):
                 a, b = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
                 if dim == 0:
                     found += [(int(x), int(y), 0) for x in a for y in np.sort(b[b != x])[:k]]
                 else:
-                    found += search_block(a, np.frombuffer(qm, np.int64).reshape(-1, dim), b, np.frombuffer(cm, np.int64).reshape(-1, dim), k, pivots)
+                    vectors_ = np.frombuffer(cm, np.int64).reshape(-1, dim)
+                    p = told.value[dim][2] if dim in told.value else vectors_[:pivots]
+                    found += search_block(a, np.frombuffer(qm, np.int64).reshape(-1, dim), b, vectors_, k, p, np.frombuffer(ql, np.int64))
             cols = list(zip(*found)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["query_id", "vec_id", "score"])
 
@@ -123,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     every_line = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     c = c.withColumn("at_column", F.pmod(F.xxhash64("ids"), F.lit(side)).cast("int")).withColumn("at_row", every_line)
     q = q.withColumn("at_row", F.pmod(F.xxhash64("qids"), F.lit(side)).cast("int")).withColumn("at_column", every_line)
-    best = c.join(q, ["dim", "at_row", "at_column"]).select("dim", "qids", "qm", "ids", "m").mapInArrow(pair, "query_id long, vec_id long, score long")
+    best = c.join(q, ["dim", "at_row", "at_column"]).select("dim", "qids", "qm", "least", "ids", "m").mapInArrow(pair, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -41,6 +41,26 @@ def test_block_search_stops_early_and_stays_exact():
         assert [(b, s) for a, b, s in got if a == i] == [(j, score[i, j]) for j in order]
 
 
+def test_bounds_and_thresholds_pass_over_most_of_clustered_vectors():
+    """Less than 60 % of the pairs are evaluated, far less here, and the result is that of brute force."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32)) * 256
+    c = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 40).astype(np.int64)
+    ids, queries = np.arange(6000), np.arange(0, 6000, 100)
+    drawn = rng.choice(6000, 800, replace=False)
+    pivots = topk.far_first(c[drawn].astype(float), 64)
+    least = topk.least_scores(queries, c[queries], drawn, c[drawn], 5)
+    score = c[queries] @ c.T
+    found, seen = {int(q): [] for q in queries}, []
+    for b in range(0, 6000, 1000):
+        for q, j, s in topk.search_block(queries, c[queries], ids[b : b + 1000], c[b : b + 1000], 5, pivots, least, seen):
+            found[q].append((-s, j))
+    for i, q in enumerate(queries):
+        want = [(-score[i, j], j) for j in np.lexsort((ids, -score[i])) if j != q][:5]
+        assert sorted(found[int(q)])[:5] == want and least[i] <= -want[-1][0]
+    assert sum(seen) < 0.6 * len(queries) * 6000
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
 <article><h1>Title &amp; more</h1><p>First  <b>bold</b>ly
 said.<p>Second<br>line &lt;ok&gt; &copy <a href="y">link</a>.<aside>side</aside><div class="ad">buy</div><form><p>q</p></form><section id="comments"><p>me too</p></section></article>
