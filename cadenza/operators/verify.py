@@ -1,7 +1,8 @@
 """Elevation rasters against routes: densified tracks, bilinear samples, verified climbs, stitched profiles.
 
 ``tiles``: tile_id, path_rank int (the smallest wins), x0, y0 (upper left corner), px, py (pixel sizes, py > 0 downwards), h, w
-int, data array<float> row-major with null for holes; coordinates in degrees.
+int, data array<float> row-major with null for holes; coordinates in degrees, or in those of ``epsg`` (int) where tiles
+have that column.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import projection
 from cadenza.functions.geo import haversine_m
 from cadenza.operators.joins import not_overlapping
 from cadenza.operators.runs import longest_run_above, rising_stretches, walls
 from cadenza.operators.windows import Keys, interpolate_gaps, mean_max_grade, ordered, span_grade, track_distance
 
-#: Degrees of a cell of the grid that brings points and tiles together.
-CELL = 0.05
+#: Degrees or metres of a cell of the grid that brings points and blocks of tiles together.
+CELL = {projection.EPSG_WGS84: 0.05, projection.EPSG_OSGB: 512.0, projection.EPSG_LAMBERT_93: 512.0}
+#: Pixels of a side of the blocks that tiles are cut into before they are joined.
+BLOCK = 256
 
 
 def densify(points: DataFrame, stride_m: float, by: Keys = ("ride",), seq: str = "seq") -> DataFrame:
@@ -29,11 +33,15 @@ def densify(points: DataFrame, stride_m: float, by: Keys = ("ride",), seq: str =
     return p.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(seq, "_k")) - 1).cast("long").alias("seq"), on("lat", "_la").alias("lat"), on("lon", "_lo").alias("lon"))
 
 
-def bilinear(row: Column, col: Column, h: Column, w: Column, data: Column) -> Column:
-    """Value between pixel centres; at the edge the nearest pixel; with holes the mean of the pixels there; else null."""
+def bilinear(row: Column, col: Column, h: Column, w: Column, data: Column, cut: tuple[Column, Column, Column] | None = None) -> Column:
+    """Value between pixel centres; at the edge the nearest pixel; with holes the mean of the pixels there; else null.
+
+    ``cut``: first row, first column and width of the block of the tile that ``data`` is.
+    """
     r, c = row - 0.5, col - 0.5
+    top, left, width = cut or (F.lit(0), F.lit(0), w)
     r0, c0 = F.floor(r).cast("int"), F.floor(c).cast("int")
-    at = lambda i, j: F.nanvl(F.get(data, (i * w + j).cast("int")).cast("double"), F.lit(None).cast("double"))
+    at = lambda i, j: F.nanvl(F.get(data, ((i - top) * width + j - left).cast("int")).cast("double"), F.lit(None).cast("double"))
     clip = lambda x, n: F.greatest(F.lit(0), F.least(n - 1, x))
     q = [at(r0, c0), at(r0, c0 + 1), at(r0 + 1, c0), at(r0 + 1, c0 + 1)]
     dr, dc = r - r0, c - c0
@@ -44,21 +52,46 @@ def bilinear(row: Column, col: Column, h: Column, w: Column, data: Column) -> Co
     return F.when(edge, at(clip(r0, h), clip(c0, w))).when(F.size(seen) == 4, full).otherwise(mean)
 
 
+def tile_blocks(tiles: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Tiles cut into blocks of ``size`` pixels a side and one more all around: what goes through a join is a block, not a tile.
+
+    Adds top, left (first row and column), bh, bw, and the block's own corners bx0, by0, bx1, by1.
+    """
+    starts = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)), F.lit(size))
+    t = tiles.withColumn("_r", F.explode(starts("h"))).withColumn("_c", F.explode(starts("w")))
+    t = t.withColumns({"top": F.greatest(F.col("_r") - 1, F.lit(0)), "left": F.greatest(F.col("_c") - 1, F.lit(0))})
+    t = t.withColumns({"bh": F.least(F.col("_r") + size + 1, F.col("h")) - F.col("top"), "bw": F.least(F.col("_c") + size + 1, F.col("w")) - F.col("left")})
+    rows = F.transform(F.sequence(F.col("top"), F.col("top") + F.col("bh") - 1), lambda r: F.slice("data", r * F.col("w") + F.col("left") + 1, F.col("bw")))
+    return t.withColumns({
+        "data": F.flatten(rows),
+        "bx0": F.col("x0") + F.col("_c") * F.col("px"), "bx1": F.col("x0") + F.least(F.col("_c") + size, F.col("w")) * F.col("px"),
+        "by0": F.col("y0") - F.col("_r") * F.col("py"), "by1": F.col("y0") - F.least(F.col("_r") + size, F.col("h")) * F.col("py"),
+    }).drop("_r", "_c")
+
+
 def sample_tiles(points: DataFrame, tiles: DataFrame, by: Keys = ("ride",), out: str = "z", nodata: float | None = None) -> DataFrame:
     """Points with the elevation of the first tile in path order that covers them; null outside all and on holes.
 
-    Points and tiles meet on grid cells, so a point is only tried against tiles near it.
+    Points and blocks of tiles meet on grid cells, so a point is only tried against blocks near it.  Tiles with an
+    ``epsg`` column are read in their own systems.
     """
-    cell = lambda c: F.floor(c / F.lit(CELL)).cast("int")
-    t = tiles.withColumns({"_x1": F.col("x0") + F.col("w") * F.col("px"), "_y1": F.col("y0") - F.col("h") * F.col("py")})
     if nodata is not None:
-        t = t.withColumn("data", F.transform("data", lambda v: F.when(v != nodata, v)))
-    t = t.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("_x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y1")), cell(F.col("y0")))))
-    p = points.withColumns({"_cx": cell(F.col("lon")), "_cy": cell(F.col("lat"))})
-    hit = p.join(t.select("_cx", "_cy", "path_rank", "x0", "y0", "_x1", "_y1", "px", "py", "h", "w", "data"), ["_cx", "_cy"]).where(F.col("lon").between(F.col("x0"), F.col("_x1")) & F.col("lat").between(F.col("_y1"), F.col("y0")))
-    z = bilinear((F.col("y0") - F.col("lat")) / F.col("py"), (F.col("lon") - F.col("x0")) / F.col("px"), F.col("h"), F.col("w"), F.col("data"))
-    first = hit.select(*by, "seq", "path_rank", z.alias("_z")).groupBy(*by, "seq").agg(F.min_by(F.struct("_z"), "path_rank").alias("_s"))
-    return points.join(first, [*by, "seq"], "left").withColumn(out, F.col("_s._z")).drop("_s")
+        tiles = tiles.withColumn("data", F.transform("data", lambda v: F.when(v != nodata, v)))
+    hits = None
+    for epsg in CELL if "epsg" in tiles.columns else [projection.EPSG_WGS84]:
+        own = tiles.where(F.coalesce("epsg", F.lit(projection.EPSG_WGS84)) == epsg) if "epsg" in tiles.columns else tiles
+        cell = lambda c: F.floor(c / F.lit(CELL[epsg])).cast("int")  # noqa: B023, E731
+        t = tile_blocks(own)
+        t = t.withColumn("_cx", F.explode(F.sequence(cell(F.col("bx0")), cell(F.col("bx1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("by1")), cell(F.col("by0")))))
+        p = points.select(*by, "seq", projection.projected(F.col("lat"), F.col("lon"), epsg).alias("_p")).select(*by, "seq", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+        p = p.withColumns({"_cx": cell(F.col("_x")), "_cy": cell(F.col("_y"))})
+        t = t.select("_cx", "_cy", "path_rank", "x0", "y0", "bx0", "bx1", "by0", "by1", "px", "py", "h", "w", "top", "left", "bw", "data")
+        hit = p.join(t, ["_cx", "_cy"]).where(F.col("_x").between(F.col("bx0"), F.col("bx1")) & F.col("_y").between(F.col("by1"), F.col("by0")))
+        z = bilinear((F.col("y0") - F.col("_y")) / F.col("py"), (F.col("_x") - F.col("x0")) / F.col("px"), F.col("h"), F.col("w"), F.col("data"), (F.col("top"), F.col("left"), F.col("bw")))
+        hit = hit.select(*by, "seq", "path_rank", z.alias("_z"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    first = hits.groupBy(*by, "seq").agg(F.min_by("_z", "path_rank").alias("_z"))
+    return points.join(first, [*by, "seq"], "left").withColumn(out, F.col("_z")).drop("_z")
 
 
 def sampled_route(points: DataFrame, tiles: DataFrame, stride_m: float = 25.0, by: Keys = ("ride",)) -> DataFrame:

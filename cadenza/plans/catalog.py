@@ -5,15 +5,18 @@ Doubles are rounded to four digits on both sides, as engines add in different or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cadenza.functions import geo, physics, scoring, text
+from cadenza.functions import geo, physics, projection, scoring, text
 from cadenza.operators import climbs, joins, load, metrics, runs, verify, waypoints, windows
-from cadenza.sinks import reports
+from cadenza.sinks import reports, shapes
+from cadenza.sources import bikes, files
+from cadenza.sources import tiles as sources_tiles
 from cadenza.sources.samples import LONG_SQL, SHORT_SQL, long_rides, read, short_rides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,3 +460,85 @@ _short("grade_chunks", lambda r: reports.grade_chunks(r, 50.0), """, c AS (SELEC
 _short("label_levels", lambda r: waypoints.stagger(r.where("seq % 5 = 0").select("ride", F.col("seq").cast("int").alias("idx"), (F.col("d") / 10).alias("km")), gap_km=3.0), ", l AS (SELECT ride, seq::INTEGER AS idx, d / 10 AS km, CASE WHEN d / 10 - lag(d / 10) OVER w >= 3 OR lag(d) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM rec WHERE seq % 5 = 0 WINDOW w AS (PARTITION BY ride ORDER BY d, seq)), g AS (SELECT *, sum(f) OVER (PARTITION BY ride ORDER BY km, idx) AS g FROM l) SELECT ride, idx, round(km, 4) AS km, (row_number() OVER (PARTITION BY ride, g ORDER BY km, idx) - 1)::INTEGER AS level FROM g")
 _register("assisted_speed", lambda s, d: _parts(s, d).select("id", physics.assisted_speed("watts", "grade", 0.5, 250.0, 25.0).alias("kmh")), f"WITH x AS ({_PARTS}), v AS (SELECT id, {_speed_sql('(watts + least(0.5e0 * watts, 250e0))', 'grade')} AS a, {_speed_sql('watts', 'grade')} AS b FROM x) SELECT id, round(CASE WHEN a > 25 THEN b ELSE a END, 4) AS kmh FROM v")
 _register("index_lists", lambda s, d: _parts(s, d).select("id", F.size(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(",")))).alias("n"), F.element_at(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(","))), 2).alias("second")), "SELECT p_partkey AS id, 2 AS n, (p_partkey + 1)::INTEGER AS second FROM part")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("id"), (44.0 + (k % 700) / 100).alias("lat"), (-6.0 + (k % 900) / 80).alias("lon"))
+
+
+_PLACES = "p AS (SELECT p_partkey AS id, 44e0 + (p_partkey % 700) / 100e0 AS lat, -6e0 + (p_partkey % 900) / 80e0 AS lon FROM part)"
+
+
+def _conic_sql() -> str:
+    e, n, c, pole = projection.conic_constants()
+    q = f"ln(tan(pi() / 4 + radians(lat) / 2)) + {e / 2!r}::DOUBLE * ln((1 - {e!r}::DOUBLE * sin(radians(lat))) / (1 + {e!r}::DOUBLE * sin(radians(lat))))"
+    return f"""WITH {_PLACES}, q AS (SELECT id, {c!r}::DOUBLE * exp({-n!r}::DOUBLE * ({q})) AS r, {n!r}::DOUBLE * radians(lon - 3) AS turn FROM p)
+  SELECT id, round(700000 + r * sin(turn), 2) AS x, round({pole!r}::DOUBLE - r * cos(turn), 2) AS y FROM q"""
+
+
+def _british_sql() -> str:
+    (a, b), (a2, b2) = projection.WGS84, projection.AIRY
+    e2, f2 = 1 - b * b / (a * a), 1 - b2 * b2 / (a2 * a2)
+    tx, ty, tz, rx, ry, rz, ppm = projection.OSGB_SHIFT
+    rx, ry, rz, k, f0, n = math.radians(rx / 3600), math.radians(ry / 3600), math.radians(rz / 3600), 1 + ppm * 1e-6, 0.9996012717, (a2 - b2) / (a2 + b2)
+    d = lambda v: f"({v!r}::DOUBLE)"
+    return f"""WITH {_PLACES}, v AS (SELECT id, radians(lat) AS p, radians(lon) AS q, {d(a)} / sqrt(1 - {d(e2)} * pow(sin(radians(lat)), 2)) AS nu FROM p),
+  g AS (SELECT id, nu * cos(p) * cos(q) AS x, nu * cos(p) * sin(q) AS y, nu * {d(1 - e2)} * sin(p) AS z FROM v),
+  h AS (SELECT id, {d(tx)} + {d(k)} * x - {d(rz)} * y + {d(ry)} * z AS x, {d(ty)} + {d(rz)} * x + {d(k)} * y - {d(rx)} * z AS y, {d(tz)} - {d(ry)} * x + {d(rx)} * y + {d(k)} * z AS z FROM g),
+  i AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z * {d(a2)}, sqrt(x * x + y * y) * {d(b2)}) AS th FROM h),
+  j AS (SELECT id, atan2(z + {d(f2 / (1 - f2) * b2)} * pow(sin(th), 3), r - {d(f2 * a2)} * pow(cos(th), 3)) AS p, atan2(y, x) AS q FROM i),
+  l AS (SELECT id, p, q - radians(-2) AS l, sin(p) AS s, cos(p) AS c, pow(tan(p), 2) AS t, {d(a2 * f0)} / sqrt(1 - {d(f2)} * pow(sin(p), 2)) AS nu, {d(a2 * f0 * (1 - f2))} / pow(1 - {d(f2)} * pow(sin(p), 2), 1.5) AS rho, p - radians(49) AS dp, p + radians(49) AS sp FROM j),
+  m AS (SELECT *, nu / rho - 1 AS eta, {d(b2 * f0)} * ({d(1 + n + 1.25 * n**2 + 1.25 * n**3)} * dp - {d(3 * n + 3 * n**2 + 2.625 * n**3)} * sin(dp) * cos(sp) + {d(1.875 * n**2 + 1.875 * n**3)} * sin(2 * dp) * cos(2 * sp) - {d(35 / 24 * n**3)} * sin(3 * dp) * cos(3 * sp)) AS arc FROM l)
+  SELECT id, round(400000 + nu * c * l + nu / 6 * pow(c, 3) * (nu / rho - t) * pow(l, 3) + nu / 120 * pow(c, 5) * (5 - 18 * t + t * t + 14 * eta - 58 * t * eta) * pow(l, 5), 2) AS x,
+    round(arc - 100000 + nu / 2 * s * c * pow(l, 2) + nu / 24 * s * pow(c, 3) * (5 - t + 9 * eta) * pow(l, 4) + nu / 720 * s * pow(c, 5) * (61 - 58 * t + t * t) * pow(l, 6), 2) AS y FROM m"""
+
+
+_grid = lambda epsg: lambda s, d: _places(s, d).select("id", projection.projected(F.col("lat"), F.col("lon"), epsg).alias("g")).select("id", "g.x", "g.y")
+_register("french_grid", _grid(projection.EPSG_LAMBERT_93), _conic_sql(), 2)
+_register("british_grid", _grid(projection.EPSG_OSGB), _british_sql(), 2)
+
+
+def _tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    british = F.concat(F.lit("cache/uk/"), F.when(k % 5 == 0, "tq").otherwise("TQ"), k % 90 + 10, F.when(k % 3 == 0, "nw").otherwise(""), F.when(k % 4 == 0, F.lit("_DSM_1m.tif")).otherwise(F.lit("_DTM_1m.TIF")))
+    french = F.concat(F.lit("fr/RGEALTI_FXX_"), F.lpad(k % 1000, 4, "0"), F.lit("_"), F.lpad(k % 77 + 6800, 4, "0"), F.lit("_MNT_LAMB93_IGN69.asc"))
+    return read(spark, sf_dir, "part").select(F.when(k % 2 == 0, british).otherwise(french).alias("path"))
+
+
+_FILES = """f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'cache/uk/' || CASE WHEN p_partkey % 5 = 0 THEN 'tq' ELSE 'TQ' END || (p_partkey % 90 + 10) || CASE WHEN p_partkey % 3 = 0 THEN 'nw' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '_DSM_1m.tif' ELSE '_DTM_1m.TIF' END
+  ELSE 'fr/RGEALTI_FXX_' || lpad((p_partkey % 1000)::VARCHAR, 4, '0') || '_' || lpad((p_partkey % 77 + 6800)::VARCHAR, 4, '0') || '_MNT_LAMB93_IGN69.asc' END AS path FROM part)"""
+_register("british_tiles", lambda s, d: sources_tiles.british_tiles(_tile_files(s, d)), f"WITH {_FILES} SELECT path, CASE WHEN k % 5 <> 0 THEN 'TQ' || (k % 90 + 10) || CASE WHEN k % 3 = 0 THEN 'nw' ELSE '' END END AS subtile, CASE WHEN k % 5 <> 0 THEN 'TQ' || (k % 90 + 10) END AS tile FROM f WHERE k % 2 = 0 AND k % 4 <> 0")
+_register("wanted_french_tiles", lambda s, d: sources_tiles.wanted_french_tiles(_tile_files(s, d), read(s, d, "part").select((F.col("p_partkey") % 500).cast("int").alias("e_km"), (F.col("p_partkey") % 77 + 6800).cast("int").alias("n_km"))), f"WITH {_FILES}, w AS (SELECT DISTINCT p_partkey % 500 AS e, p_partkey % 77 + 6800 AS n FROM part) SELECT path, (k % 1000)::INTEGER AS e_km, (k % 77 + 6800)::INTEGER AS n_km FROM f JOIN w ON e = k % 1000 AND n = k % 77 + 6800 WHERE k % 2 = 1")
+_register("newest_archives", lambda s, d: sources_tiles.newest_archives(read(s, d, "part").select(F.concat(F.lit("<a>RGEALTI_2-0_1M_ASC_LAMB93-IGN69_D0"), F.col("p_partkey") % 89 + 10, F.lit("_20"), F.col("p_partkey") % 13 + 10, F.lit("-0"), F.col("p_partkey") % 9 + 1, F.lit("-11.7z</a> RGEALTI_2-0_1M_ASC_LAMB93-IGN69_D0"), F.col("p_partkey") % 7 + 10, F.lit("_2001-01-01")).alias("text"))), """WITH a AS (SELECT 'D0' || (p_partkey % 89 + 10) AS dept, '20' || (p_partkey % 13 + 10) || '-0' || (p_partkey % 9 + 1) || '-11' AS day FROM part UNION ALL SELECT 'D0' || (p_partkey % 7 + 10), '2001-01-01' FROM part)
+  SELECT dept, 'RGEALTI_2-0_1M_ASC_LAMB93-IGN69_' || dept || '_' || max(day) AS archive FROM a GROUP BY dept""")
+
+
+def _tile_wants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 997).alias("ride"), F.when(F.col("l_suppkey") % 2 == 0, "uk").otherwise("fr").alias("region"), F.concat(F.lit("T"), F.col("l_partkey") % 40).alias("tile"))
+
+
+def _tile_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 3 == 0, "uk").otherwise("fr").alias("region"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("T"), F.col("p_partkey") % 23)).alias("tile"))
+
+
+_STOCK = "h AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'uk' ELSE 'fr' END AS region, 'T' || (p_partkey % 23) AS tile FROM part WHERE p_partkey % 5 <> 0)"
+_WANTS = "w AS (SELECT DISTINCT l_orderkey % 997 AS ride, CASE WHEN l_suppkey % 2 = 0 THEN 'uk' ELSE 'fr' END AS region, 'T' || (l_partkey % 40) AS tile FROM lineitem)"
+_register("tile_coverage", lambda s, d: sources_tiles.with_coverage(_tile_stock(s, d), _tile_wants(s, d)), f"WITH {_STOCK}, {_WANTS} SELECT region, tile FROM h UNION SELECT region, tile FROM w")
+_register("missing_tiles", lambda s, d: sources_tiles.missing_tiles(_tile_wants(s, d), _tile_stock(s, d)).withColumn("missing", F.array_join("missing", ",")), f"WITH {_STOCK}, {_WANTS} SELECT ride, count(*) AS n_missing, string_agg(tile, ',' ORDER BY tile) AS missing, count(*) * 50 AS mb FROM w ANTI JOIN h USING (region, tile) GROUP BY ride")
+_register("coverage_policy", lambda s, d: read(s, d, "part").select(F.col("p_partkey").alias("id"), sources_tiles.coverage_policy(F.when(F.col("p_partkey") % 5 == 0, "quit"), F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 2 == 0).alias("policy")), "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'quit' WHEN p_partkey % 3 = 0 THEN 'prompt' WHEN p_partkey % 2 = 0 THEN 'api' ELSE 'skip' END AS policy FROM part")
+_BIKES = {"tourer": {"system_weight_kg_default": 95.0, "cda": 0.35, "drivetrain_efficiency": 0.96, "crr_by_surface": {"gravel": 0.009, "tarmac": 0.006}, "gearing": {"chainrings_t": [46, 30], "cassette_t": [11, 34]}}, "roadie": {"system_weight_kg_default": 82.0, "cda": 0.29, "crr_by_surface": {"tarmac": 0.0045}}}
+_register("bike_physics", lambda s, d: bikes.bike_physics(read(s, d, "part").select(F.col("p_partkey").alias("ride"), F.when(F.col("p_partkey") % 3 == 0, "tourer").when(F.col("p_partkey") % 3 == 1, "roadie").alias("bike"), F.when(F.col("p_partkey") % 2 == 0, "tarmac").when(F.col("p_partkey") % 5 == 0, "sand").alias("surface")), files.bike_table(s, {"bikes": _BIKES})), """SELECT p_partkey AS ride, CASE p_partkey % 3 WHEN 0 THEN 'tourer' WHEN 1 THEN 'roadie' END AS bike, CASE p_partkey % 3 WHEN 0 THEN 95e0 WHEN 1 THEN 82e0 ELSE 87e0 END AS mass, CASE p_partkey % 3 WHEN 0 THEN 0.35e0 WHEN 1 THEN 0.29e0 ELSE 0.3e0 END AS cda,
+  round(CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 0.006e0 ELSE 0.009e0 END WHEN 1 THEN 0.0045e0 ELSE 0.0055e0 END, 4) AS crr, CASE p_partkey % 3 WHEN 0 THEN 0.96e0 ELSE 0.97e0 END AS eta, CASE WHEN p_partkey % 3 = 0 THEN round(30 / 34e0, 4) END AS lowest_ratio FROM part""")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select((k % 200).alias("idx"), k.alias("id"), F.when(k % 3 == 0, "DROP").otherwise("KEEP").alias("decision"), F.when(k % 3 == 0, "unrecognised / route-flag").otherwise("").alias("reason"))
+
+
+_register("overrides", lambda s, d: waypoints.override(_items(s, d), include=(3, 6, 9, 150), exclude=(4, 9, 33)), """WITH x AS (SELECT p_partkey % 200 AS idx, p_partkey AS id, p_partkey % 3 = 0 AS gone FROM part)
+  SELECT idx, id, CASE WHEN idx IN (4, 9, 33) THEN 'DROP' WHEN idx IN (3, 6, 9, 150) THEN 'KEEP' WHEN gone THEN 'DROP' ELSE 'KEEP' END AS decision,
+    trim((CASE WHEN gone THEN 'unrecognised / route-flag' ELSE '' END) || CASE WHEN idx IN (3, 6, 9, 150) THEN ' [overridden: --include]' ELSE '' END || CASE WHEN idx IN (4, 9, 33) THEN ' [overridden: --exclude]' ELSE '' END) AS reason FROM x""")
+_register("kept_waypoints", lambda s, d: waypoints.kept(waypoints.override(_items(s, d), exclude=(4, 9, 33))), "SELECT p_partkey % 200 AS idx, p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 200 NOT IN (4, 9, 33)")
+_register("waypoint_lines", lambda s, d: shapes.waypoint_lines(_items(s, d).select("idx", (F.col("id") / 7).alias("km"), "decision", F.lit("Pub").alias("cat"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("The Inn "), "id")).alias("name"), "reason", F.concat(F.lit("Inn "), "id").alias("disp"))), """SELECT p_partkey % 200 AS idx, printf('%2d  %5.1f  %-6s  %-6s  %-32s  %-40s', p_partkey % 200, p_partkey / 7e0, CASE WHEN p_partkey % 3 = 0 THEN '✗ drop' ELSE '✓ keep' END, 'Pub', CASE WHEN p_partkey % 4 = 0 THEN '?' ELSE 'The Inn ' || p_partkey END, CASE WHEN p_partkey % 3 = 0 THEN 'unrecognised / route-flag' ELSE 'shown as: "Inn ' || p_partkey || '"' END) AS line FROM part""")

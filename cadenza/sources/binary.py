@@ -99,7 +99,7 @@ def read_fit(spark: SparkSession, path: str, message: str = "record") -> DataFra
 
 
 def decode_tiff(data: bytes) -> dict:
-    """Width, height, corner, pixel size and values (NaN for nodata) of a one-band grid, plain or deflated."""
+    """Width, height, corner, pixel size, EPSG code and values (NaN for nodata) of a one-band grid: plain, deflated or LZW, with any predictor."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     at = struct.unpack_from(order + "I", data, 4)[0]
     tags = {}
@@ -114,35 +114,78 @@ def decode_tiff(data: bytes) -> dict:
     w, h = tags[256][0], tags[257][0]
     form = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
     dtype = np.dtype(f"{order}{form}{tags[258][0] // 8}")
-    if tags.get(317, (1,))[0] != 1 or tags.get(259, (1,))[0] not in (1, 8, 32946):
-        raise ValueError("only plain and deflated grids without a predictor are read")
-    unpack = (lambda b: b) if tags.get(259, (1,))[0] == 1 else zlib.decompress
+    unpack = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(tags.get(259, (1,))[0])
+    if unpack is None:
+        raise ValueError(f"compression {tags[259][0]} of a grid is not read")
+    predictor = tags.get(317, (1,))[0]
     tw, th = tags.get(322, (w,))[0], tags.get(323, tags.get(278, (h,)))[0]
     offsets, sizes = tags.get(324, tags.get(273)), tags.get(325, tags.get(279))
     grid = np.full((h, w), np.nan, np.float32)
     across = -(-w // tw)
     for k, (o, s) in enumerate(zip(offsets, sizes)):
         r, c = k // across * th, k % across * tw
-        part = np.frombuffer(unpack(data[o : o + s]), dtype)
-        part = part[: len(part) // tw * tw].reshape(-1, tw)[: h - r, : w - c]
+        part = unpredict(unpack(data[o : o + s]), dtype, tw, predictor)[: h - r, : w - c]
         grid[r : r + len(part), c : c + part.shape[1]] = part
     nodata = tags.get(42113, b"").strip(b"\0 ")
     if nodata:
         grid[grid == np.float32(nodata)] = np.nan
     (sx, sy), (i, j, _, x, y) = tags[33550][:2], tags[33922][:5]
-    return {"w": w, "h": h, "px": sx, "py": sy, "x0": x - i * sx, "y0": y + j * sy, "data": grid.ravel()}
+    return {"w": w, "h": h, "px": sx, "py": sy, "x0": x - i * sx, "y0": y + j * sy, "epsg": epsg_code(tags.get(34735, ())), "data": grid.ravel()}
+
+
+def epsg_code(keys: tuple[int, ...]) -> int:
+    """The system that a grid's keys name: the projected one, else the geographic one; without keys degrees."""
+    named = {k: v for k, place, _, v in zip(*[iter(keys[4:])] * 4) if place == 0}
+    return named.get(3072) or named.get(2048) or 4326
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; 256 clears the table, 257 ends."""
+    out, table, width, held, bits, last = [], [], 9, 0, 0, None
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last is not None:
+            table.append(last + entry[:1])
+        last = entry
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def unpredict(raw: bytes, dtype: np.dtype, width: int, predictor: int) -> np.ndarray:
+    """Rows of ``width`` values; predictor 2 keeps differences along a row, 3 those of a row's bytes by significance."""
+    if predictor == 3:
+        size = dtype.itemsize
+        rows = np.frombuffer(raw, np.uint8)[: len(raw) // (width * size) * width * size].reshape(-1, width * size)
+        rows = np.cumsum(rows, 1, dtype=np.uint8).reshape(len(rows), size, width).transpose(0, 2, 1)
+        return np.ascontiguousarray(rows).view(dtype.newbyteorder(">")).reshape(len(rows), width)
+    part = np.frombuffer(raw, dtype)
+    part = part[: len(part) // width * width].reshape(-1, width)
+    return np.cumsum(part, 1, dtype=dtype) if predictor == 2 else part
 
 
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     """Raster tiles in path order, as ``operators.verify`` takes them; holes are null."""
-    schema = "tile_id string, x0 double, y0 double, px double, py double, h int, w int, data array<float>"
+    schema = "tile_id string, x0 double, y0 double, px double, py double, epsg int, h int, w int, data array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = decode_tiff(data)
                 values = pa.array(t["data"], pa.float32(), mask=np.isnan(t["data"]))
-                yield pa.RecordBatch.from_arrays([pa.array([tile]), *(pa.array([float(t[k])]) for k in ("x0", "y0", "px", "py")), pa.array([t["h"]], pa.int32()), pa.array([t["w"]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["tile_id", "x0", "y0", "px", "py", "h", "w", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([tile]), *(pa.array([float(t[k])]) for k in ("x0", "y0", "px", "py")), pa.array([t["epsg"]], pa.int32()), pa.array([t["h"]], pa.int32()), pa.array([t["w"]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["tile_id", "x0", "y0", "px", "py", "epsg", "h", "w", "data"])
 
-    tiles = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif").load(path).select("path", "content").mapInArrow(run, schema)
-    return tiles.withColumn("path_rank", F.row_number().over(Window.orderBy("tile_id")))  # one row a tile: a catalogue, not pixels
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif").load(path)
+    tiles = files.select("path", "content").mapInArrow(run, schema)
+    # only the paths are put in order
+    return tiles.join(files.select(F.col("path").alias("tile_id"), F.row_number().over(Window.orderBy("path")).alias("path_rank")), "tile_id")

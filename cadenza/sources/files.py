@@ -39,8 +39,9 @@ def read_ascii_grids(spark: SparkSession, path: str) -> DataFrame:
     t = t.withColumns({"w": head("ncols").cast("int"), "h": head("nrows").cast("int"), "px": head("cellsize"), "x0": head("xllcorner"), "_y": head("yllcorner"), "_nd": head("NODATA_value")})
     cells = F.filter(F.split(F.regexp_replace("value", r"(?m)^\s*[A-Za-z].*$", ""), r"\s+"), lambda s: s != "")
     t = t.withColumn("data", F.transform(cells, lambda s: F.when(s.cast("double") == F.coalesce("_nd", F.lit(float("inf"))), None).otherwise(s.cast("float"))))
-    rank = F.row_number().over(Window.orderBy("tile_id"))  # one row a tile: a catalogue, not pixels
-    return t.select("tile_id", rank.alias("path_rank"), "x0", (F.col("_y") + F.col("h") * F.col("px")).alias("y0"), "px", F.col("px").alias("py"), "h", "w", "data")
+    # only the names are put in order
+    ranks = t.select("tile_id").withColumn("path_rank", F.row_number().over(Window.orderBy("tile_id")))
+    return t.join(ranks, "tile_id").select("tile_id", "path_rank", "x0", (F.col("_y") + F.col("h") * F.col("px")).alias("y0"), "px", F.col("px").alias("py"), "h", "w", "data")
 
 
 _FRONT = re.compile(r"\A\s*---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\Z)", re.S)
