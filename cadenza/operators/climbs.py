@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.physics import RIDER, Rider, predict_power, predict_speed, survival_power, vam
-from cadenza.functions.scoring import SIGNIFICANT_INDEX, climb_category, climb_index, climb_points, significance
+from cadenza.functions.scoring import SIGNIFICANT_INDEX, climb_category, climb_index, climb_points, significance, wall_multiplier
 from cadenza.operators.windows import Keys, median_filter, onto_grid, ordered, smooth
 
 GRID_M, REACH, STEP_M = 50.0, 2, 10.0
@@ -154,4 +154,29 @@ def gear_choice(speeds: DataFrame, rings: list[int], cogs: list[int], prefer_rpm
     return gears.withColumn("_b", best).where("_b = 1").select(key, "ring_t", "cog_t", "rpm")
 
 
-__all__ = ["categorised", "climb_totals", "find_climbs", "gear_choice", "grade_profile", "max_grade", "ordered", "predict_climbs", "predict_power", "route_load", "select_for_detail", "verified_pacing"]
+def terrain_load(loads: DataFrame, density: str = "density", hours: str = "hours") -> DataFrame:
+    """Adds multiplier, hours_adj, tss_adj_065/070/075 and the ranges if_lo, if_hi, tss_adj_lo, tss_adj_hi.
+
+    Walls slow a rider down as much as they raise the intensity; a null density (nothing verified) adjusts nothing.
+    """
+    m = F.coalesce(wall_multiplier(F.col(density)), F.lit(1.0))
+    out = loads.withColumn("multiplier", m)
+    out = out.withColumn("hours_adj", F.when(F.col("multiplier") > 1.001, F.bround(F.col(hours) * F.col("multiplier"), 2)).otherwise(F.col(hours)))
+    tss = lambda i: F.bround(F.col("hours_adj") * i * i * 100, 0)
+    out = out.withColumns({"tss_adj_065": tss(0.65), "tss_adj_070": tss(0.70), "tss_adj_075": tss(0.75), "if_lo": F.bround(0.65 * F.col("multiplier"), 2), "if_hi": F.bround(0.75 * F.col("multiplier"), 2)})
+    return out.withColumns({"tss_adj_lo": tss(F.col("if_lo")), "tss_adj_hi": tss(F.col("if_hi"))})
+
+
+def worth_restating(new: Column, old: Column, least: float, share: float = 0.05, whole: bool = True) -> Column:
+    """Whether a figure moved by ``least`` or by ``share`` of what it was, whichever is more."""
+    part = F.floor(share * old) if whole else share * old
+    return F.abs(new - old) >= F.greatest(F.lit(least), part)
+
+
+def stitched_load(profile: DataFrame, density: DataFrame, rider: Rider = RIDER, by: Keys = ("ride",)) -> DataFrame:
+    """The load of routes on their stitched profiles (by, seq, d, e), with ``density`` (by, density).
+
+    Profiles of fewer than 50 points or less than a kilometre have no row.
+    """
+    size = profile.groupBy(*by).agg((F.max("d") / 1000).alias("distance_km"), F.count(F.lit(1)).alias("_n")).where("_n >= 50 AND distance_km >= 1").drop("_n")
+    return terrain_load(route_load(size, find_climbs(profile.join(size.select(*by), list(by), "left_semi"), by=by), by, rider).join(density.select(*by, "density"), list(by), "left"))

@@ -542,3 +542,6 @@ _register("overrides", lambda s, d: waypoints.override(_items(s, d), include=(3,
     trim((CASE WHEN gone THEN 'unrecognised / route-flag' ELSE '' END) || CASE WHEN idx IN (3, 6, 9, 150) THEN ' [overridden: --include]' ELSE '' END || CASE WHEN idx IN (4, 9, 33) THEN ' [overridden: --exclude]' ELSE '' END) AS reason FROM x""")
 _register("kept_waypoints", lambda s, d: waypoints.kept(waypoints.override(_items(s, d), exclude=(4, 9, 33))), "SELECT p_partkey % 200 AS idx, p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 200 NOT IN (4, 9, 33)")
 _register("waypoint_lines", lambda s, d: shapes.waypoint_lines(_items(s, d).select("idx", (F.col("id") / 7).alias("km"), "decision", F.lit("Pub").alias("cat"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("The Inn "), "id")).alias("name"), "reason", F.concat(F.lit("Inn "), "id").alias("disp"))), """SELECT p_partkey % 200 AS idx, printf('%2d  %5.1f  %-6s  %-6s  %-32s  %-40s', p_partkey % 200, p_partkey / 7e0, CASE WHEN p_partkey % 3 = 0 THEN '✗ drop' ELSE '✓ keep' END, 'Pub', CASE WHEN p_partkey % 4 = 0 THEN '?' ELSE 'The Inn ' || p_partkey END, CASE WHEN p_partkey % 3 = 0 THEN 'unrecognised / route-flag' ELSE 'shown as: "Inn ' || p_partkey || '"' END) AS line FROM part""")
+_register("terrain_load", lambda s, d: climbs.terrain_load(read(s, d, "part").select(F.col("p_partkey").alias("ride"), (F.col("p_partkey") % 50 / 8 + 0.51).alias("hours"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 31 * 0.77 + 0.013).alias("density"))), """WITH a AS (SELECT p_partkey AS ride, p_partkey % 50 / 8e0 + 0.51e0 AS hours, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 31 * 0.77e0 + 0.013e0 END AS density FROM part),
+  m AS (SELECT *, coalesce(least(1.3e0, 1 + 0.017e0 * greatest(0, density)), 1e0) AS multiplier FROM a), h AS (SELECT *, CASE WHEN multiplier > 1.001e0 THEN round_even(hours * multiplier, 2) ELSE hours END AS hours_adj, round_even(0.65e0 * multiplier, 2) AS if_lo, round_even(0.75e0 * multiplier, 2) AS if_hi FROM m)
+  SELECT ride, hours, round(density, 4) AS density, round(multiplier, 4) AS multiplier, hours_adj, round_even(hours_adj * 0.65e0 * 0.65e0 * 100, 0) AS tss_adj_065, round_even(hours_adj * 0.7e0 * 0.7e0 * 100, 0) AS tss_adj_070, round_even(hours_adj * 0.75e0 * 0.75e0 * 100, 0) AS tss_adj_075, if_lo, if_hi, round_even(hours_adj * if_lo * if_lo * 100, 0) AS tss_adj_lo, round_even(hours_adj * if_hi * if_hi * 100, 0) AS tss_adj_hi FROM h""")

@@ -4,6 +4,7 @@ import numpy as np
 
 from cadenza import __main__ as cli
 from cadenza.plans import reports
+from cadenza.sinks.reports import embed_prediction
 from tests.test_binary import fit_file, tiff
 
 
@@ -33,3 +34,27 @@ def test_command_line(spark, capsys):
     cli.main(["--json", "tyres", "--kg", "90"])
     out = capsys.readouterr().out
     assert "| plan | 0 | 60 |" in out and '{"surface":"new","front_psi":68.0,"rear_psi":70.0}' in out
+
+
+PREDICTION = """# A route
+
+## Summary
+- **Ascent**: 700 m
+- **Total moving time**: ~2.59 h
+- **TSS at IF 0.65** (easy): ~109
+- **TSS at IF 0.70** (steady): ~127
+- **TSS at IF 0.75** (hard): ~146
+"""
+
+
+def test_predictions_are_restated_once():
+    """Walls raise hours and stress; small changes, and what was restated before, stay."""
+    load = {"density": 12.0, "multiplier": 1.204, "hours_adj": 3.12, "tss_adj_065": 132.0, "tss_adj_070": 153.0, "tss_adj_075": 176.0, "if_lo": 0.78, "if_hi": 0.9, "tss_adj_lo": 190.0, "tss_adj_hi": 253.0}
+    once = embed_prediction(PREDICTION, "| climb |", load, 812.0, 91.0)
+    assert "- **Ascent**: 812 m (from rasters; GPX: 700 m)" in once and "moving time**: ~3.12 h (from rasters, adjusted to the terrain; GPX: ~2.59 h)" in once
+    assert "(easy): ~132 (from rasters, adjusted to the terrain; GPX: ~109)" in once and once.count("**Wall density**: 12.0 m/km") == 1 and "Rasters cover" not in once
+    assert embed_prediction(once, "| climb |", load, 812.0, 91.0) == once
+    again = embed_prediction(once, "| climb |", {**load, "density": None, "multiplier": 1.0, "hours_adj": 2.65, "tss_adj_065": 112.0}, 812.0, 55.5)
+    assert "GPX: ~2.59 h" in again and "not measured" in again and "Rasters cover 55.5 %" in again and again.count("Wall density") == 1
+    same = embed_prediction(PREDICTION, "x", {**load, "multiplier": 1.0, "hours_adj": 2.7, "tss_adj_065": 112.0, "tss_adj_070": 130.0, "tss_adj_075": 150.0}, 710.0)
+    assert "- **Ascent**: 700 m\n" in same and "~2.59 h\n" in same and "~109\n" in same
