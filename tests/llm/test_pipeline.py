@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -60,3 +61,17 @@ def test_repeated_and_missing_ids(spark):
     mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
     whole = {(i, t) for i, t in rows if t}
     assert len({(r.doc_id, r.text) for r in mixed} & whole) >= len(whole) - 1 and all(any(r.doc_id == i and t.startswith(r.text) for i, t in whole) for r in mixed)
+
+
+def test_empty_tables_and_clashing_columns(spark, sf_dir):
+    """No rows stay no rows; columns with names that stages use inside change nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("rid", "order", "key", "taken", "size", "component_id", "kept_text", "marks", "piece", "range"):
+        docs = docs.withColumn(name, F.lit(7))
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), sf_dir).count() == 0, name
+    some = docs.where("doc_id >= 200 OR doc_id IS NULL")
+    cut = corpus_pipeline.cut_repeats(spark, some, sf_dir)
+    assert cut.columns == list(corpus_pipeline.COLUMNS) and cut.count() == some.count()
+    mixed = corpus_pipeline.mix_sources(spark, some, sf_dir)
+    assert mixed.columns == list(corpus_pipeline.COLUMNS) and mixed.count() > 0
