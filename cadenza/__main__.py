@@ -1,4 +1,4 @@
-"""python -m cadenza ride|route|compare|load|tyres ...: reports on the terminal as markdown or JSON lines."""
+"""python -m cadenza ride|pair|route|waypoints|compare|load|tyres ...: reports on the terminal as markdown or JSON lines."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 def main(argv: list[str] | None = None) -> None:
     from cadenza.plans import reports
     from cadenza.sinks.reports import as_json
+    from cadenza.sinks.shapes import waypoint_lines
 
     parser = argparse.ArgumentParser(prog="cadenza", description=__doc__)
     parser.add_argument("--json", action="store_true")
@@ -19,6 +20,14 @@ def main(argv: list[str] | None = None) -> None:
     route = sub.add_parser("route")
     route.add_argument("files")
     route.add_argument("--dem")
+    listing = sub.add_parser("waypoints")
+    listing.add_argument("files")
+    for p in (route, listing):
+        p.add_argument("--include", default="", help="waypoints to keep, e.g. 1,4,7")
+        p.add_argument("--exclude", default="", help="waypoints to drop")
+    pair = sub.add_parser("pair")
+    pair.add_argument("a")
+    pair.add_argument("b")
     compare = sub.add_parser("compare")
     compare.add_argument("a")
     compare.add_argument("b")
@@ -31,9 +40,16 @@ def main(argv: list[str] | None = None) -> None:
     tyres.add_argument("--front", type=float, default=48.0)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    numbers = lambda text: tuple(int(x) for x in text.split(",") if x.strip())
+    if a.what == "waypoints":
+        found = reports.route_frames(spark, a.files, include=numbers(a.include), exclude=numbers(a.exclude))["waypoints"]
+        for r in waypoint_lines(found).orderBy("idx").toLocalIterator():
+            print(r.line)
+        return
     frames = {
         "ride": lambda: reports.ride_frames(spark, a.files),
-        "route": lambda: reports.route_frames(spark, a.files, a.dem),
+        "route": lambda: reports.route_frames(spark, a.files, a.dem, include=numbers(a.include), exclude=numbers(a.exclude)),
+        "pair": lambda: reports.pair_frames(spark, a.a, a.b),
         "compare": lambda: reports.compare_frames(spark, a.a, a.b),
         "load": lambda: {"load": reports.load_frame(spark, a.ctl, a.atl, [float(x) for x in a.plan.split(",")])},
         "tyres": lambda: {"tyres": reports.tyre_frame(spark, a.kg, a.front)},

@@ -26,8 +26,27 @@ def ride_frames(spark: SparkSession, path: str, rider: Rider = RIDER) -> dict[st
     }
 
 
-def route_frames(spark: SparkSession, path: str, dem: str | None = None, rider: Rider = RIDER) -> dict[str, DataFrame]:
-    """Frames of GPX routes; with a folder of rasters also verified and missed climbs, verdict and wall density."""
+def pair_frames(spark: SparkSession, a: str, b: str) -> dict[str, DataFrame]:
+    """One ride by two devices: what each stored, and whose figures the ride's report takes."""
+
+    def summary(path: str) -> DataFrame:
+        s = binary.read_fit(spark, path, "session").orderBy("seq").limit(1)  # the first session of one file
+        pause = F.coalesce(F.col("total_elapsed_time") - F.col("total_timer_time"), F.lit(0.0))
+        return s.select(
+            F.lit(1).alias("pair"), F.coalesce(F.col("sport").cast("string"), F.lit("")).alias("sport"), "start_time", (F.col("total_distance") / 1000).alias("distance_km"),
+            F.coalesce("total_ascent", F.lit(0)).cast("double").alias("ascent_m"), F.col("total_ascent").isNotNull().alias("ascent_stored"), pause.alias("auto_pause_s"),
+            (F.coalesce("avg_heart_rate", F.lit(0)) > 0).alias("has_hr"), (F.coalesce("avg_power", F.lit(0)) > 0).alias("has_power"), F.col("avg_heart_rate").cast("double").alias("avg_hr"), F.col("avg_power").cast("double").alias("avg_w"),
+        )
+
+    one, two = summary(a), summary(b)
+    return {"devices": joins.all_of([one, two], ["A", "B"], "device").drop("pair"), "ride": joins.merge_devices(one, two).drop("pair")}
+
+
+def route_frames(spark: SparkSession, path: str, dem: str | None = None, rider: Rider = RIDER, include: tuple[int, ...] = (), exclude: tuple[int, ...] = ()) -> dict[str, DataFrame]:
+    """Frames of GPX routes; with a folder of rasters also verified and missed climbs, verdict and wall density.
+
+    ``include`` and ``exclude``: numbers of waypoints to keep or drop whatever their kind.
+    """
     pts = files.read_gpx(spark, path).withColumnsRenamed({"route": "ride", "cum_m": "d"})
     found = climbs.find_climbs(pts)
     lengths = pts.groupBy("ride").agg((F.max("d") / 1000).alias("distance_km"))
@@ -35,7 +54,7 @@ def route_frames(spark: SparkSession, path: str, dem: str | None = None, rider:
         "summary": metrics.elevation_summary(pts).join(metrics.ascent(pts, "zero9"), "ride").join(metrics.loops(pts), "ride"),
         "climbs": climbs.predict_climbs(found, rider),
         "load": climbs.route_load(lengths, found, rider=rider),
-        "waypoints": waypoints.enumerate_waypoints(files.read_waypoints(spark, path).withColumnRenamed("route", "ride"), pts.withColumn("cum_m", F.col("d"))),
+        "waypoints": waypoints.override(waypoints.enumerate_waypoints(files.read_waypoints(spark, path).withColumnRenamed("route", "ride"), pts.withColumn("cum_m", F.col("d"))), include, exclude),
     }
     if dem:
         tiles, track = binary.read_geotiff(spark, dem), pts.withColumn("cum_m", F.col("d"))

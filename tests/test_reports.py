@@ -36,6 +36,19 @@ def test_command_line(spark, capsys):
     assert "| plan | 0 | 60 |" in out and '{"surface":"new","front_psi":68.0,"rear_psi":70.0}' in out
 
 
+def test_pairs_and_waypoint_lists(spark, tmp_path, capsys):
+    for name, watts in (("a", None), ("b", 200)):
+        (tmp_path / f"{name}.fit").write_bytes(fit_file([(1000 + i, 8 * i, watts, 50.0) for i in range(20)], 952))
+    frames = reports.pair_frames(spark, str(tmp_path / "a.fit"), str(tmp_path / "b.fit"))
+    row = frames["ride"].first()
+    assert frames["devices"].count() == 2 and (row.terrain, row.power_source, row.ascent_m) == ("A", None, 77.0)
+    pts = "".join(f'<trkpt lat="{51 + i * 1e-3:.6f}" lon="0.0003"><ele>50</ele></trkpt>' for i in range(30))
+    (tmp_path / "r.gpx").write_text(f'<gpx xmlns="http://www.topografix.com/GPX/1/1"><wpt lat="51.01" lon="0.0003"><name>Old Pub</name></wpt><wpt lat="51.02" lon="0.0003"><name>zz</name></wpt><trk><trkseg>{pts}</trkseg></trk></gpx>')
+    cli.main(["waypoints", str(tmp_path / "r.gpx"), "--include", "2", "--exclude", "1"])
+    one, two = capsys.readouterr().out.splitlines()[-2:]
+    assert one.startswith(" 1    1.1  ✗ drop") and "--exclude" in one and two.startswith(" 2    2.2  ✓ keep")
+
+
 PREDICTION = """# A route
 
 ## Summary
