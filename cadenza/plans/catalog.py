@@ -462,7 +462,7 @@ _register("assisted_speed", lambda s, d: _parts(s, d).select("id", physics.assis
 _register("index_lists", lambda s, d: _parts(s, d).select("id", F.size(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(",")))).alias("n"), F.element_at(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(","))), 2).alias("second")), "SELECT p_partkey AS id, 2 AS n, (p_partkey + 1)::INTEGER AS second FROM part")
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return read(spark, sf_dir, "part").select(k.alias("id"), (44.0 + (k % 700) / 100).alias("lat"), (-6.0 + (k % 900) / 80).alias("lon"))
 
@@ -494,7 +494,7 @@ def _british_sql() -> str:
     round(arc - 100000 + nu / 2 * s * c * pow(l, 2) + nu / 24 * s * pow(c, 3) * (5 - t + 9 * eta) * pow(l, 4) + nu / 720 * s * pow(c, 5) * (61 - 58 * t + t * t) * pow(l, 6), 2) AS y FROM m"""
 
 
-_grid = lambda epsg: lambda s, d: _places(s, d).select("id", projection.projected(F.col("lat"), F.col("lon"), epsg).alias("g")).select("id", "g.x", "g.y")
+_grid = lambda epsg: lambda s, d: _positions(s, d).select("id", projection.projected(F.col("lat"), F.col("lon"), epsg).alias("g")).select("id", "g.x", "g.y")
 _register("french_grid", _grid(projection.EPSG_LAMBERT_93), _conic_sql(), 2)
 _register("british_grid", _grid(projection.EPSG_OSGB), _british_sql(), 2)
 
