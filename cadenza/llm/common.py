@@ -56,11 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The folder is deleted by ``drop_stage``, or else when the driver's session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    sc = spark.sparkContext
+    own = sc._jvm.org.apache.hadoop.fs.Path(path).getParent()
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
     return back
