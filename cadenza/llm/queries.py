@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import collocations, html_extract, merkle, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, topk, toxicity
+from cadenza.llm import collocations, html_extract, merkle, mixing, near_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, topk, toxicity
 from cadenza.llm.common import read_table
 
 
@@ -54,9 +54,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(read_table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_mixing, op4_toxicity, op5_near_dedup, op6_packing, op7_substring_dedup, op8_topk, op9_quality_rules, op10_quality_classifier, op11_merkle_manifest, op13_collocations)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op5_near_dedup": near_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_html_extract, op3_mixing, op4_toxicity, op5_near_dedup, op6_packing, op7_substring_dedup, op8_topk, op9_quality_rules, op10_quality_classifier, op11_merkle_manifest, op12_ngram_join, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op5_near_dedup": near_dedup.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_ngram_join": ngram_join.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
