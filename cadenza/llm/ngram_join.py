@@ -9,7 +9,7 @@ Which segments a set relies on is decided by cost.  Each member of a bucket is h
 joins is contracted, and a bucket in one component is done.  Of the rest a bucket costs as many pairs as it has
 between different components: up to BUCKET_PAIRS they are verified, beyond that the bucket is skipped (-1), as empty
 segments are from the start.  A set whose skipped segments are no more than its slack still has a relied-on segment
-(0) with each partner.  Only the others index one-deletion neighbourhoods (1) of all their remaining segments, where a
+(0) with each partner, and as many of them as its slack has left; pairs that agree on fewer are never read again.  Only the others index one-deletion neighbourhoods (1) of all their remaining segments, where a
 pair agrees if its subsets differ by at most one shingle: that makes up for as many skipped segments as there are
 others.  Sets that are skipped nearly everywhere, and neighbourhoods that cost too much, are held against each other in
 blocks of bounded size.  Every link is verified on full sets, so the result is exact but for equal 64-bit hashes of
@@ -299,7 +299,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = stage(_stars(packed, 2 * part_entries), "hits")
     named = lambda a, b, to: reps.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("rep").alias(to))
     stars = stage(hits.join(named("p1", "p2", "pivot"), ["p1", "p2"]).join(named("d1", "d2", "doc_id"), ["d1", "d2"]).where("pivot <> doc_id").select("pivot", "doc_id", "keys"), "stars")
-    tried = stage(_possible(stars.select(*_ordered("pivot", "doc_id")).distinct(), sizes, percent), "tried")
+    # near copies share most of their segments with a pivot: such pairs are held in full first; what they leave apart is
+    # found by the buckets below
+    own = sizes.select("doc_id", F.coalesce(F.get("room", F.lit(0))["exact"] + 1, F.lit(1)).alias("need"))
+    close = stars.groupBy("pivot", "doc_id").agg(F.sum(F.octet_length("keys") / 8).alias("common")).join(own, "doc_id").join(own.select(F.col("doc_id").alias("pivot"), F.col("need").alias("other")), "pivot")
+    close = close.where(F.col("common") >= F.least("need", "other"))
+    tried = stage(_possible(close.select(*_ordered("pivot", "doc_id")).distinct(), sizes, percent), "tried")
     links = stage(_confirmed(tried, docs, size, percent), "links")
     joined = stage(components(links, "first"), "joined")
     drop_stage(hits)
@@ -314,14 +319,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
     costs = stage(per.withColumn("cost", (F.col("m") * F.col("m") - F.col("own")) / 2).where("cost > 0").select("key", "cost"), "costs")
     cheap = stage(members.join(costs.where(F.col("cost") <= bucket_pairs), "key").select("key", "doc_id", "component"), "cheap")
-    x, y = (cheap.select("key", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}")) for d in "ab")
-    more = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    added = [stage(_confirmed(stage(_possible(more, sizes, percent), "between"), docs, size, percent), "more-links")]
-
     skipped = members.join(costs.where(F.col("cost") > bucket_pairs), "key").select("doc_id", "key", F.col("key").bitwiseAND(63).cast("int").alias("band"))
     skipped = skipped.groupBy("doc_id", "band").agg(F.collect_list("key").alias("skipped"))  # no more than the set has segments
     room = sizes.select("doc_id", F.explode("room").alias("r")).select("doc_id", "r.band", "r.exact", "r.near")
-    short = room.join(skipped, ["doc_id", "band"], "left").withColumn("gone", F.coalesce(F.size("skipped"), F.lit(0))).where("gone > exact")
+    room = stage(room.join(skipped, ["doc_id", "band"], "left").withColumn("gone", F.coalesce(F.size("skipped"), F.lit(0))), "room")
+    # a pair at the threshold agrees on more segments than either set's slack, less those that are empty or skipped
+    need = room.select("doc_id", "band", (F.col("exact") + 1 - F.col("gone")).alias("need"))
+    x, y = (cheap.select("key", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}")) for d in "ab")
+    common = x.join(y, "key").where("a < b AND ca <> cb").groupBy("a", "b", F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("common"))
+    of = lambda d: need.select(F.col("doc_id").alias(d), "band", F.col("need").alias(f"n{d}"))
+    more = common.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"]).where(F.col("common") >= F.greatest("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    added = [stage(_confirmed(stage(_possible(more, sizes, percent), "between"), docs, size, percent), "more-links")]
+
+    short = room.where("gone > exact")
     short = stage(short.select("doc_id", "band", "skipped", (F.col("gone") > F.col("near")).alias("rest")), "short")
     if not short.isEmpty():
         texts = docs.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
