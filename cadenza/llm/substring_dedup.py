@@ -70,13 +70,13 @@ def _rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out: list[tuple] = []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for rid, rest, text in zip(*(c.to_pylist() for c in batch.columns)):
                 m, p, s, c = pieces((text or b"").split(), window)
-                out.append((m.view(np.int64), p.view(np.int64), np.full(len(m), rid, np.int64), s, c))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:3]] + [pa.array(x.astype(np.int32)) for x in cols[3:]], ["mini", "piece", "rid", "start", "n"])
+                out.append((m.view(np.int64), p.view(np.int64), np.full(len(m), rid, np.int64), np.full(len(m), rest, np.int64), s, c))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:3]] + [pa.array(x.astype(np.int32)) for x in cols[3:]], ["mini", "piece", "rid", "rest", "start", "n"])
 
-    return docs.select("rid", "text").mapInArrow(run, "mini long, piece long, rid long, start int, n int")
+    return docs.select("rid", "rest", "text").mapInArrow(run, "mini long, piece long, rid long, rest int, start int, n int")
 
 
 def _opened(asked: DataFrame, window: int) -> DataFrame:
@@ -125,35 +125,40 @@ def by_line(text: bytes, stay: np.ndarray) -> bytes:
     return b"\n".join(out)
 
 
+def _row_hash():
+    return F.xxhash64("doc_id", "text")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(documents with rid, repeated spans): rid, start, n, bits for every path piece with a repeated window.
+    """(documents with rid and rest, repeated spans): rid, rest, start, n, bits for every path piece with a repeated window.
 
-    ``docs``: doc_id, text (binary).  rid is a hash of id and text: rows with the same id and text share it.
+    ``docs``: doc_id, text (binary).  Rows are told by 96 bits: rid hashes id and text, rest the text by another function.
+    Rows with the same id and text share them; at 10^10 rows two others do with a probability below 10^-8.
     """
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumns({"rid": _row_hash(), "rest": F.hash("text")})
     rows = stage(_rows(docs, window), "pieces")
     # what is joined below is written first: then both sides of a join are plain shuffles, and a minimizer or a piece
     # that a common passage repeats is split between tasks
     nodes = stage(rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("c > 1"), "nodes")
     found = stage(rows.join(nodes.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "mini"), "repeated")
     drop_stage(rows, nodes)
-    whole = found.where("NOT branches").select("rid", "start", "n", F.lit(-1).cast("long").alias("bits"))
+    whole = found.where("NOT branches").select("rid", "rest", "start", "n", F.lit(-1).cast("long").alias("bits"))
     open_ = found.where("branches")
     # one source coordinate for each kind of piece, summed up in every task before it is shuffled
-    kinds = open_.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("cnt"), F.min_by(F.struct("start", "n"), F.struct("rid", "start")).alias("at"), F.min("rid").alias("rid"))
-    asks = kinds.groupBy("rid").agg(F.collect_list(F.struct("mini", "piece", "cnt", "at.start", "at.n")).alias("asks"))  # no more than the document has pieces
-    # rows with one rid hold one text: the first is enough
-    edges = stage(_opened(docs.select("rid", "text").join(asks, "rid").dropDuplicates(["rid"]), window), "edges")
+    kinds = open_.groupBy("mini", "piece").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("rid", "rest", "start", "n")).alias("at"))
+    asks = kinds.groupBy("at.rid", "at.rest").agg(F.collect_list(F.struct("mini", "piece", "cnt", "at.start", "at.n")).alias("asks"))  # no more than the document has pieces
+    # equal rows hold one text: the first is enough
+    edges = stage(_opened(docs.select("rid", "rest", "text").join(asks, ["rid", "rest"]).dropDuplicates(["rid", "rest"]), window), "edges")
     twice = stage(edges.groupBy("mini", "high", "low").agg(F.sum("cnt").alias("total")).where("total > 1").select("mini", "high", "low"), "repeated-edges")
     bits = stage(edges.join(twice, ["mini", "high", "low"]).groupBy("mini", "piece").agg(F.expr("bit_or(shiftleft(1L, cast(at AS int)))").alias("bits")), "bits")
     drop_stage(edges, twice)
-    part = open_.join(bits, ["mini", "piece"]).select("rid", "start", "n", "bits")
+    part = open_.join(bits, ["mini", "piece"]).select("rid", "rest", "start", "n", "bits")
     return docs, whole.unionByName(part)
 
 
 def _applied(docs: DataFrame, window: int, with_text: bool, carry: tuple[str, ...]) -> DataFrame:
     keyed, spans = repeated_spans(docs, window)
-    marks = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "n", "bits")).alias("marks"))  # no more than the document has pieces
+    marks = spans.groupBy("rid", "rest").agg(F.collect_set(F.struct("start", "n", "bits")).alias("marks"))  # no more than the document has pieces
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "") + (f", {extra}" if carry else "")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []), *carry]
@@ -176,7 +181,7 @@ def _applied(docs: DataFrame, window: int, with_text: bool, carry: tuple[str, ..
             cols += [pa.array(kept, pa.binary()).cast(pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns[3:]], names)
 
-    return keyed.select("rid", "doc_id", "text", *carry).join(marks, "rid", "left").select("doc_id", "text", "marks", *carry).mapInArrow(run, schema)
+    return keyed.select("rid", "rest", "doc_id", "text", *carry).join(marks, ["rid", "rest"], "left").select("doc_id", "text", "marks", *carry).mapInArrow(run, schema)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:

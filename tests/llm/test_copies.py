@@ -133,6 +133,13 @@ def test_substrings(make_docs, corpus):
     assert substring_dedup.dedup_substrings(make_docs([])).count() == 0
 
 
+def test_rows_that_share_a_hash_stay_apart(make_docs, corpus, monkeypatch):
+    """Even if all rows had one 64-bit hash, their own words would be cut."""
+    monkeypatch.setattr(substring_dedup, "_row_hash", lambda: F.lit(7).cast("long"))
+    rows = corpus[:45] + corpus[53:60]
+    assert Counter(tuple(r) for r in substring_dedup.dedup_substrings(make_docs(rows), window=10).collect()) == brute_substrings(rows, 10)
+
+
 def test_cut_text_keeps_lines(make_docs):
     passage = " ".join(f"q{i}" for i in range(40))
     rows = [(1, f"own line\n{passage} tail\nend", "a"), (2, passage, "a"), (3, "a  b", "a")]
