@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.physics import RIDER, Rider, predict_power, predict_speed, survival_power, vam
 from cadenza.functions.scoring import SIGNIFICANT_INDEX, climb_category, climb_index, climb_points, significance, wall_multiplier
+from cadenza.operators.joins import tagged
 from cadenza.operators.windows import Keys, median_filter, onto_grid, ordered, smooth
 
 GRID_M, REACH, STEP_M = 50.0, 2, 10.0
@@ -27,7 +28,7 @@ def max_grade(df: DataFrame, segments: DataFrame, key: str = "climb_no", d: str
 
     0 for segments with fewer than five samples or four grid cells.
     """
-    around = df.select(*by, seq, d, e).join(segments.select(*by, key, "start_m", "end_m"), list(by)).where(F.col(d).between(F.col("start_m") - pad_m, F.col("end_m") + pad_m))
+    around = tagged(df.select(*by, seq, d, e), segments.withColumns({"_s": F.col("start_m") - pad_m, "_t": F.col("end_m") + pad_m}), d, "_s", "_t", by, [key, "start_m", "end_m"])
     keyed = [*by, key, "start_m", "end_m"]  # the bounds are part of the key, so they need no second join
     around = around.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keyed))).where("_n >= 5")
     prof = grade_profile(around, d, e, 5, keyed, seq).where("cells > 4")

@@ -21,6 +21,31 @@ def overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     return ~((hi1 < lo2) | (hi2 < lo1))
 
 
+def tagged(points: DataFrame, spans: DataFrame, pos: str, lo: str, hi: str, by: Keys = ("ride",), carry: Sequence[str] = ()) -> DataFrame:
+    """``points`` with the ``carry`` columns of ``spans`` that contain them (lo <= pos <= hi), a row for each; others go.
+
+    One sorted pass of points and ends of spans counts how many spans began and how many ended before a point: as ends
+    follow each other like beginnings, those in between are the ones that contain it, told by their place in the ride.
+    So a point never meets a span that it is not in.  Spans inside an earlier one break that order and are joined on the
+    ride with their range.
+    """
+    keys = list(by)
+    order = Window.partitionBy(*keys).orderBy("_lo", "_hi", *carry)
+    own = spans.select(*keys, *carry, F.col(lo).cast("double").alias("_lo"), F.col(hi).cast("double").alias("_hi")).where("_lo <= _hi")
+    own = own.withColumn("_far", F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    nested = F.coalesce(F.col("_hi") < F.col("_far"), F.lit(False))
+    row = own.where(~nested).withColumn("_no", F.row_number().over(order))
+    at = F.array(F.struct(F.col("_lo").alias("x"), F.lit(0).alias("kind")), F.struct(F.col("_hi").alias("x"), F.lit(2).alias("kind")))
+    ends = row.select(*keys, F.explode(at).alias("_at")).select(*keys, F.col("_at.x").alias("_x"), F.col("_at.kind").alias("_kind"))
+    rows = points.withColumns({"_x": F.col(pos).cast("double"), "_kind": F.lit(1)}).unionByName(ends, allowMissingColumns=True)
+    past = Window.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_begun": F.count_if(F.col("_kind") == 0).over(past), "_ended": F.count_if(F.col("_kind") == 2).over(past)}).where("_kind = 1 AND _begun > _ended")
+    rows = rows.withColumn("_no", F.explode(F.sequence((F.col("_ended") + 1).cast("int"), F.col("_begun").cast("int"))))
+    out = rows.join(row.select(*keys, "_no", *carry), [*keys, "_no"]).select(*points.columns, *carry)
+    inner = own.where(nested).select(*keys, *carry, "_lo", "_hi")
+    return out.unionByName(points.join(inner, keys).where(F.col(pos).between(F.col("_lo"), F.col("_hi"))).select(*points.columns, *carry))
+
+
 def not_overlapping(a: DataFrame, b: DataFrame, by: Keys = ("ride",)) -> DataFrame:
     """Rows of ``a`` (start_km, end_km) that overlap no row of ``b``."""
     x, y = a.alias("x"), b.select(*by, "start_km", "end_km").alias("y")
@@ -102,12 +127,29 @@ def merge_devices(a: DataFrame, b: DataFrame, key: str = "pair") -> DataFrame:
     return x.select(key, "terrain", "hr_source", "power_source", of("terrain", "distance_km").alias("distance_km"), of("terrain", "ascent_m").alias("ascent_m"), of("hr_source", "avg_hr").alias("avg_hr"), of("power_source", "avg_w").alias("avg_w"), F.array_join(warn, ",").alias("warnings"))
 
 
-def nearest_on_route(places: DataFrame, points: DataFrame, by: Keys = ("ride",), key: str = "idx") -> DataFrame:
-    """by, key, km, off_m: the route point nearest to each place (lat, lon); ties go to the earlier point."""
-    p = places.select(*by, key, F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
-    pairs = p.join(points.select(*by, "seq", "lat", "lon", "cum_m"), list(by))
-    best = pairs.groupBy(*by, key).agg(F.min_by(F.struct("lat", "lon", "cum_m", "_la", "_lo"), F.struct(flat_offset(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo")), F.col("seq"))).alias("n"))
-    return best.select(*by, key, (F.col("n.cum_m") / 1000).alias("km"), haversine_m(F.col("n.lat"), F.col("n.lon"), F.col("n._la"), F.col("n._lo")).alias("off_m"))
+#: Degrees of a side of the cells in which a route's points are looked up.
+NEAR_CELL = 0.002
+
+
+def nearest_on_route(places: DataFrame, points: DataFrame, by: Keys = ("ride",), key: str = "idx", cell: float = NEAR_CELL) -> DataFrame:
+    """by, key, km, off_m: the route point nearest to each place (lat, lon); ties go to the earlier point.
+
+    A route's points lie in grid cells, each with the box around them.  A place meets the cells of its route first: no
+    point of a cell is nearer than its box, and none is needed that is farther than any cell's first point.  Only points
+    of cells that may hold the nearest one are looked at.  Points without a position count for nothing.
+    """
+    keys = list(by)
+    at = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(*keys, "seq", "lat", "lon", "cum_m", F.floor(F.col("lat") / F.lit(cell)).alias("_cy"), F.floor(F.col("lon") / F.lit(cell)).alias("_cx"))
+    cells = at.groupBy(*keys, "_cy", "_cx").agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e"), F.min_by(F.struct("lat", "lon"), "seq").alias("_first"))
+    p = places.select(*keys, key, F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
+    la, lo = F.col("_la"), F.col("_lo")
+    # the box's point that is nearest to the place
+    edge = flat_offset(F.greatest(F.col("_s"), F.least(F.col("_n"), la)), F.greatest(F.col("_w"), F.least(F.col("_e"), lo)), la, lo)
+    tried = p.join(cells, keys).withColumns({"_least": edge, "_most": flat_offset(F.col("_first.lat"), F.col("_first.lon"), la, lo)})
+    tried = tried.withColumn("_stop", F.min("_most").over(Window.partitionBy(*keys, key))).where(F.col("_least") <= F.col("_stop") * (1 + 1e-9) + 1e-18)
+    pairs = tried.select(*keys, key, "_la", "_lo", "_cy", "_cx").join(at, [*keys, "_cy", "_cx"])
+    best = pairs.groupBy(*keys, key).agg(F.min_by(F.struct("lat", "lon", "cum_m", "_la", "_lo"), F.struct(flat_offset(F.col("lat"), F.col("lon"), la, lo), F.col("seq"))).alias("n"))
+    return best.select(*keys, key, (F.col("n.cum_m") / 1000).alias("km"), haversine_m(F.col("n.lat"), F.col("n.lon"), F.col("n._la"), F.col("n._lo")).alias("off_m"))
 
 
 def regions_of(boxes: DataFrame, regions: DataFrame, key: str = "ride") -> DataFrame:

@@ -107,8 +107,11 @@ def sensor_presence(df: DataFrame, by: Keys = ("ride",)) -> DataFrame:
 
 
 def in_segments(df: DataFrame, segments: DataFrame, by: Keys = ("ride",), key: str = "segment") -> DataFrame:
-    """Samples of each segment (start_km, end_km, ends included): a range join under the rides' equality."""
-    return df.join(segments.select(*by, key, "start_km", "end_km"), list(by)).where(F.col("d").between(F.col("start_km") * 1000.0, F.col("end_km") * 1000.0))
+    """Samples of each segment (start_km, end_km, ends included), in one sorted pass."""
+    from cadenza.operators.joins import tagged
+
+    spans = segments.select(*by, key, "start_km", "end_km", (F.col("start_km") * 1000.0).alias("_s"), (F.col("end_km") * 1000.0).alias("_e"))
+    return tagged(df, spans, "d", "_s", "_e", by, [key, "start_km", "end_km"])
 
 
 def segment_stats(df: DataFrame, segments: DataFrame, by: Keys = ("ride",), key: str = "segment") -> DataFrame:

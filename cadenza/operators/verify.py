@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import projection
 from cadenza.functions.geo import haversine_m
-from cadenza.operators.joins import not_overlapping
-from cadenza.operators.runs import longest_run_above, rising_stretches, walls
-from cadenza.operators.windows import Keys, interpolate_gaps, mean_max_grade, ordered, span_grade, track_distance
+from cadenza.operators.joins import not_overlapping, tagged
+from cadenza.operators.runs import rising_stretches
+from cadenza.operators.windows import Keys, interpolate_gaps, ordered, span_grade, track_distance, values_at
+from cadenza.sources.external import Services
 
 #: Degrees or metres of a cell of the grid that brings points and blocks of tiles together.
 CELL = {projection.EPSG_WGS84: 0.05, projection.EPSG_OSGB: 512.0, projection.EPSG_LAMBERT_93: 512.0}
@@ -94,64 +95,106 @@ def sample_tiles(points: DataFrame, tiles: DataFrame, by: Keys = ("ride",), out:
     return points.join(first, [*by, "seq"], "left").withColumn(out, F.col("_z")).drop("_z")
 
 
-def sampled_route(points: DataFrame, tiles: DataFrame, stride_m: float = 25.0, by: Keys = ("ride",)) -> DataFrame:
-    """by, seq, lat, lon, cum_m, z (raw), e (gaps filled): a route densified and read from the raster."""
+def sampled_route(points: DataFrame, tiles: DataFrame, stride_m: float = 25.0, by: Keys = ("ride",), services: Services | None = None) -> DataFrame:
+    """by, seq, lat, lon, cum_m, z (raw), e (gaps filled): a route densified and read from the raster.
+
+    With ``services`` also asked: z stays the raster's own, and gaps take the service's elevations first.
+    """
     dense = sample_tiles(densify(points, stride_m, by), tiles, by)
+    if services:
+        dense = services.filled(dense.withColumn("_own", F.col("z")), by)
+        dense = interpolate_gaps(dense, "z", "e", by).withColumn("z", F.col("_own")).drop("_own")
+        return track_distance(dense, by=by)
     return track_distance(interpolate_gaps(dense, "z", "e", by), by=by)
 
 
-def verify_climbs(points: DataFrame, climbs: DataFrame, tiles: DataFrame, by: Keys = ("ride",), key: str = "climb_no", stride_m: float = 5.0) -> DataFrame:
+#: Grades of 30 m at which a climb's longest stretch is measured; windows of its mean-max curve; a wall's grade over 15 m and length.
+ABOVE, SPANS_M, WALL_PCT, WALL_M = (8, 10, 12, 14), (25, 100, 500, 1000), 10.0, 30.0
+
+
+def fine_profiles(points: DataFrame, climbs: DataFrame, tiles: DataFrame, by: Keys = ("ride",), key: str = "climb_no", stride_m: float = 5.0, services: Services | None = None) -> DataFrame:
+    """by, key, seq, cum_m (from the climb's start), z, e, asked: the climbs' roads densified and read from the raster.
+
+    ``services`` may snap the points to roads first, and are asked for places that no tile covers.  Climbs with fewer
+    than two points, or without any elevation, have no rows.
+    """
+    keyed = [*by, key]
+    spans = climbs.select(*keyed, (F.col("start_km") * 1000).alias("_s"), (F.col("end_km") * 1000).alias("_e"))
+    inside = tagged(points.select(*by, "seq", "lat", "lon", "cum_m"), spans, "cum_m", "_s", "_e", by, [key])
+    inside = services.snapped(inside, keyed) if services else inside
+    dense = sample_tiles(densify(inside, stride_m, keyed), tiles, keyed)
+    dense = services.filled(dense, keyed) if services else dense.withColumn("asked", F.lit(False))
+    prof = track_distance(interpolate_gaps(dense, "z", "e", keyed), by=keyed)
+    part = Window.partitionBy(*keyed)
+    return prof.withColumns({"_any": F.count("z").over(part), "_rows": F.count(F.lit(1)).over(part)}).where("_any > 0 AND _rows > 1").drop("_any", "_rows")
+
+
+def verify_climbs(points: DataFrame, climbs: DataFrame, tiles: DataFrame, by: Keys = ("ride",), key: str = "climb_no", stride_m: float = 5.0, services: Services | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Climbs (start_km, end_km, max_grade_pct; points with cum_m) with what the raster says of them.
 
     verified_peak_pct over 30 m, delta_pp, length_above_8/10/12/14, mean-max grades over 25, 100, 500 and 1000 m, walls,
-    length and gain.  Climbs with fewer than two points or without raster are unverified: null peak.
+    length and gain, fallback_used.  Climbs with fewer than two points or without raster are unverified: null peak.
+    ``profiles``: what ``fine_profiles`` gave, if it is there already.
     """
     keyed = [*by, key]
-    inside = points.join(climbs.select(*keyed, "start_km", "end_km"), list(by)).where(F.col("cum_m").between(F.col("start_km") * 1000, F.col("end_km") * 1000))
-    prof = sampled_route(inside, tiles, stride_m, keyed)
-    prof = prof.withColumn("_any", F.count("z").over(Window.partitionBy(*keyed))).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keyed))).where("_any > 0 AND _rows > 1")
-    g30 = span_grade(prof, "cum_m", "e", 30.0, "g", keyed)
-    peak = g30.groupBy(*keyed).agg(F.max("g").alias("verified_peak_pct"), (F.max("cum_m") - F.min("cum_m")).alias("verified_m"), (F.max_by("e", "seq") - F.min_by("e", "seq")).alias("verified_gain_m"))
-    above = longest_run_above(g30, "g", "cum_m", (8.0, 10.0, 12.0, 14.0), keyed).groupBy(*keyed).pivot("threshold", [8.0, 10.0, 12.0, 14.0]).agg(F.first("metres"))
-    above = above.select(*keyed, *[F.col(f"`{t}`").alias(f"length_above_{int(t)}") for t in (8.0, 10.0, 12.0, 14.0)])
-    best = mean_max_grade(prof, "cum_m", "e", (25, 100, 500, 1000), keyed).groupBy(*keyed).agg(F.map_from_entries(F.collect_list(F.struct(F.format_string("peak_%.0fm", "window_m"), "grade"))).alias("mean_max"))
-    wall = walls(span_grade(prof, "cum_m", "e", 15.0, "g", keyed), "g", "cum_m", by=keyed).groupBy(*keyed).agg(F.sort_array(F.collect_list(F.struct("offset_m", "length_m", "peak_pct", "pct_in"))).alias("walls"))
-    out = climbs.join(peak, keyed, "left").join(above, keyed, "left").join(best, keyed, "left").join(wall, keyed, "left")
+    prof = fine_profiles(points, climbs, tiles, by, key, stride_m, services) if profiles is None else profiles
+    part = ", ".join(f"`{k}`" for k in keyed)
+    g = span_grade(span_grade(prof, "cum_m", "e", 30.0, "_g30", keyed), "cum_m", "e", 15.0, "_g15", keyed)
+    ahead = {f"_p{m}": F.expr(f"min_by(struct(cum_m AS d, e), seq) OVER (PARTITION BY {part} ORDER BY -cum_m RANGE BETWEEN UNBOUNDED PRECEDING AND {float(m)}D PRECEDING)") for m in SPANS_M}
+    past = ordered(keyed).rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered(keyed).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # where the last sample below a grade lies: what has risen since then is the stretch that ends here
+    below = {f"_b{t}": F.last(F.when(F.col("_g30") < t, F.col("cum_m")), ignorenulls=True).over(past) for t in ABOVE}
+    steep = F.col("_g15") >= WALL_PCT
+    turn = F.when(steep != F.lag(steep).over(ordered(keyed)), 1).otherwise(0)
+    g = g.withColumns(ahead | below | {"_d0": F.first("cum_m").over(whole), "_d1": F.last("cum_m").over(whole), "_turn": turn}).withColumn("_run", F.sum("_turn").over(past))
+    stretch = lambda t: F.max(F.when(F.col("_g30") >= t, F.col("cum_m") - F.coalesce(f"_b{t}", "_d0")))
+    rise = lambda m: F.max(F.when(F.col(f"_p{m}.d") > F.col("cum_m"), 100.0 * (F.col(f"_p{m}.e") - F.col("e")) / (F.col(f"_p{m}.d") - F.col("cum_m"))))
+    # one row for each stretch of steep or other road, then one for each climb
+    parts = g.groupBy(*keyed, "_run").agg(
+        F.max("_g30").alias("_peak"), F.min(F.struct("seq", "e")).alias("_from"), F.max(F.struct("seq", "e")).alias("_to"), F.min("cum_m").alias("_s"), F.max("cum_m").alias("_t"), F.max("_g15").alias("_g"),
+        F.first("_d0").alias("_d0"), F.first("_d1").alias("_d1"), F.bool_or("asked").alias("_asked"), *[stretch(t).alias(f"_a{t}") for t in ABOVE], *[rise(m).alias(f"_m{m}") for m in SPANS_M],
+    )
+    total = F.col("_d1") - F.col("_d0")
+    wall = F.struct((F.col("_s") - F.col("_d0")).alias("offset_m"), (F.col("_t") - F.col("_s")).alias("length_m"), F.col("_g").alias("peak_pct"), F.when(total > 0, 100.0 * (F.col("_s") - F.col("_d0")) / total).otherwise(F.lit(0.0)).alias("pct_in"))
+    walls_ = F.sort_array(F.collect_list(F.when((F.col("_g") >= WALL_PCT) & (F.col("_t") - F.col("_s") >= WALL_M), wall)))
+    seen = parts.groupBy(*keyed).agg(
+        F.max("_peak").alias("verified_peak_pct"), (F.max("_t") - F.min("_s")).alias("verified_m"), (F.max("_to")["e"] - F.min("_from")["e"]).alias("verified_gain_m"),
+        *[F.coalesce(F.max(f"_a{t}"), F.lit(0.0)).alias(f"length_above_{t}") for t in ABOVE], F.create_map(*[x for m in SPANS_M for x in (F.lit(f"peak_{m}m"), F.max(f"_m{m}"))]).alias("mean_max"), walls_.alias("walls"), F.bool_or("_asked").alias("fallback_used"),
+    )
+    out = climbs.join(seen, keyed, "left").withColumn("fallback_used", F.coalesce("fallback_used", F.lit(False)))
     return out.withColumn("delta_pp", F.col("verified_peak_pct") - F.col("max_grade_pct"))
 
 
-def missed_climbs(points: DataFrame, climbs: DataFrame, tiles: DataFrame, by: Keys = ("ride",)) -> DataFrame:
-    """Climbs that only the raster shows: a coarse sweep, without those that overlap declared ones, verified finely."""
-    sweep = rising_stretches(sampled_route(points, tiles, 25.0, by), "cum_m", "e", by=by)
+def missed_climbs(points: DataFrame, climbs: DataFrame, tiles: DataFrame, by: Keys = ("ride",), services: Services | None = None, swept: DataFrame | None = None) -> DataFrame:
+    """Climbs that only the raster shows: a coarse sweep, without those that overlap declared ones, verified finely.
+
+    ``swept``: the route's own samples every 25 m (by, seq, cum_m, e), if they are there already.
+    """
+    swept = sampled_route(points, tiles, 25.0, by, services) if swept is None else swept
+    sweep = rising_stretches(swept, "cum_m", "e", by=by)
     fresh = not_overlapping(sweep, climbs, by).withColumnRenamed("run", "climb_no").withColumnRenamed("peak_pct", "max_grade_pct")
-    return verify_climbs(points, fresh, tiles, by)
+    return verify_climbs(points, fresh, tiles, by, services=services)
 
 
 def stitch(route: DataFrame, verified: DataFrame, segments: DataFrame, by: Keys = ("ride",), blend_m: float = 75.0) -> DataFrame:
     """by, d, e, w: a profile whose climbs are replaced by verified samples, with a linear taper ``blend_m`` around.
 
     ``route``: by, d, e; ``verified``: by, segment, d, e; ``segments``: by, segment, start_m, end_m.  The step between
-    the two profiles at a climb's edge fades to nothing over the blend zone; zones of neighbours add up.
+    the two profiles at a climb's edge fades to nothing over the blend zone; zones of neighbours add up.  Both profiles
+    are read at all edges in one sorted pass each.
     """
     keys = list(by)
-
-    def at(profile: DataFrame, keyed: list[str], edge: str) -> DataFrame:
-        """Value of a profile at a segment's edge, held beyond its ends."""
-        p = profile.join(segments.select(*keys, "segment", F.col(edge).alias("_x")), keyed)
-        lo, hi = F.max_by(F.struct("d", "e"), F.when(F.col("d") <= F.col("_x"), F.struct("d"))), F.min_by(F.struct("d", "e"), F.when(F.col("d") >= F.col("_x"), F.struct("d")))
-        g = p.groupBy(*keys, "segment", "_x").agg(lo.alias("a"), hi.alias("b"))
-        return g.select(*keys, "segment", F.when(F.col("a").isNull(), F.col("b.e")).when(F.col("b").isNull() | (F.col("b.d") == F.col("a.d")), F.col("a.e")).otherwise(F.col("a.e") + (F.col("b.e") - F.col("a.e")) * (F.col("_x") - F.col("a.d")) / (F.col("b.d") - F.col("a.d"))).alias(f"_{edge}"))
-
-    step = segments
-    for edge in ("start_m", "end_m"):
-        v, r = at(verified, [*keys, "segment"], edge), at(route, keys, edge)
-        step = step.join(v.withColumnRenamed(f"_{edge}", f"_v_{edge}"), [*keys, "segment"]).join(r.withColumnRenamed(f"_{edge}", f"_r_{edge}"), [*keys, "segment"]).withColumn(f"_dh_{edge}", F.col(f"_v_{edge}") - F.col(f"_r_{edge}"))
-    s = step.select(*keys, "start_m", "end_m", "_dh_start_m", "_dh_end_m")
-    near = route.select(*keys, "d").distinct().join(s, keys).where((F.col("d") >= F.col("start_m") - blend_m) & (F.col("d") <= F.col("end_m") + blend_m))
+    edges = segments.select(*keys, "segment", F.explode(F.array(F.struct(F.lit(False).alias("last"), F.col("start_m").alias("d")), F.struct(F.lit(True).alias("last"), F.col("end_m").alias("d")))).alias("_e")).select(*keys, "segment", "_e.last", F.col("_e.d").cast("double").alias("d"))
+    fine_at = values_at(verified.select(*keys, "segment", "d", "e"), edges, "d", ["e"], [*keys, "segment"]).withColumnRenamed("e", "_fine")
+    both = values_at(route.select(*keys, "d", "e"), fine_at, "d", ["e"], keys).where("_fine IS NOT NULL AND e IS NOT NULL").withColumn("_step", F.col("_fine") - F.col("e"))
+    steps = both.groupBy(*keys, "segment").agg(F.max(F.when(~F.col("last"), F.col("_step"))).alias("_dh0"), F.max(F.when(F.col("last"), F.col("_step"))).alias("_dh1"), F.max(F.when(~F.col("last"), F.col("d"))).alias("start_m"), F.max(F.when(F.col("last"), F.col("d"))).alias("end_m"))
+    steps = steps.withColumns({"_lo": F.col("start_m") - blend_m, "_hi": F.col("end_m") + blend_m})
+    near = tagged(route.select(*keys, "d").distinct(), steps, "d", "_lo", "_hi", by, ["start_m", "end_m", "_dh0", "_dh1"])
     inside = F.col("d").between(F.col("start_m"), F.col("end_m"))
     before = F.col("d") < F.col("start_m")
     w = F.when(before, (F.col("d") - (F.col("start_m") - blend_m)) / F.lit(blend_m)).otherwise((F.col("end_m") + blend_m - F.col("d")) / F.lit(blend_m))
-    moved = near.groupBy(*keys, "d").agg(F.bool_or(inside).alias("_in"), F.sum(F.when(~inside, w * F.when(before, F.col("_dh_start_m")).otherwise(F.col("_dh_end_m")))).alias("_add"), F.max(F.when(~inside, w)).alias("_w"))
+    moved = near.groupBy(*keys, "d").agg(F.bool_or(inside).alias("_in"), F.sum(F.when(~inside, w * F.when(before, F.col("_dh0")).otherwise(F.col("_dh1")))).alias("_add"), F.max(F.when(~inside, w)).alias("_w"))
     base = route.join(moved, [*keys, "d"], "left").where(~F.coalesce("_in", F.lit(False))).select(*keys, "d", (F.col("e") + F.coalesce("_add", F.lit(0.0))).alias("e"), F.coalesce("_w", F.lit(0.0)).alias("w"))
     fine = verified.join(segments, [*keys, "segment"]).where(F.col("d").between(F.col("start_m"), F.col("end_m"))).select(*keys, "d", "e", F.lit(1.0).alias("w"))
     return base.unionByName(fine)

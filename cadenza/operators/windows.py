@@ -110,6 +110,22 @@ def onto_grid(df: DataFrame, x: str, values: Sequence[str], step: float, by: Key
     return every.where("k IS NOT NULL").select(*by, "k", F.col("_x").alias("x"), *[c.alias(v) for v, c in at.items()])
 
 
+def values_at(df: DataFrame, places: DataFrame, x: str, values: Sequence[str], by: Keys = ("ride",)) -> DataFrame:
+    """``places`` (by, ``x``, ...) with the values of ``df`` there: on the line between the samples around, held beyond the ends.
+
+    One sorted pass for all places.  Samples with equal x count as their last one by value; without samples, null.
+    """
+    rows = places.withColumns({"_x": F.col(x).cast("double"), "_p": F.lit(True)}).unionByName(df.select(*by, F.col(x).cast("double").alias("_x"), F.lit(False).alias("_p"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]), allowMissingColumns=True)
+    own = [f"_v{i}" for i in range(len(values))]
+    point = F.when(~F.col("_p"), F.struct("_x", *own))
+    up = Window.partitionBy(*by).orderBy("_x", "_p", *own).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.desc("_x"), F.col("_p"), *[F.desc(v) for v in own]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_a": F.last(point, ignorenulls=True).over(up), "_b": F.last(point, ignorenulls=True).over(down)}).where("_p")
+    share = (F.col("_x") - F.col("_a._x")) / (F.col("_b._x") - F.col("_a._x"))
+    at = lambda v: F.when(F.col("_a").isNull(), F.col(f"_b.{v}")).when(F.col("_b").isNull() | (F.col("_b._x") == F.col("_a._x")), F.col(f"_a.{v}")).otherwise(F.col(f"_a.{v}") + (F.col(f"_b.{v}") - F.col(f"_a.{v}")) * share)
+    return rows.select(*places.columns, *[at(f"_v{i}").alias(v) for i, v in enumerate(values)])
+
+
 def span_grade(df: DataFrame, d: str, e: str, window_m: float, out: str, by: Keys = ("ride",), least_m: float = 5.0) -> DataFrame:
     """Percent between the nearest samples that lie ``window_m`` or more behind and ahead; 0 below ``least_m``.
 

@@ -14,8 +14,9 @@ from pyspark.sql.types import DoubleType
 
 from cadenza.functions import geo, physics, projection, scoring, text
 from cadenza.operators import climbs, joins, load, metrics, runs, verify, waypoints, windows
+from cadenza.plans import fidelity
 from cadenza.sinks import reports, shapes
-from cadenza.sources import bikes, files
+from cadenza.sources import bikes, external, files, store
 from cadenza.sources import tiles as sources_tiles
 from cadenza.sources.samples import LONG_SQL, SHORT_SQL, long_rides, read, short_rides
 
@@ -33,8 +34,8 @@ def _register(name: str, build: Callable[[SparkSession, str], DataFrame], sql: s
         ORACLE_SQL[name] = sql
 
 
-def _short(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None, digits: int = 4) -> None:
-    _register(name, lambda s, d: build(short_rides(s, d)), sql and f"WITH {SHORT_SQL}{sql}", digits)
+def _short(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None, digits: int = 4, with_: str = "WITH") -> None:
+    _register(name, lambda s, d: build(short_rides(s, d)), sql and f"{with_} {SHORT_SQL}{sql}", digits)
 
 
 def _long(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
@@ -206,6 +207,7 @@ _long("climb_category", lambda r: climbs.categorised(climbs.find_climbs(r)).sele
 _long("climb_totals", lambda r: climbs.climb_totals(climbs.find_climbs(r)), _CLIMBS + f" SELECT ride, count(*) AS climbs, sum({_case(scoring.CATEGORIES, 2, '0')})::BIGINT AS points, (array_agg(climb_no ORDER BY {_INDEX} DESC, climb_no))[1] AS hardest FROM climbs WHERE {_INDEX} >= 2 GROUP BY ride")
 _long("select_for_detail", lambda r: climbs.select_for_detail(climbs.find_climbs(r), cap=2).select("ride", "climb_no", "reason"), _CLIMBS + f""", q AS (SELECT *, {_INDEX} AS ix, CASE WHEN {_INDEX} >= 6 THEN printf('Cat 3+ (index %.1f)', {_INDEX}) WHEN max_grade_pct >= 8 THEN printf('steep pitch (GPX max %.1f%%)', max_grade_pct) END AS reason FROM climbs),
   p AS (SELECT *, row_number() OVER (PARTITION BY ride, ix >= 6 ORDER BY max_grade_pct DESC, climb_no) AS place FROM q WHERE reason IS NOT NULL) SELECT ride, climb_no, reason FROM p WHERE ix >= 6 OR place <= 2""")
+_long("select_for_detail_whole", lambda r: climbs.select_for_detail(climbs.find_climbs(r)).select("ride", "climb_no", "reason"), ORACLE_SQL["select_for_detail"].partition(LONG_SQL)[2].replace("place <= 2", "place <= 8"))
 _long("grade_profile", lambda r: climbs.grade_profile(r).drop("cells"), """, md AS (SELECT ride, seq, d, quantile_cont(e, 0.5) OVER (PARTITION BY ride ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM rec), me AS (SELECT ride, min(d) AS lo, max(d) AS hi FROM md GROUP BY 1),
   mg AS (SELECT ride, k, lo + k * 10e0 AS x FROM (SELECT ride, lo, unnest(range(0, ceil((hi - lo) / 10)::BIGINT)) AS k FROM me)), ma AS (SELECT mg.*, a.d AS ad, a.s AS as_ FROM mg ASOF LEFT JOIN md a ON a.ride = mg.ride AND mg.x >= a.d), mb AS (SELECT ma.*, b.d AS bd, b.s AS bs FROM ma ASOF LEFT JOIN md b ON b.ride = ma.ride AND ma.x < b.d),
   mz AS (SELECT ride, k, x, CASE WHEN ad IS NULL THEN bs WHEN bd IS NULL THEN as_ ELSE as_ + (bs - as_) * (x - ad) / (bd - ad) END AS z FROM mb) SELECT ride, k::INTEGER AS k, round(x, 4) AS x, round(z, 4) AS e, round(coalesce((lead(z, 2) OVER w - lag(z, 2) OVER w) / 40 * 100, 0), 4) AS grade FROM mz WINDOW w AS (PARTITION BY ride ORDER BY k)""")
@@ -313,6 +315,27 @@ def _verified(r: DataFrame) -> DataFrame:
 
 _short("route_verdicts", lambda r: metrics.route_verdicts(_verified(r)), _SPANS + ", v AS (SELECT ride, max(CASE WHEN climb_no NOT IN (2, 4) THEN (g - 100) / 20 END) AS w, count(*) FILTER (climb_no = 4) AS missed, count(*) FILTER (climb_no = 2) AS unverified FROM a GROUP BY ride) SELECT ride, round(w, 4) AS worst_pp, missed, unverified, CASE WHEN missed + unverified > 0 OR coalesce(w, 0) > 2 THEN 'high' WHEN coalesce(w, 0) > 1 THEN 'minor' ELSE 'safe' END AS verdict FROM v")
 _short("wall_density", lambda r: metrics.wall_density(_verified(r).where("ride % 3 <> 0"), r.groupBy("ride").agg((F.max("d") / 100).alias("distance_km"))), _SPANS + ", m AS (SELECT ride, sum((t - s) * 300) AS m FROM a WHERE ride % 3 <> 0 GROUP BY ride), q AS (SELECT ride, max(d) / 100 AS km FROM rec GROUP BY ride), z AS (SELECT q.ride, m / greatest(km, 1) AS x FROM q LEFT JOIN m USING (ride)) SELECT ride, round(x, 4) AS density, round(CASE WHEN x IS NOT NULL THEN least(1.3e0, 1 + 0.017e0 * greatest(0, x)) END, 4) AS multiplier FROM z")
+
+
+def _stretches(r: DataFrame, rows: int, last_m: float | None = None) -> DataFrame:
+    """Climbs of so many consecutive rows each, whole or only their last metres: every row counts."""
+    g = r.groupBy("ride", (F.floor(F.col("seq") / rows) + 1).cast("int").alias("climb_no")).agg(F.min("d").alias("_s"), F.max("d").alias("_t"), F.max("e").alias("_g"))
+    low = F.col("_s") if last_m is None else F.col("_t") - last_m
+    return g.select("ride", "climb_no", (low / 1000).alias("start_km"), (F.col("_t") / 1000).alias("end_km"), F.col("_g").alias("max_grade_pct"), F.col("_g").alias("peak_pct"))
+
+
+_STRETCHES = ", a AS (SELECT ride, (seq // 3 + 1)::INTEGER AS climb_no, min(d) / 1000 AS s, max(d) / 1000 AS t, max(e) AS g FROM rec GROUP BY ride, seq // 3), b AS (SELECT ride, (seq // 10 + 1)::INTEGER AS climb_no, (max(d) - 9e0) / 1000 AS s, max(d) / 1000 AS t, max(e) AS g FROM rec GROUP BY ride, seq // 10)"
+# the same operators over every row, where the queries above take spans from some
+_short("interval_anti_whole", lambda r: joins.not_overlapping(_stretches(r, 3), _stretches(r, 10, 9.0)).select("ride", "climb_no"), _STRETCHES + ORACLE_SQL["interval_anti"].partition(_SPANS)[2])
+_short("cross_validate_whole", lambda r: joins.cross_validate(_stretches(r, 3), _stretches(r, 10, 9.0)), _STRETCHES + ORACLE_SQL["cross_validate"].partition(_SPANS)[2])
+
+
+def _verified_whole(r: DataFrame) -> DataFrame:
+    return _stretches(r, 3).withColumns({"source": F.when(F.col("climb_no") == 4, "missed").otherwise("declared"), "delta_pp": F.when(F.col("climb_no") != 2, (F.col("max_grade_pct") - 100) / 20), "length_above_8": (F.col("end_km") - F.col("start_km")) * 300})
+
+
+_short("route_verdicts_whole", lambda r: metrics.route_verdicts(_verified_whole(r)), _STRETCHES + ORACLE_SQL["route_verdicts"].partition(_SPANS)[2])
+_short("wall_density_whole", lambda r: metrics.wall_density(_verified_whole(r), r.groupBy("ride").agg((F.max("d") / 100).alias("distance_km"))), _STRETCHES + ORACLE_SQL["wall_density"].partition(_SPANS)[2].replace(" WHERE ride % 3 <> 0", ""))
 _short("coverage", lambda r: metrics.coverage(r.withColumn("z", F.when(F.col("k") % 4 != 0, F.col("e"))), "z"), " SELECT ride, round(100.0e0 * avg(CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END), 4) AS coverage_pct FROM rec GROUP BY ride")
 
 
@@ -378,7 +401,18 @@ _NEAR = f""", s AS (SELECT ride, seq, lat, lon, coalesce({_HAV.format(a='lag(lat
 _short("nearest_point", lambda r: joins.nearest_on_route(_places(r), _routed(r)), _NEAR + " SELECT ride, idx, round(km, 4) AS km, round(off_m, 4) AS off_m FROM ne")
 _CLASS = ", cl AS (SELECT *, CASE WHEN upper(name) LIKE '%TO BE CHECKED%' OR upper(name) LIKE 'CHECK %' OR name LIKE '%?%' THEN NULL WHEN km < 0.5 AND upper(name) LIKE '%START%' THEN 'Start' WHEN upper(name) LIKE '%PUB%' OR upper(name) LIKE '%BAR%' THEN 'Pub' WHEN upper(name) LIKE '%WATER%' THEN 'Water' WHEN upper(name) LIKE '%FUEL%' OR upper(name) LIKE '%FOOD%' THEN 'Fuel' WHEN lower(sym) = 'summit' OR upper(name) LIKE '%CASTLE%' THEN 'POI' END AS cat FROM ne)"
 _short("waypoint_classify", lambda r: _places(r).join(joins.nearest_on_route(_places(r), _routed(r)), ["ride", "idx"]).select("ride", "idx", waypoints.classify(F.col("name"), F.col("sym"), F.col("km"))["cat"].alias("cat")), _NEAR + _CLASS + " SELECT ride, idx, cat FROM cl")
-_short("waypoint_decisions", lambda r: waypoints.enumerate_waypoints(_every_place(r), _routed(r), within_m=30.0, pub_km=0.05).select("ride", "idx", "cat", "disp", "decision", "reason"), None)
+_NEAR_WHOLE = _NEAR.replace("(seq // 4 + 1)", "(seq + 1)").replace(" FROM rec WHERE seq % 4 = 0)", " FROM rec)")
+_short("nearest_point_whole", lambda r: joins.nearest_on_route(_every_place(r), _routed(r)), _NEAR_WHOLE + " SELECT ride, idx, round(km, 4) AS km, round(off_m, 4) AS off_m FROM ne")
+_short("waypoint_classify_whole", lambda r: _every_place(r).join(joins.nearest_on_route(_every_place(r), _routed(r)), ["ride", "idx"]).select("ride", "idx", waypoints.classify(F.col("name"), F.col("sym"), F.col("km"))["cat"].alias("cat")), _NEAR_WHOLE + _CLASS + " SELECT ride, idx, cat FROM cl")
+_short("waypoint_decisions", lambda r: waypoints.enumerate_waypoints(_every_place(r), _routed(r), within_m=30.0, pub_km=0.05).select("ride", "idx", "cat", "disp", "decision", "reason"), _NEAR_WHOLE + _CLASS + """, it AS (SELECT ride, idx, name, km, cat, CASE WHEN cat IN ('Water', 'Fuel') THEN cat WHEN cat IS NOT NULL THEN name END AS disp FROM cl),
+  o AS (SELECT *, row_number() OVER (PARTITION BY ride, cat ORDER BY idx) AS n FROM it WHERE cat IS NOT NULL),
+  fo AS (SELECT ride, cat, n, idx AS li, km AS lk, disp AS ld, NULL::INTEGER AS gone, NULL::INTEGER AS dup FROM o WHERE n = 1 UNION ALL
+    SELECT o.ride, o.cat, o.n, CASE WHEN x.near AND NOT x.shorter THEN li ELSE o.idx END, CASE WHEN x.near AND NOT x.shorter THEN lk ELSE o.km END, CASE WHEN x.near AND NOT x.shorter THEN ld ELSE o.disp END, CASE WHEN x.shorter THEN li WHEN x.near THEN o.idx END, CASE WHEN x.shorter THEN o.idx WHEN x.near THEN li END
+    FROM fo JOIN o ON o.ride = fo.ride AND o.cat = fo.cat AND o.n = fo.n + 1, LATERAL (SELECT abs(o.km - lk) * 1000 < 30 AS near, abs(o.km - lk) * 1000 < 30 AND length(o.disp) < length(ld) AS shorter) x),
+  dd AS (SELECT it.*, fo.dup, ot.disp AS od FROM it LEFT JOIN fo ON fo.ride = it.ride AND fo.gone = it.idx LEFT JOIN it ot ON ot.ride = it.ride AND ot.idx = fo.dup),
+  pu AS (SELECT a.ride, a.idx, min(b.idx) AS pub FROM dd a JOIN dd b ON a.ride = b.ride AND a.cat = 'Fuel' AND a.dup IS NULL AND b.cat = 'Pub' AND b.dup IS NULL AND abs(a.km - b.km) <= 0.05e0 GROUP BY 1, 2),
+  rs AS (SELECT dd.*, CASE WHEN cat IS NULL THEN 'unrecognised / route-flag' WHEN dup IS NOT NULL THEN printf('duplicate of #%d (%s)', dup, od) WHEN pub IS NOT NULL THEN printf('within 0 km of Pub #%d', pub) END AS reason FROM dd LEFT JOIN pu ON pu.ride = dd.ride AND pu.idx = dd.idx)
+  SELECT ride, idx, coalesce(cat, '?') AS cat, coalesce(disp, name, '?') AS disp, CASE WHEN reason IS NULL THEN 'KEEP' ELSE 'DROP' END AS decision, coalesce(reason, '') AS reason FROM rs""", with_="WITH RECURSIVE")
 
 # -- rasters ----------------------------------------------------------------------------------------
 
@@ -400,8 +434,47 @@ _BIL = """, tl AS (SELECT * FROM (VALUES (1, 0.45e0, 51.15e0), (2, 0.45e0 + 0.1e
  v AS (SELECT *, CASE WHEN rank = 1 THEN CASE WHEN (i * 400 + j) % 97 <> 0 THEN (100 + (i + j * 2) / 10e0)::FLOAT::DOUBLE END ELSE (50 + j / 4e0)::FLOAT::DOUBLE END AS z FROM p4),
  s AS (SELECT ride, seq, CASE WHEN bool_or(edge) THEN any_value(z) WHEN count(z) = 4 THEN sum(z * CASE WHEN dr = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END * CASE WHEN dc = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) ELSE avg(z) END AS z FROM v GROUP BY ride, seq)"""
 _short("bilinear", lambda r: verify.sample_tiles(r.select("ride", "seq", "lat", "lon"), _tiles(r.sparkSession)).select("ride", "seq", "z"), _BIL + " SELECT rec.ride, rec.seq, round(z, 4) AS z FROM rec LEFT JOIN s ON s.ride = rec.ride AND s.seq = rec.seq")
+
 _short("grid_tiles", lambda r: verify.grid_tiles(r.groupBy("ride").agg(F.min("lon").alias("min_x"), F.min("lat").alias("min_y"), F.max("lon").alias("max_x"), F.max("lat").alias("max_y")), 0.0025), ", b AS (SELECT ride, floor(min(lon) / 0.0025e0)::BIGINT AS a, floor(max(lon) / 0.0025e0)::BIGINT AS b, floor(min(lat) / 0.0025e0)::BIGINT AS c, floor(max(lat) / 0.0025e0)::BIGINT AS d FROM rec GROUP BY ride), x AS (SELECT ride, unnest(range(a, b + 1)) AS gx, c, d FROM b) SELECT ride, gx, unnest(range(c, d + 1)) AS gy FROM x")
-_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _groups(r), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), None)
+_TRACK = f""", tk AS (SELECT ride, seq, lat, lon, coalesce({_HAV.format(a='lag(lat) OVER w', b='lat', c='lag(lon) OVER w', d='lon')}, 0) AS x FROM rec WINDOW w AS (PARTITION BY ride ORDER BY seq)), cu AS (SELECT *, sum(x) OVER (PARTITION BY ride ORDER BY seq) AS cm FROM tk)"""
+_GROUPED = ", gr AS (SELECT ride, (seq // 20 + 1)::INTEGER AS climb_no, min(d) / 1000 AS ks, max(d) / 1000 AS ke, max(e) AS mg FROM rec GROUP BY ride, seq // 20)"
+
+
+def _span_sql(out: str, rows: str, m: float) -> str:
+    """Grade between the samples (cum, z) that lie ``m`` metres or more behind and ahead."""
+    at, whole = "{'d': cum, 'e': z}", "PARTITION BY ride ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return f""", {out}0 AS (SELECT *, coalesce(arg_max({at}, seq) OVER (PARTITION BY ride ORDER BY cum RANGE BETWEEN UNBOUNDED PRECEDING AND {m}::DOUBLE PRECEDING), first({at}) OVER ({whole})) AS a,
+    coalesce(arg_min({at}, seq) OVER (PARTITION BY ride ORDER BY -cum RANGE BETWEEN UNBOUNDED PRECEDING AND {m}::DOUBLE PRECEDING), last({at}) OVER ({whole})) AS b FROM {rows}),
+  {out} AS (SELECT * EXCLUDE (a, b), CASE WHEN b.d - a.d < 5 THEN 0 ELSE 100 * (b.e - a.e) / (b.d - a.d) END AS g FROM {out}0)"""
+
+
+def _dense_sql(out: str, rows: str, m: float) -> str:
+    """``rows`` (ride, seq, lat, lon) with points between, at most ``m`` metres apart, numbered anew."""
+    return f""", {out}w AS (SELECT ride, seq, lat, lon, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM {rows} WINDOW w AS (PARTITION BY ride ORDER BY seq)),
+  {out}c AS (SELECT *, CASE WHEN la IS NULL THEN 1 ELSE greatest(1, ceil({_HAV.format(a='lat', b='la', c='lon', d='lo')} / {m})) END::BIGINT AS n FROM {out}w),
+  {out}n AS (SELECT ride, seq AS q, k, CASE WHEN k = 0 THEN lat ELSE lat + (la - lat) * (k / n::DOUBLE) END AS lat, CASE WHEN k = 0 THEN lon ELSE lon + (lo - lon) * (k / n::DOUBLE) END AS lon FROM (SELECT *, unnest(range(n)) AS k FROM {out}c)),
+  {out} AS (SELECT ride, row_number() OVER (PARTITION BY ride ORDER BY q, k) - 1 AS seq, lat, lon FROM {out}n)"""
+
+
+def _swept_sql(out: str, rows: str, bil: str) -> str:
+    """``rows`` every 25 m with cum and z, the raster's elevation."""
+    return f"""{_dense_sql("de", rows, 25)}{bil.replace("FROM rec JOIN tl", "FROM de JOIN tl")}, {out}x AS (SELECT de.*, s.z, coalesce({_HAV.format(a='lag(lat) OVER w', b='lat', c='lag(lon) OVER w', d='lon')}, 0) AS x FROM de LEFT JOIN s ON s.ride = de.ride AND s.seq = de.seq WINDOW w AS (PARTITION BY de.ride ORDER BY de.seq)),
+  {out} AS (SELECT ride, seq, z, sum(x) OVER (PARTITION BY ride ORDER BY seq) AS cum FROM {out}x)"""
+
+
+def _fine_sql(bil: str) -> str:
+    """Climbs ``gr`` on the track ``cu``: roads every five metres, elevations, grades; a climb is told by ride * 100000 + climb_no."""
+    return f""", wp AS (SELECT cu.ride * 100000 + climb_no AS ride, seq, lat, lon FROM cu JOIN gr ON cu.ride = gr.ride AND cm BETWEEN ks * 1000 AND ke * 1000){_dense_sql("pt", "wp", 5)}{bil.replace("FROM rec JOIN tl", "FROM pt JOIN tl")},
+  st AS (SELECT pt.*, s.z, coalesce({_HAV.format(a='lag(lat) OVER w', b='lat', c='lag(lon) OVER w', d='lon')}, 0) AS x FROM pt LEFT JOIN s USING (ride, seq) WINDOW w AS (PARTITION BY pt.ride ORDER BY pt.seq)),
+  lo AS (SELECT ride, seq, z, sum(x) OVER (PARTITION BY ride ORDER BY seq) AS cum, last(CASE WHEN z IS NOT NULL THEN {{'i': seq, 'z': z}} END IGNORE NULLS) OVER (PARTITION BY ride ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+    first(CASE WHEN z IS NOT NULL THEN {{'i': seq, 'z': z}} END IGNORE NULLS) OVER (PARTITION BY ride ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM st QUALIFY count(*) OVER (PARTITION BY ride) > 1 AND count(z) OVER (PARTITION BY ride) > 0),
+  cd AS (SELECT ride, seq, cum, coalesce(z, a.z + (b.z - a.z) * (seq - a.i) / (b.i - a.i)::DOUBLE, a.z, b.z) AS z FROM lo){_span_sql("gg", "cd", 30)},
+  ru AS (SELECT *, coalesce(lag(cum) OVER w, cum) AS before, row_number() OVER w - row_number() OVER (PARTITION BY ride, g >= 8 ORDER BY seq) AS isl FROM gg WINDOW w AS (PARTITION BY ride ORDER BY seq)),
+  r8 AS (SELECT ride, max(m) AS m FROM (SELECT ride, max(cum) - min(before) AS m FROM ru WHERE g >= 8 GROUP BY ride, isl) GROUP BY ride),
+  vf AS (SELECT ride, max(g) AS peak, max(cum) - min(cum) AS len, arg_max(z, seq) - arg_min(z, seq) AS gain FROM gg GROUP BY ride)"""
+
+
+_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _groups(r), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), _TRACK + _GROUPED + _fine_sql(_BIL) + " SELECT gr.ride, climb_no, round(peak, 4) AS verified_peak_pct, round(len, 4) AS verified_m, round(gain, 4) AS verified_gain_m, round(CASE WHEN peak IS NOT NULL THEN coalesce(m, 0) END, 4) AS length_above_8, round(peak - mg, 4) AS delta_pp FROM gr LEFT JOIN vf ON vf.ride = gr.ride * 100000 + climb_no LEFT JOIN r8 ON r8.ride = gr.ride * 100000 + climb_no")
 
 
 def _steep(spark: SparkSession) -> DataFrame:
@@ -410,7 +483,67 @@ def _steep(spark: SparkSession) -> DataFrame:
 
 
 # the sweep over the whole route; nothing is declared, so all that the raster shows is missed
-_short("missed_climbs", lambda r: verify.missed_climbs(_routed(r), _groups(r).where(F.lit(False)), _steep(r.sparkSession)).select("ride", "climb_no", "start_km", "end_km", "verified_peak_pct", "verified_m", "verified_gain_m"), None)
+# Fixed value: the tiles' pixels, twenty times as high
+_STEEP_BIL = _BIL.replace("THEN (100 + (i + j * 2) / 10e0)::FLOAT::DOUBLE", "THEN ((100 + (i + j * 2) / 10e0)::FLOAT * 20::FLOAT)::DOUBLE").replace("ELSE (50 + j / 4e0)::FLOAT::DOUBLE", "ELSE ((50 + j / 4e0)::FLOAT * 20::FLOAT)::DOUBLE")
+# rising stretches of the swept routes as climbs
+_SWEEP = f""", gr AS (WITH a0 AS (SELECT 1){_swept_sql("cd", "rec", _STEEP_BIL)}{_span_sql("sg", "cd", 100)},
+  il AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY ride, g >= 1.5e0 ORDER BY seq) AS isl FROM sg WINDOW w AS (PARTITION BY ride ORDER BY seq)),
+  st AS (SELECT ride, min(seq) AS f, min(cum) AS lo, max(cum) AS hi, arg_max(z, seq) - arg_min(z, seq) AS gain, max(g) AS mg FROM il WHERE g >= 1.5e0 GROUP BY ride, isl),
+  nb AS (SELECT *, row_number() OVER (PARTITION BY ride ORDER BY f)::INTEGER AS climb_no FROM st)
+  SELECT ride, climb_no, lo / 1000 AS ks, hi / 1000 AS ke, mg FROM nb WHERE hi - lo >= 300 AND gain >= 20)"""
+_short("missed_climbs", lambda r: verify.missed_climbs(_routed(r), _groups(r).where(F.lit(False)), _steep(r.sparkSession)).select("ride", "climb_no", "start_km", "end_km", "verified_peak_pct", "verified_m", "verified_gain_m"), _TRACK + _SWEEP + _fine_sql(_STEEP_BIL) + " SELECT gr.ride, climb_no, round(ks, 4) AS start_km, round(ke, 4) AS end_km, round(peak, 4) AS verified_peak_pct, round(len, 4) AS verified_m, round(gain, 4) AS verified_gain_m FROM gr LEFT JOIN vf ON vf.ride = gr.ride * 100000 + climb_no")
+
+def _moved(r: DataFrame) -> DataFrame:
+    """Rides spread over the tiles: whole inside, across an edge, outside."""
+    return r.withColumn("lon", F.col("lon") + F.col("ride") % 5 * 0.12475)
+
+
+def _hill(places: list[tuple[float, float]]) -> list[float]:
+    """Stands for an elevation service."""
+    return [lat * 10 + lon * 3 for lat, lon in places]
+
+
+def _snap(track: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Stands for a map matcher: the road runs a little north, and every point comes twice."""
+    return [(lat + 0.0001, lon) for lat, lon in track for _ in range(2)]
+
+
+_MOVED = ", mv AS (SELECT ride, seq, lat, lon + ride % 5 * 0.12475e0 AS lon, d, e FROM rec)"
+_MOVED_BIL = _BIL.replace("FROM rec JOIN tl", "FROM mv JOIN tl")
+_PLACE_SQL = "round(mv.lat * 100000)::BIGINT AS y, round(mv.lon * 100000)::BIGINT AS x"
+_ASKED = f", mp AS (SELECT mv.ride, mv.seq, {_PLACE_SQL}, s.z AS own FROM mv LEFT JOIN s ON s.ride = mv.ride AND s.seq = mv.seq), qq AS (SELECT DISTINCT y, x FROM mp WHERE own IS NULL ORDER BY y, x LIMIT {external.REQUESTS_A_DAY * external.POINTS_A_REQUEST})"
+
+
+def _filled(r: DataFrame) -> DataFrame:
+    seen = verify.sample_tiles(_moved(r).select("ride", "seq", "lat", "lon"), _tiles(r.sparkSession))
+    return external.metered_elevations(seen, _hill, external.elevation_answers(store.shared_path(r.sparkSession, "elevations")), "2026-01-01", pause_s=0.0)
+
+
+_short("elevation_fallback", lambda r: _filled(r).select("ride", "seq", "z", "asked"), _MOVED + _MOVED_BIL + _ASKED + " SELECT ride, seq, round(coalesce(own, CASE WHEN qq.y IS NOT NULL THEN mp.y / 100000e0 * 10 + mp.x / 100000e0 * 3 END), 4) AS z, own IS NULL AND qq.y IS NOT NULL AS asked FROM mp LEFT JOIN qq ON qq.y = mp.y AND qq.x = mp.x")
+_short("map_match", lambda r: external.remembered_tracks(r.select("ride", "seq", "lat", "lon"), _snap, external.track_answers(store.shared_path(r.sparkSession, "tracks"))), f""", tk AS (SELECT ride, seq, lat, lon, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY ride) AS n FROM rec WINDOW w AS (PARTITION BY ride ORDER BY seq)),
+  pk AS (SELECT * FROM tk WHERE n > 1 AND (n <= {external.TRACK_POINTS} OR list_contains(list_transform(range({external.TRACK_POINTS}), lambda k: round_even(k * (n - 1) / {external.TRACK_POINTS - 1}e0, 0)::BIGINT), i)))
+  SELECT ride, row_number() OVER (PARTITION BY ride ORDER BY seq) - 1 AS seq, round(lat + 0.0001e0, 6) AS lat, round(lon, 6) AS lon FROM pk UNION ALL SELECT ride, seq, round(lat, 6), round(lon, 6) FROM tk WHERE n = 1""", digits=6)
+
+
+def _route(r: DataFrame) -> DataFrame:
+    return windows.track_distance(_moved(r))
+
+
+def _baseline(r: DataFrame) -> DataFrame:
+    points = _route(r)
+    choices, profile = fidelity.baselines(points, verify.sampled_route(points, _tiles(r.sparkSession), 25.0).withColumn("asked", F.lit(False)))
+    return profile.join(choices, "ride").select("ride", "d", "e", "baseline", "coverage_pct")
+
+
+_MOVED_TRACK = _TRACK.replace("FROM rec WINDOW", "FROM mv WINDOW")
+_short("route_baseline", _baseline, _MOVED + _MOVED_TRACK + _swept_sql("sw", "mv", _BIL) + """, ga AS (SELECT *, count(*) OVER (PARTITION BY ride) AS n, count(z) OVER (PARTITION BY ride) AS c, last(CASE WHEN z IS NOT NULL THEN {'i': seq, 'z': z} END IGNORE NULLS) OVER (PARTITION BY ride ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+  first(CASE WHEN z IS NOT NULL THEN {'i': seq, 'z': z} END IGNORE NULLS) OVER (PARTITION BY ride ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM sw),
+  ch AS (SELECT ride, 100e0 * max(c) / max(n) AS pct, CASE WHEN 100e0 * max(c) / max(n) >= 80 AND max(c) >= 2 THEN 'raster' ELSE 'route' END AS baseline FROM ga GROUP BY ride),
+  pr AS (SELECT ride, cum AS d, coalesce(z, a.z + (b.z - a.z) * (seq - a.i) / (b.i - a.i)::DOUBLE, a.z, b.z) AS e, 'raster' AS baseline FROM ga UNION ALL SELECT cu.ride, cm, mv.e, 'route' FROM cu JOIN mv ON mv.ride = cu.ride AND mv.seq = cu.seq)
+  SELECT pr.ride, round(d, 4) AS d, round(e, 4) AS e, pr.baseline, round(pct, 4) AS coverage_pct FROM pr JOIN ch ON ch.ride = pr.ride AND ch.baseline = pr.baseline""")
+_short("fidelity_routes", lambda r: fidelity.fidelity(_route(r), _tiles(r.sparkSession), declared=_groups(r))["routes"].select("ride", "coverage_pct", "baseline", "backend", "worst_pp", "missed", "unverified", "verdict"), _MOVED + _MOVED_TRACK + _GROUPED + _fine_sql(_BIL) + f""", rv AS (SELECT gr.ride, max(peak - mg) AS w, count(*) FILTER (peak IS NULL) AS u FROM gr LEFT JOIN vf ON vf.ride = gr.ride * 100000 + climb_no GROUP BY gr.ride),
+  co AS (WITH a0 AS (SELECT 1){_swept_sql("sw", "mv", _BIL)} SELECT ride, 100e0 * count(z) / count(*) AS pct, count(z) AS c FROM sw GROUP BY ride)
+  SELECT co.ride, round(pct, 4) AS coverage_pct, CASE WHEN pct >= 80 AND c >= 2 THEN 'raster' ELSE 'route' END AS baseline, 'local-dem' || CASE WHEN pct >= 80 AND c >= 2 THEN ' (full-route baseline)' ELSE '' END AS backend, round(w, 4) AS worst_pp, 0::BIGINT AS missed, u AS unverified, CASE WHEN u > 0 OR coalesce(w, 0) > 2 THEN 'high' WHEN coalesce(w, 0) > 1 THEN 'minor' ELSE 'safe' END AS verdict FROM co LEFT JOIN rv USING (ride)""")
 
 
 def _stitched(r: DataFrame) -> DataFrame:
@@ -420,7 +553,21 @@ def _stitched(r: DataFrame) -> DataFrame:
     return verify.stitch(r.select("ride", "d", "e"), fine, seg)
 
 
-_short("stitch", _stitched, None)
+def _at_sql(out: str, places: str, rows: str, keys: str) -> str:
+    """``places`` (keys, d, ...) with v, the value of ``rows`` (keys, d, e) there."""
+    on = lambda t: " AND ".join(f"q.{k} = {t}.{k}" for k in keys.split(", "))
+    return f""", {out}a AS (SELECT q.*, a.d AS ad, a.e AS ae FROM {places} q ASOF LEFT JOIN {rows} a ON {on('a')} AND q.d >= a.d), {out}b AS (SELECT q.*, b.d AS bd, b.e AS be FROM {out}a q ASOF LEFT JOIN {rows} b ON {on('b')} AND q.d <= b.d),
+  {out} AS (SELECT * EXCLUDE (ad, ae, bd, be), CASE WHEN ad IS NULL THEN be WHEN bd IS NULL OR bd = ad THEN ae ELSE ae + (be - ae) * (d - ad) / (bd - ad) END AS v FROM {out}b)"""
+
+
+_STITCH = f""", sg AS (SELECT ride, (seq // 20 + 1)::INTEGER AS segment, min(d) / 1000 * 1000 AS lo, max(d) / 1000 * 1000 AS hi FROM rec GROUP BY ride, seq // 20), ro AS (SELECT ride, d, e FROM rec),
+  gd AS (SELECT ride, a + unnest(range(0, ceil((b - a) / 5)::BIGINT)) * 5e0 AS d FROM (SELECT ride, min(d) AS a, max(d) AS b FROM rec GROUP BY ride)){_at_sql("gv", "gd", "ro", "ride")},
+  fv AS (SELECT gv.ride, segment, d, v + 3 AS e FROM gv JOIN sg ON sg.ride = gv.ride AND d BETWEEN lo AND hi),
+  ed AS (SELECT ride, segment, FALSE AS lst, lo AS d FROM sg UNION ALL SELECT ride, segment, TRUE, hi FROM sg){_at_sql("ef", "ed", "fv", "ride, segment")}{_at_sql("er", "(SELECT ride, segment, lst, d, v AS fe FROM ef)", "ro", "ride")},
+  ss AS (SELECT ride, segment, max(d) FILTER (NOT lst) AS lo, max(d) FILTER (lst) AS hi, max(fe - v) FILTER (NOT lst) AS h0, max(fe - v) FILTER (lst) AS h1 FROM er WHERE fe IS NOT NULL GROUP BY 1, 2),
+  nr AS (SELECT ro.ride, d, bool_or(d BETWEEN lo AND hi) AS inn, sum(CASE WHEN d < lo THEN (d - (lo - 75)) / 75 * h0 WHEN d > hi THEN (hi + 75 - d) / 75 * h1 END) AS ad, max(CASE WHEN d < lo THEN (d - (lo - 75)) / 75 WHEN d > hi THEN (hi + 75 - d) / 75 END) AS w FROM ro JOIN ss ON ss.ride = ro.ride AND d BETWEEN lo - 75 AND hi + 75 GROUP BY 1, 2)
+  SELECT ro.ride, ro.d, round(e + coalesce(ad, 0), 4) AS e, round(coalesce(w, 0), 4) AS w FROM ro LEFT JOIN nr ON nr.ride = ro.ride AND nr.d = ro.d WHERE NOT coalesce(inn, FALSE) UNION ALL SELECT ride, d, round(e, 4), 1e0 FROM fv"""
+_short("stitch", _stitched, _STITCH)
 
 
 # -- choices, names and places ----------------------------------------------------------------------
@@ -458,6 +605,7 @@ _short("interval_laps", lambda r: metrics.interval_laps(r.select("ride", F.col("
 _short("grade_chunks", lambda r: reports.grade_chunks(r, 50.0), """, c AS (SELECT ride, floor(d / 50)::BIGINT AS chunk, min(d) AS s, max(d) AS t, min_by(e, seq) AS a, max_by(e, seq) AS b FROM rec GROUP BY 1, 2), g AS (SELECT ride, chunk, s, CASE WHEN t > s THEN (b - a) / (t - s) * 100 ELSE 0 END AS g FROM c)
   SELECT ride, chunk, s AS start_m, round(g, 4) AS grade, CASE """ + " ".join(f"WHEN abs(g) < {t} THEN '{c}'" for t, c in scoring.RIDE_COLOURS) + f" ELSE '{scoring.RIDE_COLOURS[-1][1]}' END AS colour FROM g")
 _short("label_levels", lambda r: waypoints.stagger(r.where("seq % 5 = 0").select("ride", F.col("seq").cast("int").alias("idx"), (F.col("d") / 10).alias("km")), gap_km=3.0), ", l AS (SELECT ride, seq::INTEGER AS idx, d / 10 AS km, CASE WHEN d / 10 - lag(d / 10) OVER w >= 3 OR lag(d) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM rec WHERE seq % 5 = 0 WINDOW w AS (PARTITION BY ride ORDER BY d, seq)), g AS (SELECT *, sum(f) OVER (PARTITION BY ride ORDER BY km, idx) AS g FROM l) SELECT ride, idx, round(km, 4) AS km, (row_number() OVER (PARTITION BY ride, g ORDER BY km, idx) - 1)::INTEGER AS level FROM g")
+_short("label_levels_whole", lambda r: waypoints.stagger(r.select("ride", F.col("seq").cast("int").alias("idx"), (F.col("d") / 10).alias("km")), gap_km=0.6), ORACLE_SQL["label_levels"].partition(SHORT_SQL)[2].replace(" WHERE seq % 5 = 0", "").replace(">= 3 OR", ">= 0.6e0 OR"))
 _register("assisted_speed", lambda s, d: _parts(s, d).select("id", physics.assisted_speed("watts", "grade", 0.5, 250.0, 25.0).alias("kmh")), f"WITH x AS ({_PARTS}), v AS (SELECT id, {_speed_sql('(watts + least(0.5e0 * watts, 250e0))', 'grade')} AS a, {_speed_sql('watts', 'grade')} AS b FROM x) SELECT id, round(CASE WHEN a > 25 THEN b ELSE a END, 4) AS kmh FROM v")
 _register("index_lists", lambda s, d: _parts(s, d).select("id", F.size(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(",")))).alias("n"), F.element_at(waypoints.index_list(F.concat(F.col("id"), F.lit(", "), F.col("id") + 1, F.lit(","))), 2).alias("second")), "SELECT p_partkey AS id, 2 AS n, (p_partkey + 1)::INTEGER AS second FROM part")
 
@@ -496,6 +644,8 @@ def _british_sql() -> str:
 
 _grid = lambda epsg: lambda s, d: _positions(s, d).select("id", projection.projected(F.col("lat"), F.col("lon"), epsg).alias("g")).select("id", "g.x", "g.y")
 _register("french_grid", _grid(projection.EPSG_LAMBERT_93), _conic_sql(), 2)
+_register("french_keys", lambda s, d: sources_tiles.french_keys(_boxes(s, d)), f"""WITH {_BOX}, p AS (SELECT ride AS id, y + s * v AS lat, x + s * u AS lon FROM b, (SELECT unnest([0, 0, 1, 1]) AS u, unnest([0, 1, 0, 1]) AS v)){_conic_sql().replace(f"WITH {_PLACES}", "").replace("round(700000 + r * sin(turn), 2) AS x, round(", "700000 + r * sin(turn) AS x, (").replace("* cos(turn), 2) AS y", "* cos(turn)) AS y").replace("SELECT id,", ", k AS (SELECT id,", 2).replace(", k AS (SELECT id,", "SELECT id,", 1)}),
+  m AS (SELECT id, trunc(min(x))::BIGINT // 1000 AS e0, trunc(max(x))::BIGINT // 1000 AS e1, trunc(min(y))::BIGINT // 1000 AS n0, trunc(max(y))::BIGINT // 1000 AS n1 FROM k GROUP BY id), ee AS (SELECT id, unnest(range(e0, e1 + 1))::INTEGER AS e_km, n0, n1 FROM m) SELECT id AS ride, e_km, unnest(range(n0, n1 + 2))::INTEGER AS n_km FROM ee""")
 _register("british_grid", _grid(projection.EPSG_OSGB), _british_sql(), 2)
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import scoring
 from cadenza.functions.physics import RIDER, Rider
 from cadenza.operators import climbs, joins, load, metrics, runs, verify, waypoints, windows
-from cadenza.sinks.reports import markdown_table
+from cadenza.plans import fidelity
+from cadenza.sinks.fidelity import climb_documents, fidelity_documents
+from cadenza.sinks.reports import embed_prediction, gpx_documents, markdown_table
 from cadenza.sources import binary, files
+from cadenza.sources.external import Services
 
 
 def ride_frames(spark: SparkSession, path: str, rider: Rider = RIDER) -> dict[str, DataFrame]:
@@ -42,31 +49,76 @@ def pair_frames(spark: SparkSession, a: str, b: str) -> dict[str, DataFrame]:
     return {"devices": joins.all_of([one, two], ["A", "B"], "device").drop("pair"), "ride": joins.merge_devices(one, two).drop("pair")}
 
 
-def route_frames(spark: SparkSession, path: str, dem: str | None = None, rider: Rider = RIDER, include: tuple[int, ...] = (), exclude: tuple[int, ...] = ()) -> dict[str, DataFrame]:
-    """Frames of GPX routes; with a folder of rasters also verified and missed climbs, verdict and wall density.
+def route_frames(
+    spark: SparkSession, path: str, dem: str | None = None, rider: Rider = RIDER, include: tuple[int, ...] = (), exclude: tuple[int, ...] = (), body: dict[str, float] | None = None, services: Services | None = None
+) -> dict[str, DataFrame]:
+    """Frames of GPX routes; with a folder of rasters also verified and missed climbs, verdict, wall density and the load restated from the stitched profile.
 
-    ``include`` and ``exclude``: numbers of waypoints to keep or drop whatever their kind.
+    ``include`` and ``exclude``: numbers of waypoints to keep or drop whatever their kind.  ``body``: mass, cda, crr and eta of
+    the bike, as ``sources.profiles.body_of`` gives them; ``services``: what verification may ask.
     """
+    body = body or {}
     pts = files.read_gpx(spark, path).withColumnsRenamed({"route": "ride", "cum_m": "d"})
     found = climbs.find_climbs(pts)
     lengths = pts.groupBy("ride").agg((F.max("d") / 1000).alias("distance_km"))
     out = {
         "summary": metrics.elevation_summary(pts).join(metrics.ascent(pts, "zero9"), "ride").join(metrics.loops(pts), "ride"),
-        "climbs": climbs.predict_climbs(found, rider),
-        "load": climbs.route_load(lengths, found, rider=rider),
+        "climbs": climbs.predict_climbs(found, rider, **body),
+        "load": climbs.route_load(lengths, found, rider=rider, **body),
         "waypoints": waypoints.override(waypoints.enumerate_waypoints(files.read_waypoints(spark, path).withColumnRenamed("route", "ride"), pts.withColumn("cum_m", F.col("d"))), include, exclude),
     }
     if dem:
-        tiles, track = binary.read_geotiff(spark, dem), pts.withColumn("cum_m", F.col("d"))
-        declared, missed = verify.verify_climbs(track, found, tiles), verify.missed_climbs(track, found, tiles)
-        both = joins.all_of([declared.select(*_VERIFIED), missed.select(*_VERIFIED)], ["declared", "missed"])
-        out |= {"verified": both, "verdict": metrics.route_verdicts(both), "walls": metrics.wall_density(both, lengths), "coverage": metrics.coverage(verify.sampled_route(track, tiles), "z")}
+        frames = fidelity.fidelity(pts.withColumn("cum_m", F.col("d")), binary.read_geotiff(spark, dem), services=services, declared=found)
+        both = joins.all_of([frames["climbs"].select(*_VERIFIED), frames["missed"].select(*_VERIFIED)], ["declared", "missed"])
+        out |= {
+            "verified": both, "verdict": frames["routes"], "walls": metrics.wall_density(both, lengths), "coverage": frames["routes"].select("ride", "coverage_pct"), "ascent": metrics.ascent(frames["profile"], "truncated9"),
+            "restated": fidelity.restated_loads(frames["profile"], frames["climbs"], frames["missed"]), "report": fidelity_documents(frames),
+        }
     return out
 
 
 _VERIFIED = ("ride", "climb_no", "start_km", "end_km", "max_grade_pct", "verified_peak_pct", "delta_pp", "length_above_8", "length_above_10", "length_above_12", "length_above_14")
 
 
+def embedded_predictions(predictions: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """ride, text: routes' predictions (ride, text) with their Fidelity Report, and headline figures restated from the stitched profile.
+
+    ``frames``: of ``route_frames`` with rasters.  Predictions of routes that were not verified stay as they are.
+    """
+    rows = predictions.select("ride", "text").join(frames["report"], "ride", "left").join(frames["verdict"].select("ride", "coverage_pct"), "ride", "left").join(frames["ascent"].select("ride", "ascent_m"), "ride", "left")
+    rows = rows.join(frames["restated"].select("ride", F.to_json(F.struct("*")).alias("load")), "ride", "left")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [
+                text if report is None else embed_prediction(text, report, None if load is None else {"density": None} | json.loads(load), None if pd.isna(ascent) else ascent, None if pd.isna(cover) else cover)
+                for text, report, cover, ascent, load in zip(b["text"], b["report"], b["coverage_pct"], b["ascent_m"], b["load"])
+            ]
+            yield pd.DataFrame({"ride": b["ride"], "text": texts})
+
+    return rows.mapInPandas(put, "ride string, text string")
+
+
+def climb_reports(spark: SparkSession, path: str) -> DataFrame:
+    """ride, report: categories, points and figures of the climbs of FIT activities."""
+    samples = metrics.to_samples(binary.read_fit(spark, path))
+    found = climbs.categorised(climbs.find_climbs(samples))
+    return climb_documents(found, metrics.climb_stats(samples, found, key="climb_no"))
+
+
+def validated(spark: SparkSession, fit: str, gpx: str, dem: str) -> DataFrame:
+    """Climbs that a ride recorded against those that rasters verify of its route: matched, gaps and extras."""
+    rode = climbs.find_climbs(metrics.to_samples(binary.read_fit(spark, fit))).withColumn("ride", F.lit("ride"))
+    pts = files.read_gpx(spark, gpx).withColumnRenamed("route", "ride").withColumn("ride", F.lit("ride"))
+    seen = verify.verify_climbs(pts, climbs.find_climbs(pts.withColumn("d", F.col("cum_m"))), binary.read_geotiff(spark, dem))
+    return joins.cross_validate(rode, seen.where("verified_peak_pct IS NOT NULL").withColumn("peak_pct", F.col("verified_peak_pct")))
+
+
+def ride_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """ride, gpx: FIT activities as GPX documents."""
+    return gpx_documents(metrics.to_samples(binary.read_fit(spark, path)))
+
+
 def compare_frames(spark: SparkSession, a: str, b: str, ftp_a: float = RIDER.ftp_w, ftp_b: float = RIDER.ftp_w) -> dict[str, DataFrame]:
     """Two riders' FIT files side by side: peaks, FTP estimates, climbs of the first, attacks, shared stretches."""
     rec = [binary.read_fit(spark, p).withColumn("ride", F.lit(n)) for p, n in ((a, "a"), (b, "b"))]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.projection import conic
+
 # fixed values: patterns of tile and archive names
 BRITISH_TILE, FRENCH_TILE, FRENCH_ARCHIVE = r"^([A-Z]{2}\d{2}[a-z]{0,2})_", r"_(\d{4})_(\d{4})_MNT_LAMB93", r"RGEALTI_2-0_1M_ASC_LAMB93-IGN69_(D\w{3})_(\d{4}-\d{2}-\d{2})"
 #: Fixed value: megabytes of a tile where nothing is known of it.
@@ -36,6 +38,21 @@ def wanted_french_tiles(files: DataFrame, keys: DataFrame) -> DataFrame:
     return french_tiles(files).join(keys.select("e_km", "n_km"), ["e_km", "n_km"], "left_semi")
 
 
+def french_keys(boxes: DataFrame, key: str = "ride") -> DataFrame:
+    """key, e_km, n_km: corners of the one-kilometre tiles that may touch a box (min_lon, min_lat, max_lon, max_lat).
+
+    The box's four corners are put on the French grid and what lies around them is covered.  A tile is named by its north
+    western corner, so one more row of tiles in the north belongs to it.
+    """
+    corner = lambda x, y: conic(F.col(y), F.col(x))
+    four = [corner(x, y) for y in ("min_lat", "max_lat") for x in ("min_lon", "max_lon")]
+    km = lambda c: F.floor(c.cast("long") / 1000).cast("int")
+    b = boxes.select(key, *[c[a].alias(f"_{a}{i}") for i, c in enumerate(four) for a in "xy"])
+    of = lambda pick, a: km(pick(*[F.col(f"_{a}{i}") for i in range(4)]))
+    b = b.select(key, of(F.least, "x").alias("_e0"), of(F.greatest, "x").alias("_e1"), of(F.least, "y").alias("_n0"), of(F.greatest, "y").alias("_n1"))
+    return b.select(key, F.explode(F.sequence("_e0", "_e1")).alias("e_km"), "_n0", "_n1").select(key, "e_km", F.explode(F.sequence(F.col("_n0"), F.col("_n1") + 1)).alias("n_km"))
+
+
 def newest_archives(listings: DataFrame) -> DataFrame:
     """dept, archive: the newest archive of each department in texts of a listing (column ``text``)."""
     whole = F.explode(F.regexp_extract_all("text", F.lit(f"({FRENCH_ARCHIVE})"), F.lit(1)))
