@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from cadenza.llm import mixing, packing, quality_rules, token_counts
+from cadenza.llm import html_extract, mixing, packing, quality_rules, token_counts
 
 
 def test_token_counts(make_docs, corpus):
@@ -164,3 +164,8 @@ def test_quality_rules(make_docs, corpus):
 
 def test_sha_is_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_one_word_of_a_class_drops_nothing_inside_an_article():
+    page = "<body><article><h1>T</h1><div class='post tags'><p>first part stays</p></div><div class='highlight promo'><p>second part stays</p></div><p>E = <math><mi>m</mi></math> done</p><div class='ad banner'>buy</div></article><div class='box promo'>gone</div></body>"
+    assert html_extract.extract(page) == "T first part stays second part stays E = m done"
