@@ -237,11 +237,11 @@ def _stars(packed: DataFrame, chunk: int = 2 * PART_ENTRIES) -> DataFrame:
 
 
 def _keys_of(stars: DataFrame) -> DataFrame:
-    """key, pivot, doc_id: a row for each key of (a pivot, doc_id, keys)."""
+    """key, pivot, doc_id: a row for each key of (a pivot, doc_id, lists of keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            keys = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            keys = [np.frombuffer(b"".join(lists), np.int64) for lists in batch.column(2).to_pylist()]
             n = [len(k) for k in keys]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(np.repeat(batch.column(i).to_numpy(), n)) for i in (0, 1)]], ["key", "pivot", "doc_id"])
@@ -296,13 +296,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # about half an entry for a shingle
     parts = max(n_parts, -(-shingles // (2 * part_entries)))
     packed = _entries(docs.where("doc_id IS NOT NULL"), size, percent, parts).repartition(parts, "part")
-    hits = stage(_stars(packed, 2 * part_entries), "hits")
+    # tasks that saw the same two nodes are brought together; keys of a pair are no more than a set has segments
+    pair = ["p1", "p2", "d1", "d2"]
+    hits = stage(_stars(packed, 2 * part_entries).groupBy(*pair).agg(F.collect_list("keys").alias("keys")), "hits")
     named = lambda a, b, to: reps.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("rep").alias(to))
     stars = stage(hits.join(named("p1", "p2", "pivot"), ["p1", "p2"]).join(named("d1", "d2", "doc_id"), ["d1", "d2"]).where("pivot <> doc_id").select("pivot", "doc_id", "keys"), "stars")
     # near copies share most of their segments with a pivot: such pairs are held in full first; what they leave apart is
     # found by the buckets below
     own = sizes.select("doc_id", F.coalesce(F.get("room", F.lit(0))["exact"] + 1, F.lit(1)).alias("need"))
-    close = stars.groupBy("pivot", "doc_id").agg(F.sum(F.octet_length("keys") / 8).alias("common")).join(own, "doc_id").join(own.select(F.col("doc_id").alias("pivot"), F.col("need").alias("other")), "pivot")
+    close = stars.groupBy("pivot", "doc_id").agg((F.sum(F.aggregate("keys", F.lit(0), lambda n, b: n + F.octet_length(b))) / 8).alias("common")).join(own, "doc_id").join(own.select(F.col("doc_id").alias("pivot"), F.col("need").alias("other")), "pivot")
     close = close.where(F.col("common") >= F.least("need", "other"))
     tried = stage(_possible(close.select(*_ordered("pivot", "doc_id")).distinct(), sizes, percent), "tried")
     links = stage(_confirmed(tried, docs, size, percent), "links")
