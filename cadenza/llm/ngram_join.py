@@ -329,6 +329,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need = room.select("doc_id", "band", (F.col("exact") + 1 - F.col("gone")).alias("need"))
     x, y = (cheap.select("key", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}")) for d in "ab")
     common = x.join(y, "key").where("a < b AND ca <> cb").groupBy("a", "b", F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("common"))
+    common = stage(common, "common")
     of = lambda d: need.select(F.col("doc_id").alias(d), "band", F.col("need").alias(f"n{d}"))
     more = common.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"]).where(F.col("common") >= F.greatest("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     added = [stage(_confirmed(stage(_possible(more, sizes, percent), "between"), docs, size, percent), "more-links")]
@@ -342,7 +343,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = whole.groupBy("key").agg(F.count(F.lit(1)).alias("w")).join(less.groupBy("key").agg(F.count(F.lit(1)).alias("l")), "key").withColumn("cost", F.col("w") * F.col("l"))
         n = stage(n.select("key", "cost"), "neighbour-costs")
         near = whole.join(n.where(F.col("cost") <= bucket_pairs), "key").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(less.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "key")
-        near = near.where("cx <> cy").select(*_ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
+        # a pair at the threshold differs by at most one shingle on more relied-on segments than the mean of what both sets
+        # have left of their allowance
+        near = near.where("cx <> cy").groupBy(*_ordered("x", "y"), F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("close"))
+        near = near.join(common, ["a", "b", "band"], "left").withColumn("close", F.col("close") + F.coalesce("common", F.lit(0)))
+        left = lambda d: room.select(F.col("doc_id").alias(d), "band", (F.col("near") - F.col("gone")).alias(f"r{d}"))
+        near = near.join(left("a"), ["a", "band"]).join(left("b"), ["b", "band"]).where("2 * close > ra + rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         added.append(stage(_confirmed(stage(_possible(near, sizes, percent), "near"), docs, size, percent), "near-links"))
         # the rest: sets skipped nearly everywhere, and those of costly neighbourhoods, in blocks of their band
         costly = around.join(n.where(F.col("cost") > bucket_pairs), "key").select("doc_id", F.col("key").bitwiseAND(63).cast("int").alias("band"))
