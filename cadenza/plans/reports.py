@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import scoring
+from cadenza.functions.geo import degrees_of
 from cadenza.functions.physics import RIDER, Rider
 from cadenza.operators import climbs, joins, load, metrics, runs, verify, waypoints, windows
 from cadenza.plans import fidelity
@@ -17,11 +18,12 @@ from cadenza.sinks.fidelity import climb_documents, fidelity_documents
 from cadenza.sinks.reports import embed_prediction, gpx_documents, markdown_table
 from cadenza.sources import binary, files
 from cadenza.sources.external import Services
+from cadenza.sources.store import staged
 
 
 def ride_frames(spark: SparkSession, path: str, rider: Rider = RIDER) -> dict[str, DataFrame]:
     """Frames of FIT activities, one row or more for each ride: stored figures, derived ones, peaks, zones, climbs."""
-    samples = metrics.to_samples(binary.read_fit(spark, path))
+    samples = staged(metrics.to_samples(binary.read_fit(spark, path)), "samples")  # records are decoded once for all frames
     return {
         "session": binary.read_fit(spark, path, "session").drop("seq"),
         "derived": metrics.summaries(samples),
@@ -116,7 +118,8 @@ def validated(spark: SparkSession, fit: str, gpx: str, dem: str) -> DataFrame:
 
 def ride_tracks(spark: SparkSession, path: str) -> DataFrame:
     """ride, gpx: FIT activities as GPX documents."""
-    return gpx_documents(metrics.to_samples(binary.read_fit(spark, path)))
+    samples = metrics.to_samples(binary.read_fit(spark, path))
+    return gpx_documents(samples.withColumns({"lat": degrees_of(F.col("position_lat")), "lon": degrees_of(F.col("position_long"))}))
 
 
 def compare_frames(spark: SparkSession, a: str, b: str, ftp_a: float = RIDER.ftp_w, ftp_b: float = RIDER.ftp_w) -> dict[str, DataFrame]:
