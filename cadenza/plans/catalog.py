@@ -335,7 +335,7 @@ def _verified_whole(r: DataFrame) -> DataFrame:
 
 
 _short("route_verdicts_whole", lambda r: metrics.route_verdicts(_verified_whole(r)), _STRETCHES + ORACLE_SQL["route_verdicts"].partition(_SPANS)[2])
-_short("wall_density_whole", lambda r: metrics.wall_density(_verified_whole(r), r.groupBy("ride").agg((F.max("d") / 100).alias("distance_km"))), _STRETCHES + ORACLE_SQL["wall_density"].partition(_SPANS)[2].replace(" WHERE ride % 3 <> 0", ""))
+_short("wall_density_whole", lambda r: metrics.wall_density(_verified_whole(r), r.groupBy("ride").agg((F.max("d") / 100).alias("distance_km"))), _STRETCHES + ORACLE_SQL["wall_density"].partition(_SPANS)[2].replace(" WHERE ride % 3 <> 0", "").replace("round(x, 4)", "round(x, 6)").replace(", 4) AS multiplier", ", 6) AS multiplier"), digits=6)
 _short("coverage", lambda r: metrics.coverage(r.withColumn("z", F.when(F.col("k") % 4 != 0, F.col("e"))), "z"), " SELECT ride, round(100.0e0 * avg(CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END), 4) AS coverage_pct FROM rec GROUP BY ride")
 
 
@@ -474,7 +474,7 @@ def _fine_sql(bil: str) -> str:
   vf AS (SELECT ride, max(g) AS peak, max(cum) - min(cum) AS len, arg_max(z, seq) - arg_min(z, seq) AS gain FROM gg GROUP BY ride)"""
 
 
-_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _groups(r), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), _TRACK + _GROUPED + _fine_sql(_BIL) + " SELECT gr.ride, climb_no, round(peak, 4) AS verified_peak_pct, round(len, 4) AS verified_m, round(gain, 4) AS verified_gain_m, round(CASE WHEN peak IS NOT NULL THEN coalesce(m, 0) END, 4) AS length_above_8, round(peak - mg, 4) AS delta_pp FROM gr LEFT JOIN vf ON vf.ride = gr.ride * 100000 + climb_no LEFT JOIN r8 ON r8.ride = gr.ride * 100000 + climb_no")
+_short("verify_climbs", lambda r: verify.verify_climbs(_routed(r), _groups(r), _tiles(r.sparkSession)).select("ride", "climb_no", "verified_peak_pct", "verified_m", "verified_gain_m", "length_above_8", "delta_pp"), _TRACK + _GROUPED + _fine_sql(_BIL) + " SELECT gr.ride, climb_no, round(peak, 4) + 0e0 AS verified_peak_pct, round(len, 4) AS verified_m, round(gain, 4) + 0e0 AS verified_gain_m, round(CASE WHEN peak IS NOT NULL THEN coalesce(m, 0) END, 4) AS length_above_8, round(peak - mg, 4) + 0e0 AS delta_pp FROM gr LEFT JOIN vf ON vf.ride = gr.ride * 100000 + climb_no LEFT JOIN r8 ON r8.ride = gr.ride * 100000 + climb_no")
 
 
 def _steep(spark: SparkSession) -> DataFrame:
@@ -519,7 +519,7 @@ def _filled(r: DataFrame) -> DataFrame:
     return external.metered_elevations(seen, _hill, external.elevation_answers(store.shared_path(r.sparkSession, "elevations")), "2026-01-01", pause_s=0.0)
 
 
-_short("elevation_fallback", lambda r: _filled(r).select("ride", "seq", "z", "asked"), _MOVED + _MOVED_BIL + _ASKED + " SELECT ride, seq, round(coalesce(own, CASE WHEN qq.y IS NOT NULL THEN mp.y / 100000e0 * 10 + mp.x / 100000e0 * 3 END), 4) AS z, own IS NULL AND qq.y IS NOT NULL AS asked FROM mp LEFT JOIN qq ON qq.y = mp.y AND qq.x = mp.x")
+_short("elevation_fallback", lambda r: _filled(r).select("ride", "seq", "z", "asked"), _MOVED + _MOVED_BIL + _ASKED + " SELECT ride, seq, round(coalesce(own, CASE WHEN qq.y IS NOT NULL THEN mp.y / 100000e0 * 10 + mp.x / 100000e0 * 3 END), 6) AS z, own IS NULL AND qq.y IS NOT NULL AS asked FROM mp LEFT JOIN qq ON qq.y = mp.y AND qq.x = mp.x", digits=6)
 _short("map_match", lambda r: external.remembered_tracks(r.select("ride", "seq", "lat", "lon"), _snap, external.track_answers(store.shared_path(r.sparkSession, "tracks"))), f""", tk AS (SELECT ride, seq, lat, lon, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY ride) AS n FROM rec WINDOW w AS (PARTITION BY ride ORDER BY seq)),
   pk AS (SELECT * FROM tk WHERE n > 1 AND (n <= {external.TRACK_POINTS} OR list_contains(list_transform(range({external.TRACK_POINTS}), lambda k: round_even(k * (n - 1) / {external.TRACK_POINTS - 1}e0, 0)::BIGINT), i)))
   SELECT ride, row_number() OVER (PARTITION BY ride ORDER BY seq) - 1 AS seq, round(lat + 0.0001e0, 6) AS lat, round(lon, 6) AS lon FROM pk UNION ALL SELECT ride, seq, round(lat, 6), round(lon, 6) FROM tk WHERE n = 1""", digits=6)
