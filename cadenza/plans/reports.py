@@ -118,8 +118,9 @@ def validated(spark: SparkSession, fit: str, gpx: str, dem: str) -> DataFrame:
 
 def ride_tracks(spark: SparkSession, path: str) -> DataFrame:
     """ride, gpx: FIT activities as GPX documents."""
-    samples = metrics.to_samples(binary.read_fit(spark, path))
-    return gpx_documents(samples.withColumns({"lat": degrees_of(F.col("position_lat")), "lon": degrees_of(F.col("position_long"))}))
+    rec = binary.read_fit(spark, path)
+    at = {"lat": degrees_of(F.col("position_lat")), "lon": degrees_of(F.col("position_long")), "e": F.coalesce("enhanced_altitude", "altitude").cast("double")}
+    return gpx_documents(rec.select("ride", "seq", *[c.alias(k) for k, c in at.items()]))
 
 
 def compare_frames(spark: SparkSession, a: str, b: str, ftp_a: float = RIDER.ftp_w, ftp_b: float = RIDER.ftp_w) -> dict[str, DataFrame]:
