@@ -87,10 +87,9 @@ def test_route_with_bike_and_rasters(spark, folder):
     assert embed_prediction(PREDICTION, report.report).startswith("# A route")
 
 
-def test_commands_write_documents(folder, tmp_path, capsys):
-    cli.main(["route", str(folder / "r.gpx"), "--dem", str(folder), "--profile", str(folder), "--surface", "gravel", "--save", str(tmp_path / "out")])
-    out = capsys.readouterr().out
-    assert [p.name for p in (tmp_path / "out").iterdir()] == ["r-fidelity.md"] and "## climbs" in out
+def test_commands_write_documents(spark, folder, tmp_path, capsys):
+    cli.main(["route", str(folder / "r.gpx"), "--profile", str(folder), "--surface", "gravel"])
+    assert "## climbs" in capsys.readouterr().out
     cli.main(["gpx", str(folder / "a.fit"), str(tmp_path / "tracks")])
     cli.main(["climbs", str(folder / "a.fit")])
     cli.main(["physics", "--profile", str(folder)])
