@@ -88,13 +88,9 @@ def test_route_with_bike_and_rasters(spark, folder):
 
 
 def test_commands_write_documents(spark, folder, tmp_path, capsys):
-    cli.main(["route", str(folder / "r.gpx"), "--profile", str(folder), "--surface", "gravel"])
-    assert "## climbs" in capsys.readouterr().out
     cli.main(["gpx", str(folder / "a.fit"), str(tmp_path / "tracks")])
     cli.main(["climbs", str(folder / "a.fit")])
     cli.main(["physics", "--profile", str(folder)])
     cli.main(["profile", "--profile", str(folder)])
     out = capsys.readouterr().out
     assert "## Categories & KOM points" in out and "| 100 | 0.4 | " in out and "| athlete.ftp_w | 260 | " in out
-    cli.main(["validate", str(folder / "a.fit"), str(folder / "r.gpx"), str(folder)])
-    assert "| kind | " in capsys.readouterr().out
