@@ -1,9 +1,8 @@
-"""Profiles that are found and laid over defaults, and commands from files to written documents."""
+"""Profiles that are found and laid over defaults, and routes from files to reports."""
 
 import numpy as np
 import pytest
 
-from cadenza import __main__ as cli
 from cadenza.plans import reports
 from cadenza.sinks.reports import embed_prediction
 from cadenza.sources import bikes, profiles
@@ -85,12 +84,3 @@ def test_route_with_bike_and_rasters(spark, folder):
     again = spark.createDataFrame([(report.ride, texts[report.ride])], "ride string, text string")
     assert reports.embedded_predictions(again, frames).first().text == texts[report.ride]
     assert embed_prediction(PREDICTION, report.report).startswith("# A route")
-
-
-def test_commands_write_documents(spark, folder, tmp_path, capsys):
-    cli.main(["gpx", str(folder / "a.fit"), str(tmp_path / "tracks")])
-    cli.main(["climbs", str(folder / "a.fit")])
-    cli.main(["physics", "--profile", str(folder)])
-    cli.main(["profile", "--profile", str(folder)])
-    out = capsys.readouterr().out
-    assert "## Categories & KOM points" in out and "| 100 | 0.4 | " in out and "| athlete.ftp_w | 260 | " in out
