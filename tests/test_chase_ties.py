@@ -24,6 +24,6 @@ def same_as_sql(spark, tmp_path, query):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-@pytest.mark.parametrize("query", ["chase"])
+@pytest.mark.parametrize("query", ["chase", "chase_episodes"])
 def test_equal_scores_rank_as_in_sql(spark, tmp_path, query):
     same_as_sql(spark, tmp_path, query)
