@@ -238,13 +238,36 @@ def exact_links(sets: list[np.ndarray], wanted: np.ndarray, percent: int) -> tup
     return np.nonzero(wanted & (100 * both >= percent * (n[:, None] + n[None] - both)))
 
 
-def _home_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a < b) between components inside home buckets, on full sets.  ``rows``: ..., hashes (binary)."""
+def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Positions of those links (i, j) that join what the links before them have not: as connected as all of them."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    kept = []
+    for at, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            top[x] = y
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def _home_links(rows: DataFrame, percent: int, forest: bool = False) -> DataFrame:
+    """Links (a < b) between components inside home buckets, on full sets.  ``rows``: ..., hashes (binary).
+
+    With ``forest`` a block gives no more of them than connect what they connect, so fewer than it has members.
+    """
 
     def work(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, comp, wanted = _of_pairs(group)
         if wanted.any():
             i, j = exact_links([np.frombuffer(g[5], np.uint64) for g in group], wanted, percent)
+            if forest:
+                i, j = (x[_forest(i, j)] for x in (i, j))
             yield ids[i], ids[j]
 
     return _grouped(rows, ["hashes"], work)

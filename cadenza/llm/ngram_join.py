@@ -9,11 +9,12 @@ Which segments a set relies on is decided by cost.  Each member of a bucket is h
 joins is contracted, and a bucket in one component is done.  Of the rest a bucket costs as many pairs as it has
 between different components: up to BUCKET_PAIRS they are verified, beyond that the bucket is skipped (-1), as empty
 segments are from the start.  A set whose skipped segments are no more than its slack still has a relied-on segment
-(0) with each partner, and as many of them as its slack has left; pairs that agree on fewer are never read again.  Only the others index one-deletion neighbourhoods (1) of all their remaining segments, where a
-pair agrees if its subsets differ by at most one shingle: that makes up for as many skipped segments as there are
-others.  Sets that are skipped nearly everywhere, and neighbourhoods that cost too much, are held against each other in
-blocks of bounded size.  Every link is verified on full sets, so the result is exact but for equal 64-bit hashes of
-shingles.
+(0) with each partner, also if it leaves out its costliest ones up to that slack.  Only pairs that agree on more
+segments than the slack, skipped ones included, are read.  The other sets index one-deletion neighbourhoods (1) of all
+their remaining segments, where a pair agrees if its subsets differ by at most one shingle: that makes up for as many
+skipped segments as there are others.  Sets that are skipped nearly everywhere, and neighbourhoods that cost too much,
+are held against each other in blocks of bounded size, and nowhere else; a block gives the links that connect it.
+Every link is verified on full sets, so the result is exact but for equal 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import drop_stage, scramble, small_batches, stage
@@ -320,38 +321,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stage(comp(met.select("key", "doc_id").union(met.select("key", "pivot")).distinct()), "members")
     per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
     costs = stage(per.withColumn("cost", (F.col("m") * F.col("m") - F.col("own")) / 2).where("cost > 0").select("key", "cost"), "costs")
-    cheap = stage(members.join(costs.where(F.col("cost") <= bucket_pairs), "key").select("key", "doc_id", "component"), "cheap")
-    skipped = members.join(costs.where(F.col("cost") > bucket_pairs), "key").select("doc_id", "key", F.col("key").bitwiseAND(63).cast("int").alias("band"))
-    skipped = skipped.groupBy("doc_id", "band").agg(F.collect_list("key").alias("skipped"))  # no more than the set has segments
+    band_of = F.col("key").bitwiseAND(63).cast("int")
+    costed = members.join(costs, "key").withColumn("band", band_of)
+    # no more than the set has segments
+    keys = costed.groupBy("doc_id", "band").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("cost") > bucket_pairs, F.col("key"))).alias("skipped"))
     room = sizes.select("doc_id", F.explode("room").alias("r")).select("doc_id", "r.band", "r.exact", "r.near")
-    room = stage(room.join(skipped, ["doc_id", "band"], "left").withColumn("gone", F.coalesce(F.size("skipped"), F.lit(0))), "room")
-    # a pair at the threshold agrees on more segments than either set's slack, less those that are empty or skipped
-    need = room.select("doc_id", "band", (F.col("exact") + 1 - F.col("gone")).alias("need"))
-    x, y = (cheap.select("key", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}")) for d in "ab")
-    common = x.join(y, "key").where("a < b AND ca <> cb").groupBy("a", "b", F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("common"))
-    common = stage(common, "common")
-    of = lambda d: need.select(F.col("doc_id").alias(d), "band", F.col("need").alias(f"n{d}"))
-    more = common.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"]).where(F.col("common") >= F.greatest("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    added = [stage(_confirmed(stage(_possible(more, sizes, percent), "between"), docs, size, percent), "more-links")]
-
+    none = F.array().cast("array<bigint>")
+    room = room.join(keys, ["doc_id", "band"], "left").withColumns({"keys": F.coalesce("keys", none), "skipped": F.coalesce("skipped", none)})
+    room = stage(room.withColumn("gone", F.size("skipped")), "room")
     short = room.where("gone > exact")
     short = stage(short.select("doc_id", "band", "skipped", (F.col("gone") > F.col("near")).alias("rest")), "short")
+    added, blocked = [], None
     if not short.isEmpty():
         texts = docs.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
         around = stage(comp(_neighbourhoods(texts.join(short.where("NOT rest"), "doc_id"), size, percent)), "neighbourhoods")
         whole, less = around.where("whole"), around.where("NOT whole")
         n = whole.groupBy("key").agg(F.count(F.lit(1)).alias("w")).join(less.groupBy("key").agg(F.count(F.lit(1)).alias("l")), "key").withColumn("cost", F.col("w") * F.col("l"))
         n = stage(n.select("key", "cost"), "neighbour-costs")
-        near = whole.join(n.where(F.col("cost") <= bucket_pairs), "key").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(less.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "key")
-        # a pair at the threshold differs by at most one shingle on more relied-on segments than the mean of what both sets
-        # have left of their allowance
-        near = near.where("cx <> cy").groupBy(*_ordered("x", "y"), F.col("key").bitwiseAND(63).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("close"))
-        near = near.join(common, ["a", "b", "band"], "left").withColumn("close", F.col("close") + F.coalesce("common", F.lit(0)))
-        left = lambda d: room.select(F.col("doc_id").alias(d), "band", (F.col("near") - F.col("gone")).alias(f"r{d}"))
-        near = near.join(left("a"), ["a", "band"]).join(left("b"), ["b", "band"]).where("2 * close > ra + rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        added.append(stage(_confirmed(stage(_possible(near, sizes, percent), "near"), docs, size, percent), "near-links"))
         # the rest: sets skipped nearly everywhere, and those of costly neighbourhoods, in blocks of their band
-        costly = around.join(n.where(F.col("cost") > bucket_pairs), "key").select("doc_id", F.col("key").bitwiseAND(63).cast("int").alias("band"))
+        costly = around.join(n.where(F.col("cost") > bucket_pairs), "key").select("doc_id", band_of.alias("band"))
         rest = short.where("rest").select("doc_id", "band").union(costly).distinct()
         bands = rest.select("band").distinct()
         rows = comp(short.select("doc_id", "band").join(bands, "band", "left_semi"))
@@ -359,7 +347,33 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = stage(rows.select(F.col("band").cast("long").alias("band"), "doc_id", "component", "members"), "rest")
         if not rows.isEmpty():
             sets = _sets(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-            added.append(stage(_home_links(_blocked(rows.join(sets, "doc_id"), HOME_BLOCK), percent), "rest-links"))
+            added.append(stage(_home_links(_blocked(rows.join(sets, "doc_id"), HOME_BLOCK), percent, forest=True), "rest-links"))
+            blocked = rows.select("doc_id", F.col("band").cast("int").alias("band"), F.lit(True).alias("held"))
+    # of two sets that agree on more keys than either's slack one agrees on a key that is not among the costliest ones, as
+    # many as its slack, of either; a set with more skipped keys meets by all that are left.  Pairs that the blocks hold
+    # are not met again
+    held = room.select("doc_id", "band", "exact", "gone", F.lit(False).alias("held"))
+    if blocked is not None:
+        held = held.drop("held").join(blocked, ["doc_id", "band"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "band").orderBy(F.desc("cost"), "key"))
+    cheap = costed.where(F.col("cost") <= bucket_pairs).withColumn("place", place).join(held, ["doc_id", "band"])
+    cheap = stage(cheap.where("gone > exact OR gone + place > exact").select("key", "doc_id", "component", "held"), "cheap")
+    x, y = (cheap.select("key", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("held").alias(f"h{d}")) for d in "ab")
+    common = x.join(y, "key").where("a < b AND ca <> cb AND NOT (ha AND hb)").groupBy("a", "b", band_of.alias("band")).agg(F.count(F.lit(1)).alias("common"))
+    common = stage(common, "common")
+    of = lambda d: room.select(F.col("doc_id").alias(d), "band", F.col("exact").alias(f"n{d}"), F.col("keys").alias(f"k{d}"))
+    agreed = F.size(F.array_intersect("ka", "kb"))
+    more = common.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"]).where(agreed > F.greatest("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    added.append(stage(_confirmed(stage(_possible(more, sizes, percent), "between"), docs, size, percent), "more-links"))
+    if not short.isEmpty():
+        near = whole.join(n.where(F.col("cost") <= bucket_pairs), "key").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(less.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "key")
+        # a pair at the threshold differs by at most one shingle on more relied-on segments than the mean of what both sets
+        # have left of their allowance
+        near = near.where("cx <> cy").groupBy(*_ordered("x", "y"), band_of.alias("band")).agg(F.count(F.lit(1)).alias("close"))
+        near = near.join(common, ["a", "b", "band"], "left").withColumn("close", F.col("close") + F.coalesce("common", F.lit(0)))
+        left = lambda d: room.select(F.col("doc_id").alias(d), "band", (F.col("near") - F.col("gone")).alias(f"r{d}"))
+        near = near.join(left("a"), ["a", "band"]).join(left("b"), ["b", "band"]).where("2 * close > ra + rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        added.append(stage(_confirmed(stage(_possible(near, sizes, percent), "near"), docs, size, percent), "near-links"))
     more = added[0]
     for links in added[1:]:
         more = more.union(links)
