@@ -339,9 +339,9 @@ _short("wall_density_whole", lambda r: metrics.wall_density(_verified_whole(r),
 _short("coverage", lambda r: metrics.coverage(r.withColumn("z", F.when(F.col("k") % 4 != 0, F.col("e"))), "z"), " SELECT ride, round(100.0e0 * avg(CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END), 4) AS coverage_pct FROM rec GROUP BY ride")
 
 
-def _two(r: DataFrame, n: int) -> DataFrame:
+def _two(r: DataFrame, n: int, pair: str = "ride * 0 + 1") -> DataFrame:
     half = lambda c: F.bround(c / geo.SEMICIRCLE, 0).cast("long")
-    return r.select((F.col("ride") * 0 + 1).alias("pair"), F.expr("timestamp_seconds(1600000000 + ride * 1000 + seq)").alias("ts"), "seq", F.when(F.col("k") % 50 != 7 + n, half(F.col("lat") + (n * 1e-5) * (F.col("k") % 40))).alias("position_lat"), half(F.col("lon")).alias("position_long"), F.lit(None).cast("double").alias("enhanced_altitude"), F.col("e").alias("altitude"), F.lit(0.0).alias("enhanced_speed"), (F.col("spd") / 1.5).alias("speed"), F.when(F.col("k") % 5 != 0, F.col("p") + n).alias("power"), F.col("hr").alias("heart_rate"), F.col("d").alias("distance"))
+    return r.select(F.expr(pair).alias("pair"), F.expr("timestamp_seconds(1600000000 + ride * 1000 + seq)").alias("ts"), "seq", F.when(F.col("k") % 50 != 7 + n, half(F.col("lat") + (n * 1e-5) * (F.col("k") % 40))).alias("position_lat"), half(F.col("lon")).alias("position_long"), F.lit(None).cast("double").alias("enhanced_altitude"), F.col("e").alias("altitude"), F.lit(0.0).alias("enhanced_speed"), (F.col("spd") / 1.5).alias("speed"), F.when(F.col("k") % 5 != 0, F.col("p") + n).alias("power"), F.col("hr").alias("heart_rate"), F.col("d").alias("distance"))
 
 
 _ALIGN = """, s1 AS (SELECT 1::BIGINT AS pair, make_timestamp((1600000000 + ride * 1000 + seq)::BIGINT * 1000000) AS ts, CASE WHEN k % 50 <> 7 THEN round_even(lat / (180e0 / 2147483648), 0) * (180e0 / 2147483648) END AS lat1, CASE WHEN k % 50 <> 8 THEN round_even((lat + 1e-5 * (k % 40)) / (180e0 / 2147483648), 0) * (180e0 / 2147483648) END AS lat2, round_even(lon / (180e0 / 2147483648), 0) * (180e0 / 2147483648) AS lon, e, spd / 1.5e0 * 3.6e0 AS spd, CASE WHEN k % 5 <> 0 THEN p END AS p, hr, d FROM rec), al AS (SELECT * FROM s1 WHERE lat1 IS NOT NULL AND lat2 IS NOT NULL)"""
@@ -349,7 +349,8 @@ _short("align_two", lambda r: joins.align_rides(_two(r, 0), _two(r, 1), ["pair"]
 
 
 def _events(r: DataFrame) -> DataFrame:
-    rows = joins.align_rides(_two(r, 0).withColumn("pair", F.floor((F.unix_seconds("ts") - 1600000000) / 1000)), _two(r, 1).withColumn("pair", F.floor((F.unix_seconds("ts") - 1600000000) / 1000)), ["pair"])
+    # the ride itself, as its SQL: times of a ride of 1,000 samples and more run into the next one's
+    rows = joins.align_rides(_two(r, 0, "ride"), _two(r, 1, "ride"), ["pair"])
     return joins.proximity_events(rows, least_kmh=5.0, most_pct=60.0, least_samples=3)
 
 
