@@ -288,14 +288,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their number.  Other columns are not read; an empty table has no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = stage(features(docs, size, percent), "features")
     same = ["k1", "k2", "n"]
     reps = stage(every.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("room").alias("room")), "classes")
     sizes = reps.select(F.col("rep").alias("doc_id"), "n", "room")
     shingles = reps.agg(F.sum("n")).first()[0] or 0
-    # about half an entry for a shingle
-    parts = max(n_parts, -(-shingles // (2 * part_entries)))
+    # about half an entry for a shingle; each part tells a pair anew whose keys it shares with others, so there are no
+    # more of them, whatever the session's shuffles are dealt to
+    parts = max(1, -(-shingles // (2 * part_entries)))
     packed = _entries(docs.where("doc_id IS NOT NULL"), size, percent, parts).repartition(parts, "part")
     # tasks that saw the same two nodes are brought together; keys of a pair are no more than a set has segments
     pair = ["p1", "p2", "d1", "d2"]
