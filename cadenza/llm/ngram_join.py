@@ -334,7 +334,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added, blocked = [], None
     if not short.isEmpty():
         texts = docs.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
-        around = stage(comp(_neighbourhoods(texts.join(short.where("NOT rest"), "doc_id"), size, percent)), "neighbourhoods")
+        # blocks of a band hold all pairs of its short sets, and neighbourhoods find none but these
+        unblocked = short.where("NOT rest").join(short.where("rest").select("band").distinct(), "band", "left_anti")
+        around = stage(comp(_neighbourhoods(texts.join(unblocked, "doc_id"), size, percent)), "neighbourhoods")
         whole, less = around.where("whole"), around.where("NOT whole")
         n = whole.groupBy("key").agg(F.count(F.lit(1)).alias("w")).join(less.groupBy("key").agg(F.count(F.lit(1)).alias("l")), "key").withColumn("cost", F.col("w") * F.col("l"))
         n = stage(n.select("key", "cost"), "neighbour-costs")
