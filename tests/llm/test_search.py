@@ -61,6 +61,43 @@ def test_bounds_and_thresholds_pass_over_most_of_clustered_vectors():
     assert sum(seen) < 0.6 * len(queries) * 6000
 
 
+def test_bounds_pass_over_vectors_without_clusters():
+    """Less than a third of the pairs is evaluated where all directions are equally strong; triangle bounds left nine tenths."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(8000, 64))
+    c = np.floor(256 * c / np.linalg.norm(c, axis=1)[:, None]).astype(np.int64)
+    ids, queries, drawn = np.arange(8000), np.arange(0, 8000, 100), rng.choice(8000, 2000, replace=False)
+    least, seen = topk.least_scores(queries, c[queries], drawn, c[drawn], 5), []
+    score = c[queries] @ c.T
+    got = topk.search_block(queries, c[queries], ids, c, 5, topk.far_first(c[drawn].astype(float), topk.PIVOTS), least, seen)
+    assert got == [(q, j, score[i, j]) for i, q in enumerate(queries) for j in [j for j in np.lexsort((ids, -score[i])) if j != q][:5]]
+    assert sum(seen) < len(queries) * 8000 / 3
+
+
+def test_top_k_of_many_blocks(spark):
+    """Floors that rise from block to block lose nothing: ties, copies, products beyond doubles, a cell for each of several rows."""
+    rng = np.random.default_rng(6)
+    few, blocks, size = [rng.normal(size=8) for _ in range(30)], topk.BLOCK, topk.QUERY_BLOCK
+    for scale, partitions in ((1.0, 5), (2.0**19, 60)):
+        rows = [(i, [float(np.float32(x)) * scale for x in (few[i % 30] if i % 3 else rng.normal(size=8))]) for i in range(900)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        kept = spark.conf.get("spark.sql.shuffle.partitions")
+        topk.BLOCK, topk.QUERY_BLOCK = 70, 13
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            assert {tuple(r) for r in topk.top_k(df, k=5, every=20).collect()} == brute(rows, 5, 20)
+        finally:
+            topk.BLOCK, topk.QUERY_BLOCK = blocks, size
+            spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_grid_sends_candidates_to_few_cells():
+    """Cells are as many as partitions; the 50 times rarer queries are the ones that are copied to many."""
+    for partitions in (1, 12, 200, 5000):
+        rows, columns = topk.grid(partitions, 50)
+        assert rows * columns >= partitions and rows**2 <= max(1, partitions / 20)
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
 <article><h1>Title &amp; more</h1><p>First  <b>bold</b>ly
 said.<p>Second<br>line &lt;ok&gt; &copy <a href="y">link</a>.<aside>side</aside><div class="ad">buy</div><form><p>q</p></form><section id="comments"><p>me too</p></section></article>
