@@ -74,7 +74,8 @@ class Node:
 def _attributes(raw: str, inside: bool = False) -> tuple[str, bool]:
     """First class (for the label) and whether a name sets the element aside: whole words of class, id and role, no parts of them.
 
-    Inside an article or main one word among others does not: there all words of a class must say so.
+    Inside an article or main one word among others does not: there all words of a class must say so, but for ``hidden``,
+    which tells how an element is shown and not what it is about.
     """
     first, aside = "", False
     if raw and ("=" in raw or "hidden" in raw.lower()):
@@ -85,7 +86,7 @@ def _attributes(raw: str, inside: bool = False) -> tuple[str, bool]:
         words = found.get("class", "").split()
         first = words[0] if words else ""
         aside |= any(w in _PARTS for w in found.get("id", "").split())
-        aside |= bool(words) and (all if inside else any)(w in _PARTS for w in words)
+        aside |= bool(words) and ("hidden" in words or (all if inside else any)(w in _PARTS for w in words))
         aside |= any(w in _ROLES for w in found.get("role", "").split())
     return first, aside
 

@@ -169,3 +169,8 @@ def test_sha_is_stable():
 def test_one_word_of_a_class_drops_nothing_inside_an_article():
     page = "<body><article><h1>T</h1><div class='post tags'><p>first part stays</p></div><div class='highlight promo'><p>second part stays</p></div><p>E = <math><mi>m</mi></math> done</p><div class='ad banner'>buy</div></article><div class='box promo'>gone</div></body>"
     assert html_extract.extract(page) == "T first part stays second part stays E = m done"
+
+
+def test_hidden_among_a_class_s_words_is_not_shown_inside_an_article_either():
+    page = "<body><article><h1>T</h1><div class='note hidden'><p>not shown</p></div><div class='post tags overflow-hidden'><p>stays</p></div></article></body>"
+    assert html_extract.extract(page) == "T stays"
